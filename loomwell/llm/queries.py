@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomwell.llm import language
+from loomwell.llm.chunk_dedup import chunk_dedup
 from loomwell.llm.exact_dedup import exact_dedup
+from loomwell.llm.packing import pack_documents
 from loomwell.llm.pieces import encode_pieces
+from loomwell.llm.suffix_dedup import suffix_dedup
 from loomwell.llm.token_shards import shards_round_trip
 
 
@@ -20,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), keep=False)
 
@@ -28,13 +41,27 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_shards": op4_token_shards,
+    "op6_language": op6_language,
+    "op7_chunk_dedup": op7_chunk_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
