@@ -10,6 +10,7 @@ from loomwell.llm.chunk_dedup import chunk_dedup
 from loomwell.llm.exact_dedup import exact_dedup
 from loomwell.llm.packing import pack_documents
 from loomwell.llm.pieces import encode_pieces
+from loomwell.llm.shingle_join import shingle_join
 from loomwell.llm.suffix_dedup import suffix_dedup
 from loomwell.llm.token_shards import shards_round_trip
 
@@ -51,6 +52,10 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_token_shards": op4_token_shards,
     "op6_language": op6_language,
     "op7_chunk_dedup": op7_chunk_dedup,
+    "op8_shingle_join": op8_shingle_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
