@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomwell.llm import language
 from loomwell.llm.chunk_dedup import chunk_dedup
 from loomwell.llm.exact_dedup import exact_dedup
+from loomwell.llm.mixing import score_texts
+from loomwell.llm.neighbours import nearest
 from loomwell.llm.packing import pack_documents
 from loomwell.llm.pieces import encode_pieces
 from loomwell.llm.shingle_join import shingle_join
@@ -42,6 +44,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(docs.filter(~F.col("held_out")))
@@ -60,15 +66,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_shards": op4_token_shards,
+    "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op7_chunk_dedup": op7_chunk_dedup,
     "op8_shingle_join": op8_shingle_join,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
