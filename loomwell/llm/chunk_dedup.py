@@ -111,6 +111,13 @@ def repeated_chunks(table: DataFrame) -> DataFrame:
     return table.join(first, ["d1", "d2"]).filter(F.struct("key1", "key2", "a") != F.col("first")).select(*KEYS, "a", "b")
 
 
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
+    """All rows and columns of df, the repeated chunks cut out of its texts; null texts become empty."""
+    docs = keyed(df, doc_id, text, carry=True)
+    out = cut_spans(docs, repeated_chunks(saved(chunk_table(docs), "chunks")), least_run)
+    return out.select(*[F.col("kept").cast("string").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])
+
+
 def chunk_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of df.
 

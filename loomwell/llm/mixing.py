@@ -41,7 +41,7 @@ FIRST_BLOCK = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
 PAD = 4
 #: Documents whose bits the weights are learned on, about, and their longest length in bytes.
 MIX_DOCS, MIX_BYTES = 256, 20_000
-RATE, STEP, PASSES = 0.02, 2048, 2
+RATE, STEP, PASSES = 0.005, 2048, 2
 MOST_TOP = 500_000
 #: Tasks whose counts of one block are added up at once.
 TASKS = 256

@@ -95,7 +95,7 @@ def node_of(digest: bytes) -> int:
 
 
 def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """doc_id, n, node (hash of the set; null if empty), low (the kept hashes, in order)."""
+    """doc_id, th (hash of the text), n, node (hash of the set; null if empty), low (the kept hashes, in order)."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +109,11 @@ def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
                     node.append(node_of(xxhash.xxh3_128_digest(own.tobytes())) if b > a else None)
                     keep = max(int(np.searchsorted(own, LOW_END)), prefix(b - a, t))
                     low.append(own[:keep].tobytes())
-                yield pa.record_batch([some.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "n", "node", "low"])
+                yield pa.record_batch([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "th", "n", "node", "low"])
 
-    rows = df.select(df[doc_id].alias("id"), text_or_empty(df, text).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, node long, low binary")
+    t_ = text_or_empty(df, text)
+    rows = df.select(df[doc_id].alias("id"), t_.alias("t"), F.xxhash64(t_).alias("th"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, low binary")
 
 
 def distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -362,7 +363,7 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
 
 
 def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, component_id) of every row of df, and the links (a, b) between nodes that the classes rest on.
+    """(doc_id, th (hash of the text), n_shingles, node, component_id) of every row of df, and the links (a, b) between nodes that the classes rest on.
 
     A node is a distinct set. Links are enough for the classes and all hold; pairs inside a class may be left out. Null and
     empty texts have no shingle and are a class of their own. component_id is the smallest id of the class; a null id is never it,
@@ -371,7 +372,7 @@ def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     sets = saved(set_table(df, doc_id, text, threshold), "shingles")
     totals = sets.agg(F.sum(F.octet_length("low") / 8).alias("kept"), F.sum("n").alias("n")).first()
     kept, entries = int(totals["kept"] or 0), int((totals["n"] or 0) * (100 - threshold) // 100)
-    members = sets.select("doc_id", "n", "node")
+    members = sets.select("doc_id", "th", "n", "node")
     nodes = saved(members.filter("node is not null").groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("rep")), "nodes")
     links = verified(saved(first_round(sets, threshold), "pairs"), df, nodes, doc_id, text, threshold)
     classes = components(links)
@@ -383,4 +384,11 @@ def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     by_node = named.select("node", "class").join(least, "class").select("node", "component_id")
     out = members.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id")), links
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id")), links
+
+
+def one_of_each_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
+    """The rows and columns of df without those whose class has a smaller id. Rows with a null id go if their class has an id."""
+    out = shingle_join(df, doc_id, text, threshold)[0]
+    go = out.filter(~F.col("doc_id").cast("long").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("go_id"), F.col("th").alias("go_th")).distinct()
+    return df.join(go, df[doc_id].eqNullSafe(go["go_id"]) & (F.xxhash64(text_or_empty(df, text)) == go["go_th"]), "left_anti")

@@ -16,10 +16,14 @@ KEYS = ["key1", "key2"]
 SLICE_BYTES = 4 << 20
 
 
-def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """key1, key2, id, t. Rows that repeat an id and a text have one key; a null id has a key by its text."""
+def keyed(df: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
+    """key1, key2, id, t and, to carry, all of df's columns but the text as one struct `rest`.
+
+    Rows that repeat an id and a text have one key; a null id has a key by its text.
+    """
     t = text_or_empty(df, text)
-    return df.select(F.coalesce(df[doc_id].cast("long"), F.xxhash64(t)).alias("key1"), F.hash(t, df[doc_id].isNull()).alias("key2"), df[doc_id].alias("id"), t.alias("t"))
+    rest = [F.struct(*[df[c] for c in df.columns if c != text]).alias("rest")] if carry else []
+    return df.select(*rest, F.coalesce(df[doc_id].cast("long"), F.xxhash64(t)).alias("key1"), F.hash(t, df[doc_id].isNull()).alias("key2"), df[doc_id].alias("id"), t.alias("t"))
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -48,7 +52,7 @@ def by_document(spans: DataFrame) -> DataFrame:
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of `docs`, as keyed() gives it.
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of `docs`, as keyed() gives it, and rest if there is one.
 
     spans: key1, key2, a, b (half-open, in bytes). Spans that touch are one; those shorter than `least` are left in.
     """
@@ -64,11 +68,12 @@ def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
                     kept = cut(data, found) if found else data
                     rows.append((len(data), len(data) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept))
                 columns = [pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.record_batch([some.column(some.schema.get_field_index("id")), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.record_batch([*(some.column(some.schema.get_field_index(c)) for c in first), *columns], names=[*first, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    kind = docs.schema["id"].dataType.simpleString()
+    first = [c for c in ("rest", "id") if c in docs.columns]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in first)
     both = docs.join(by_document(spans), KEYS, "left")
-    return both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def aligned(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
