@@ -1,8 +1,9 @@
 """A table of distinct chunks, each encoded once, that gives results back by position.
 
-A text is cut where no token can cross. Every worker keeps one table of the chunks met so far; the new ones of a slice
-are encoded in one call. The table is emptied when it holds more than `most` chunks, and chunks over `longest`
-characters are not kept, so memory is bounded by that and one slice; results do not depend on either.
+A text is cut where no token can cross. Every worker keeps a table of the chunks met so far; the new ones of a slice
+are encoded in one call. The table has two halves: when the newer one is full it becomes the older one, whose chunks
+move back as they are met again. So the chunks in use stay, and at most `most` are held besides those of one slice. Chunks over
+`longest` characters are not kept. Results do not depend on either bound.
 """
 
 from __future__ import annotations
@@ -13,19 +14,25 @@ from typing import Any
 
 class ChunkTable:
     def __init__(self, encode_all: Callable[[list[str]], Iterable[Any]], most: int = 800_000, longest: int = 64):
-        self.encode_all, self.most, self.longest, self.held = encode_all, most, longest, {}
+        self.encode_all, self.half, self.longest, self.held, self.older = encode_all, most // 2, longest, {}, {}
 
     def lookup(self, texts_chunks: list[list[str]]) -> list[list[Any]]:
         """What encode_all gives for each chunk, text by text."""
         wanted = set().union(*texts_chunks)
-        if len(self.held) > self.most:
-            self.held = {c: self.held[c] for c in wanted if c in self.held}
-        new = [c for c in wanted if c not in self.held]
+        if len(self.held) > self.half:
+            self.held, self.older = {}, self.held
+        held, older, new = self.held, self.older, []
+        for c in wanted:
+            if c not in held:
+                if c in older:
+                    held[c] = older[c]
+                else:
+                    new.append(c)
         if new:
-            self.held.update(zip(new, self.encode_all(new)))
-        get = self.held.__getitem__
+            held.update(zip(new, self.encode_all(new)))
+        get = held.__getitem__
         out = [list(map(get, chunks)) for chunks in texts_chunks]
         for c in new:
             if len(c) > self.longest:
-                del self.held[c]
+                del held[c]
         return out
