@@ -32,15 +32,14 @@ WELL_FILLED = 0.995
 Bins = list[list[int]]
 
 
-def best_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | None = None) -> Bins:
-    """Puts each item, in the given order, into the fullest bin that takes it, else into a new one. bins are added to."""
-    bins = [] if bins is None else bins
+def best_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | None = None, fills: list[int] | None = None) -> tuple[Bins, list[int]]:
+    """Puts each item, in the given order, into the fullest bin that takes it, else into a new one. bins and their fills are added to."""
+    bins, fills = [] if bins is None else bins, [] if fills is None else fills
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has room for exactly r
-    for b, items in enumerate(bins):
-        r = capacity - sum(lengths[i] for i in items)
-        by_room[r].append(b)
-        rooms |= 1 << r
+    for b, fill in enumerate(fills):
+        by_room[capacity - fill].append(b)
+        rooms |= 1 << (capacity - fill)
     for i in order:
         n = lengths[i]
         fit = rooms >> n
@@ -50,55 +49,65 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | N
             if not by_room[r]:
                 rooms &= ~(1 << r)
             bins[b].append(i)
+            fills[b] += n
         else:
             r, b = capacity, len(bins)
             bins.append([i])
+            fills.append(n)
         by_room[r - n].append(b)
         rooms |= 1 << (r - n)
-    return bins
+    return bins, fills
+
 
+class Packing:
+    """A member of an island: its bins, how full they are, and its fitness (fewer bins first, then fuller ones; the smallest is best)."""
 
-def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones; the smallest is best."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    def __init__(self, bins: Bins, fills: list[int], capacity: int):
+        self.bins, self.fills = bins, fills
+        self.fitness = len(bins), -sum(f * f for f in fills) / capacity**2
 
 
-def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """Injects whole well-filled bins of b into a, removes duplicates and best-fits the displaced items."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= WELL_FILLED * capacity]
-    taken = [x for x in good if rng.random() < 0.5]
-    inside = {i for x in taken for i in x}
-    child, displaced = [list(x) for x in taken], []
+    enough = WELL_FILLED * capacity
+    bins, fills = [], []
+    for x, f in zip(b.bins, b.fills):
+        if f >= enough and rng.random() < 0.5:
+            bins.append(list(x))
+            fills.append(f)
+    inside = set().union(*bins)
+    displaced: list[int] = []
     poor = 0.1 + 0.2 * rng.random()
-    for x in a:
-        if any(i in inside for i in x):
+    for x, f in zip(a.bins, a.fills):
+        if not inside.isdisjoint(x):
             displaced += [i for i in x if i not in inside]
-        elif sum(lengths[i] for i in x) < WELL_FILLED * capacity and rng.random() < poor:
+        elif f < enough and rng.random() < poor:
             displaced += x  # mutation: some poorly filled bins are taken apart too
         else:
-            child.append(list(x))
+            bins.append(list(x))
+            fills.append(f)
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(displaced, lengths, capacity, child)
+    return Packing(*best_fit(displaced, lengths, capacity, bins, fills), capacity)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, given: list[Bins]) -> list[Bins]:
+def evolve(lengths: list[int], capacity: int, seed: int, given: list[Bins]) -> list[Packing]:
     """The population after one epoch, best first. Ends early at the lower bound of the number of bins."""
     rng, n = random.Random(seed), len(lengths)
-    score = lambda x: fitness(x, lengths, capacity)
-    population = list(given)
+    fitness = lambda x: x.fitness
+    population = [Packing(x, [sum(lengths[i] for i in b) for b in x], capacity) for x in given]
     if len(population) < POPULATION:
         order = sorted(range(n), key=lambda i: -lengths[i])
-        population.append(best_fit(order, lengths, capacity))
+        population.append(Packing(*best_fit(order, lengths, capacity), capacity))
     while len(population) < POPULATION:
         noisy = sorted(range(n), key=lambda i: -lengths[i] * (1 + 0.05 * rng.random()))
-        population.append(best_fit(noisy, lengths, capacity))
-    population.sort(key=score)
+        population.append(Packing(*best_fit(noisy, lengths, capacity), capacity))
+    population.sort(key=fitness)
     least = -(-sum(lengths) // capacity)
     for _ in range(OFFSPRING):
-        if len(population[0]) <= least:
+        if len(population[0].bins) <= least:
             break
-        a, b = rng.sample(population[: max(2, POPULATION)], 2)
-        population = sorted([*population, crossover(a, b, lengths, capacity, rng)], key=score)[:POPULATION]
+        a, b = rng.sample(population, 2)
+        population = sorted([*population, crossover(a, b, lengths, capacity, rng)], key=fitness)[:POPULATION]
     return population
 
 
@@ -182,8 +191,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 for r in frame.itertuples():
                     lengths = np.frombuffer(r.lengths, "<u4").tolist()
                     found = evolve(lengths, capacity, (r.shard * ISLANDS + r.island) * EPOCHS + epoch, [from_bytes(x) for x in r.members])
-                    n, fill = fitness(found[0], lengths, capacity)
-                    yield pd.DataFrame([(r.shard, r.lengths, r.island, [to_bytes(x, len(lengths)) for x in found], n, fill)], columns=["shard", "lengths", "island", "members", "bins", "fill"])
+                    yield pd.DataFrame([(r.shard, r.lengths, r.island, [to_bytes(x.bins, len(lengths)) for x in found], *found[0].fitness)], columns=["shard", "lengths", "island", "members", "bins", "fill"])
 
         evolved = saved(state.repartition(tasks).mapInPandas(epoch_of, "shard long, lengths binary, island int, members array<binary>, bins int, fill double"), "islands")
         elite = evolved.select("shard", F.expr(f"(island + 1) % {ISLANDS}").alias("island"), F.expr("members[0]").alias("elite"))
