@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -236,8 +237,6 @@ def mutation(c: Column, base: Column) -> dict[str, Column]:
 
 def wkb_point(c: Column) -> tuple[Column, Column]:
     """Longitude and latitude of a WKB or EWKB point, by an Arrow UDF; null for anything else."""
-    import pandas as pd
-
     @F.pandas_udf("struct<lon: double, lat: double>")
     def decode(raw: pd.Series) -> pd.DataFrame:
         import struct

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +67,6 @@ def structure_shares(c: Column) -> dict[str, Column]:
 
 def isoelectric_point(c: Column) -> Column:
     """Bisection of the net charge, on the counts of the charged residues."""
-    import numpy as np
-    import pandas as pd
-
     letters = [*PK_POSITIVE, *PK_NEGATIVE]
 
     @F.pandas_udf("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,6 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """Adds odds_ratio (null without a divisor) and the two-sided p of each row's 2 x 2 table, by log-gamma sums."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(a_: pd.Series, b_: pd.Series, c_: pd.Series, d_: pd.Series) -> pd.Series:
         from math import exp, lgamma
@@ -121,8 +120,6 @@ def silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
 
 def kabsch(a: Column, b: Column) -> Column:
     """rmsd and tm of two arrays of x, y, z structs of one length, by the optimal rotation; null for other lengths or under 3 places."""
-    import pandas as pd
-
     @F.pandas_udf("struct<rmsd: double, tm: double>")
     def fit(p: pd.Series, q: pd.Series) -> pd.DataFrame:
         import numpy as np

@@ -2,4 +2,5 @@
 
 from __future__ import annotations
 
+from loomwell.plans import aggregates, cohorts, graphs, rankings, scalars, sequences, streams, texts  # noqa: F401
 from loomwell.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
