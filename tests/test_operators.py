@@ -182,3 +182,15 @@ def test_resume_adds_nothing(spark):
     assert rows(lifecycle.retryable(ledger, "k")) == [(2, 1)]
     with pytest.raises(ValueError, match="small"):
         lifecycle.require(work, {"small": "k < 3"})
+
+
+def test_axes_and_merges(spark):
+    from loomwell.operators import projection
+
+    rows = [(i, [float(i), 2.0 * i + (i % 2) * 0.1, 0.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    got = projection.principal_axes(df, "k", "v").orderBy("k").collect()
+    assert all(b["x"] > a["x"] for a, b in zip(got, got[1:])) and len(got) == 20
+    four = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [10.0]), (3, [12.0])], "k int, v array<double>")
+    m = projection.ward_merges(four, "k", "v").orderBy("step").collect()
+    assert [(r["a"], r["b"], r["size"]) for r in m] == [(0, 1, 2), (2, 3, 2), (4, 5, 4)] and m[0]["distance"] == pytest.approx(1.0)
