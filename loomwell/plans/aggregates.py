@@ -16,9 +16,9 @@ def _yearly(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with y as (select year(o_orderdate) as year, count(o_custkey) as n_entries, count(distinct o_custkey) as n_species, count(distinct o_orderpriority) as n_plastics,
+    with y as (select year(o_orderdate)::int as year, count(o_custkey) as n_entries, count(distinct o_custkey) as n_species, count(distinct o_orderpriority) as n_plastics,
         sum((o_totalprice > 200000)::int)::bigint as n_large from orders group by 1),
-    f as (select year, count(*) as new from (select o_custkey, min(year(o_orderdate)) as year from orders group by 1) group by 1)
+    f as (select year, count(*) as new from (select o_custkey, min(year(o_orderdate)::int) as year from orders group by 1) group by 1)
     select y.*, case when count(n_entries) over w = 3 then round(avg(n_entries) over w, 6) end as rolling_3,
       round((n_entries - lag(n_entries) over o)::double / lag(n_entries) over o * 100, 6) as growth_pct,
       sum(n_entries) over (order by y.year rows unbounded preceding)::bigint as cumulative,
@@ -255,7 +255,7 @@ def two_level_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.rollup("n_regionkey", "c_mktsegment").agg(F.grouping("n_regionkey").cast("long").alias("g1"), F.grouping("c_mktsegment").cast("long").alias("g2"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select event_type, year(ts) as y, count(*) as n from events group by cube (event_type, year(ts))")
+@query("select event_type, y, count(*) as n from (select event_type, year(ts)::int as y from events) group by cube (event_type, y)")
 def cube_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_type", F.year("ts").alias("y")).cube("event_type", "y").agg(F.count(F.lit(1)).alias("n"))
 

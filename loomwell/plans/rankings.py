@@ -111,7 +111,7 @@ def class_split(spark: SparkSession, d: str) -> DataFrame:
     return sets.split_by_class(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 0.8, seed=3)
 
 
-@query("select year, n from (select year(o_orderdate) as year, count(*) as n from orders group by 1) order by n desc, year limit 1")
+@query("select year, n from (select year(o_orderdate)::int as year, count(*) as n from orders group by 1) order by n desc, year limit 1")
 def peak_year(spark: SparkSession, d: str) -> DataFrame:
     y = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     return y.orderBy(F.desc("n"), "year").limit(1)
