@@ -232,7 +232,7 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot:
     table = saved(run_table(docs), "runs")
     crowded = saved(table.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("k"), "hot-minimizers")
     some_hot = not crowded.isEmpty()
-    usual = table.join(crowded, "k", "left_anti") if some_hot else table
+    usual = (table.join(crowded, "k", "left_anti") if some_hot else table).select(*table.columns)
     kinds = saved(sorted_groups(usual, run_kinds, f"{RUN}, whole boolean, open boolean").drop("x"), "run-kinds")
     spans = kinds.filter("whole").select(*KEYS, F.col("start").alias("a"), (F.col("start") + F.col("count") + WIDTH - 1).alias("b"))
     spans = spans.unionByName(sorted_groups(parts(docs, kinds.filter("open")), repeated_windows, SPAN))
