@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.columns import slices, text_or_empty
 
 KEYS = ["key1", "key2"]
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def keyed(df: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
