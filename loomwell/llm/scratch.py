@@ -25,6 +25,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return reread(df, path)
+
+
+def reread(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that only plans read whose results are saved themselves."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.components import components
-from loomwell.llm.scratch import saved
-from loomwell.llm.spans import aligned
+from loomwell.llm.scratch import forget, reread, saved, shared_path
 from loomwell.llm.suffix_dedup import Rolling, mix
 
 WORDS = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Share of the hash range of which shingles are kept and counted.
-LOW = 0.4
+LOW = 0.35
 LOW_END = np.uint64(int(LOW * 2**64))
 #: Smallest hashes of a set whose lists are chained in the first round.
 FIRST = 8
@@ -39,6 +38,8 @@ FIRST = 8
 HOT, MOST_HOT = 32, 500_000
 #: Shingles that a task counts at once, about, and prefix entries that a task joins at once, about.
 COUNTED, JOINED = 4_000_000, 1_000_000
+#: Rounds in which lists of frequent shingles join neighbours only.
+JOIN_ROUNDS = 2
 #: Size of the filter of document ids whose sets are made again for comparison.
 FILTER = 1 << 20
 
@@ -94,26 +95,64 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many hashes fall into each of a power of two buckets, one to two on average; empty if a count is too large."""
+    bits = max(4, len(h).bit_length() - 1)
+    n = np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 128 else b""
+
+
+class Sketches:
+    """Sketches of some sets, by size as matrices that also hold the folded ones of twice the size."""
+
+    def __init__(self, raw: list[bytes]):
+        self.sizes = np.array([len(x) for x in raw], np.int64)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.sizes[self.sizes > 0]).tolist():
+            parts, at = [], np.full(len(raw), -1, np.int32)
+            for fold in (1, 2):
+                used = np.flatnonzero(self.sizes == fold * size)
+                m = np.frombuffer(b"".join([raw[k] for k in used.tolist()]), np.uint8).reshape(-1, fold, size)
+                at[used] = sum(map(len, parts)) + np.arange(len(used))
+                parts.append(m.sum(axis=1, dtype=np.uint8))  # counts are under 128 each
+            self.by_size[size] = np.concatenate(parts), at
+
+    def most_common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair of places, the largest intersection that their sketches allow; a large number if they set no bound."""
+        out = np.full(len(i), 1 << 40)
+        least = np.minimum(self.sizes[i], self.sizes[j])
+        for size in np.unique(least[least > 0]).tolist():
+            matrix, at = self.by_size[size]
+            pairs = np.flatnonzero(least == size)
+            pairs = pairs[(at[i[pairs]] >= 0) & (at[j[pairs]] >= 0)]
+            for a in range(0, len(pairs), 20_000):
+                some = pairs[a : a + 20_000]
+                out[some] = np.minimum(matrix[at[i[some]]], matrix[at[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """doc_id, th (hash of the text), n, node (hash of the set; null if empty), low (the kept hashes, in order)."""
+    """doc_id, th (hash of the text), n, node (hash of the set; null if empty), low (the kept hashes, in order), sketch."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 h, at = shingle_sets(some.column(1).to_pylist())
-                node, n, low = [], [], []
+                node, n, low, sketches = [], [], [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     own = h[a:b]
                     n.append(b - a)
                     node.append(node_of(xxhash.xxh3_128_digest(own.tobytes())) if b > a else None)
                     keep = max(int(np.searchsorted(own, LOW_END)), prefix(b - a, t))
                     low.append(own[:keep].tobytes())
-                yield pa.record_batch([some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "th", "n", "node", "low"])
+                    sketches.append(sketch(own))
+                columns = [some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(sketches, pa.binary())]
+                yield pa.record_batch(columns, names=["doc_id", "th", "n", "node", "low", "sketch"])
 
     t_ = text_or_empty(df, text)
     rows = df.select(df[doc_id].alias("id"), t_.alias("t"), F.xxhash64(t_).alias("th"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, low binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, low binary, sketch binary")
 
 
 def distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -212,7 +251,7 @@ def frequent(sets: DataFrame, kept: int) -> tuple[np.ndarray, int]:
             least = 1 << (power + 1)
             break
         total += n
-    keys = counts.filter(F.col("n") >= least).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    keys = counts.filter(F.col("n") >= least).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     return np.sort(keys), bits
 
 
@@ -226,8 +265,8 @@ def in_order(low: np.ndarray, hot: np.ndarray, shift: np.uint64) -> tuple[np.nda
     return low[order], often[order]
 
 
-def list_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list that can reach the threshold. Rows in order of token, n; group: pairs of one group are skipped."""
+def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list that can reach the threshold. Rows in order of token, n; group: pairs of one group are skipped."""
     new = np.append(True, token[1:] != token[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(token)))
@@ -242,16 +281,22 @@ def list_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
         rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
         good = (group[i] != group[j]) & (np.minimum(pos[i], pos[j]) + rest >= needed(n[i], n[j], t))
         if good.any():
-            yield node[i[good]], node[j[good]]
+            yield i[good], j[good]
+
+
+class Prefixes:
+    """The sets' prefixes in the global order, as lists of rare and of frequent shingles."""
 
+    def __init__(self, sets: DataFrame, t: int, kept: int, entries: int):
+        self.sets, self.t, self.buckets = sets.select("node", "n", "low"), t, max(32, -(-entries // JOINED))
+        hot, bits = frequent(sets, kept)
+        self.any_often, self.shift = len(hot) > 0, np.uint64(32 - bits)
+        self.sent = sets.sparkSession.sparkContext.broadcast(hot)
+        self.often = saved(self.sets.mapInArrow(self.entries(True), ENTRY).distinct(), "frequent-lists") if self.any_often else None
 
-def second_round(sets: DataFrame, classes: DataFrame, t: int, kept: int, entries: int) -> DataFrame:
-    """All pairs of different classes that share a shingle of both prefixes and can reach the threshold."""
-    hot, bits = frequent(sets, kept)
-    sent, shift = sets.sparkSession.sparkContext.broadcast(hot), np.uint64(32 - bits)
-    buckets = max(32, -(-entries // JOINED))
+    def entries(self, often_too: bool):
+        sent, shift, t, buckets = self.sent, self.shift, self.t, self.buckets
 
-    def emit(often_too: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, node, n, pos, size = [], [], [], [], 0
             for one, count, low in distinct_nodes(batches):
@@ -277,71 +322,143 @@ def second_round(sets: DataFrame, classes: DataFrame, t: int, kept: int, entries
             bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ids, at = np.unique(bucket[order], return_index=True)
-            kinds = (np.uint64, np.int64, np.uint32, np.uint32)
-            blobs = [[x.tobytes() for x in np.split(c[order].astype(k), at[1:])] for c, k in zip(columns, kinds)]
-            yield pa.record_batch([pa.array(ids), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "token", "node", "n", "pos"])
+            rows = []
+            for i, own in zip(ids.tolist(), np.split(order, at[1:])):
+                t_, node_, n_, pos_ = (c[own] for c in columns)
+                head = np.flatnonzero(np.append(True, node_[1:] != node_[:-1]))
+                short = np.uint16 if pos_.max() < 1 << 16 else np.uint32
+                rows.append((i, (t_ >> np.uint64(16)).astype(np.uint32).tobytes(), pos_.astype(short).tobytes(), node_[head].tobytes(), n_[head].astype(np.uint32).tobytes(), np.diff(np.append(head, len(own))).astype(short).tobytes()))
+            yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 5))], names=["bucket", "token", "pos", "node", "n", "times"])
 
         return run
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = (np.uint64, np.int64, np.uint32, np.uint32)
-        token, node, n, pos = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in zip(("token", "node", "n", "pos"), kinds))
-        # most shingles are in one set only
-        order = np.argsort(token)
-        token = token[order]
-        same = token[1:] == token[:-1]
-        order, token = (x[np.append(same, False) | np.append(False, same)] for x in (order, token))
-        node, n, pos = node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-        order = np.lexsort((node, n, token))
-        token, node, n, pos = token[order], node[order], n[order], pos[order]
-        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])) if len(token) else np.empty(0, bool)
-        token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
-        found = [np.stack(x, axis=1) for x in list_pairs(token, node, n, pos, node, t)]
-        both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    rare = sets.select("node", "n", "low").mapInArrow(emit(False), "bucket long, token binary, node binary, n binary, pos binary")
-    pairs = rare.groupBy("bucket").applyInPandas(join, PAIR).distinct()
+    def rare_pairs(self, classes: DataFrame) -> DataFrame:
+        """Pairs of different classes that share a rare shingle and can reach the threshold."""
+        t = self.t
+
+        def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return joined(rows, t)
+
+        kinds = "bucket long, token binary, pos binary, node binary, n binary, times binary"
+        pairs = self.sets.mapInArrow(self.entries(False), kinds).groupBy("bucket").applyInPandas(join, PAIR).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(classes.withColumnsRenamed({"node": side, "class": f"class_{side}"}), side, "left")
+        return pairs.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
+    def often_pairs(self, nodes: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+        """Pairs of different classes that share a frequent shingle and that their sketches allow.
+
+        Without `every`, each row of a list meets only the next one, in an order of that list's own, so there are no more
+        pairs than rows: that joins most classes before all pairs between the classes left are made.
+        """
+        t = self.t
+
+        def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return often_joined(rows, t, every)
+
+        count = self.often.count()
+        bucket = F.pmod(F.xxhash64("token"), F.lit(max(16, -(-count // JOINED)))).alias("bucket")
+        named = self.often.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(nodes.select("node", "sketch"), "node")
+        return named.select(bucket, "token", "node", "n", "pos", "class", "sketch").groupBy("bucket").applyInPandas(join, PAIR).distinct()
+
+
+def joined(rows: pd.DataFrame, t: int) -> pd.DataFrame:
+    # 32 bits of a shingle are enough inside a bucket: where two are taken for one, the sets are compared in vain
+    token, node, n, pos = [], [], [], []
+    for r in rows.itertuples():
+        own = np.frombuffer(r.token, np.uint32)
+        short = np.uint16 if len(r.pos) < len(r.token) else np.uint32
+        times = np.frombuffer(r.times, short)
+        token.append(own), pos.append(np.frombuffer(r.pos, short).astype(np.uint32))
+        node.append(np.repeat(np.frombuffer(r.node, np.int64), times)), n.append(np.repeat(np.frombuffer(r.n, np.uint32), times))
+    token, node, n, pos = (np.concatenate(x) for x in (token, node, n, pos))
+    # most shingles are in one set only
+    order = np.argsort(token)
+    token = token[order]
+    same = token[1:] == token[:-1]
+    order, token = (x[np.append(same, False) | np.append(False, same)] for x in (order, token))
+    node, n, pos = node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    order = np.lexsort((node, n, token))
+    token, node, n, pos = token[order], node[order], n[order], pos[order]
+    fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])) if len(token) else np.empty(0, bool)
+    token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
+    found = [np.stack([node[i], node[j]], axis=1) for i, j in list_pairs(token, n, pos, node, t)]
+    both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    both = np.unique(np.sort(both, axis=1), axis=0)
+    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+
+def often_joined(rows: pd.DataFrame, t: int, every: bool) -> pd.DataFrame:
+    """Pairs of lists of frequent shingles."""
+    token, node, n, pos, group = (rows[c].to_numpy() for c in ("token", "node", "n", "pos", "class"))
+    last = (node if every else mix(node.view(np.uint64) ^ mix(token.view(np.uint64)))), (n if every else token), token
+    order = np.lexsort(last)
+    token, node, n, pos, group = (x[order] for x in (token, node, n, pos, group))
+    heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    lists = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(token))))
+    varied = np.flatnonzero((np.minimum.reduceat(group, heads) != np.maximum.reduceat(group, heads))[lists])
+    token, node, n, pos, group = (x[varied] for x in (token, node, n, pos, group))
+    raw = rows["sketch"].to_numpy()[order[varied]].tolist()
+    sketches = Sketches(raw)
+    ids, of = np.unique(node, return_inverse=True)
+    made, held = [np.empty(0, np.int64)], 0
+    for i, j in list_pairs(token, n, pos, group, t) if every else neighbours(token, n, group, t):
+        good = sketches.most_common(i, j) >= needed(n[i], n[j], t)
+        made.append(np.minimum(of[i[good]], of[j[good]]) * len(ids) + np.maximum(of[i[good]], of[j[good]]))
+        held += len(made[-1])
+        if held > 2_000_000:
+            made, held = [np.unique(np.concatenate(made))], 0
+    pairs = np.unique(np.concatenate(made))
+    a, b = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def neighbours(token: np.ndarray, n: np.ndarray, group: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    i = np.flatnonzero((token[1:] == token[:-1]) & (group[1:] != group[:-1])) if len(token) else np.empty(0, np.int64)
+    fits = t * np.maximum(n[i], n[i + 1]) <= 100 * np.minimum(n[i], n[i + 1]) if len(i) else np.empty(0, bool)
+    yield i[fits], i[fits] + 1
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
+    """a, b, rep_a, rep_b of the pairs whose sketches allow the threshold."""
     for side in ("a", "b"):
-        pairs = pairs.join(classes.withColumnsRenamed({"node": side, "class": f"class_{side}"}), side, "left")
-    pairs = pairs.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
-    if not len(hot):
-        return pairs
-
-    def join_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in aligned(batches, "token", 100_000):
-            token, node, n, pos, group = (table.column(c).to_numpy() for c in ("token", "node", "n", "pos", "class"))
-            varied = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            lists = np.repeat(np.arange(len(varied)), np.diff(np.append(varied, len(token))))
-            keep = (np.minimum.reduceat(group, varied) != np.maximum.reduceat(group, varied))[lists]
-            for a, b in list_pairs(*(x[keep] for x in (token, node, n, pos, group)), t):
-                yield pair_batch(a, b)
+        pairs = pairs.join(nodes.withColumnsRenamed({"node": side, "rep": f"rep_{side}", "n": f"n_{side}", "sketch": f"sketch_{side}"}), side)
 
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = sets.select("node", "n", "low").mapInArrow(emit(True), ENTRY).distinct().join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    return pairs.unionByName(often.repartition(parts, "token").sortWithinPartitions("token", "n", "node").mapInArrow(join_often, PAIR)).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["a", "b", "rep_a", "rep_b"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            k = batch.num_rows
+            most = Sketches(get("sketch_a").to_pylist() + get("sketch_b").to_pylist()).most_common(np.arange(k), np.arange(k, 2 * k))
+            keep = pa.array(most >= needed(get("n_a").to_numpy(), get("n_b").to_numpy(), t))
+            yield pa.record_batch([get(c).filter(keep) for c in columns], names=columns)
+
+    return saved(pairs.mapInArrow(run, "a long, b long, rep_a long, rep_b long"), "near-pairs")
 
 
 def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold. The sets are made again from the texts of the documents concerned.
+    """The pairs whose whole sets reach the threshold.
 
-    Which documents these are is sent as a filter of fixed size; others that pass it are left out by the join.
+    Sketches, which bound the intersection, are compared first, so whole sets meet for few pairs besides those that
+    hold. The sets are made again from the texts of the nodes' smallest ids; which documents these are is sent as a filter of
+    fixed size, and others that pass it are left out by the join.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("rep")
-    spots = [r["spot"] for r in ids.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct().collect()]
+    spark, pairs = df.sparkSession, bounded(pairs, nodes, t)
+    spots = [r["spot"] for r in pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct().collect()]
     wanted = np.zeros(FILTER, bool)
     wanted[spots] = True
-    sent = df.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    sent = spark.sparkContext.broadcast(np.packbits(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             own = batch.filter(pa.array(there[batch.column(0).to_numpy(zero_copy_only=False)]))
             for some in slices(own, "t", SLICE_BYTES):
-                h, at = shingle_sets(some.column(1).to_pylist())
+                h, at = shingle_sets(some.column(2).to_pylist())
                 raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.record_batch([pa.array([node_of(xxhash.xxh3_128_digest(x)) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["node", "set"])
+                yield pa.record_batch([pa.array([node_of(xxhash.xxh3_128_digest(x)) for x in raw], pa.int64()), some.column(1), pa.array(raw, pa.binary())], names=["node", "rep", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,10 +473,17 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    rows = df.select(F.pmod(F.xxhash64(df[doc_id].cast("long")), F.lit(FILTER)).alias("spot"), text_or_empty(df, text).alias("t"))
-    made = saved(rows.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(made.withColumnsRenamed({"node": "a", "set": "x"}), "a").join(made.withColumnsRenamed({"node": "b", "set": "y"}), "b")
-    return saved(both.mapInArrow(compare, PAIR), "links")
+    id_ = df[doc_id].cast("long")
+    rows = df.select(F.pmod(F.xxhash64(id_), F.lit(FILTER)).alias("spot"), id_.alias("rep"), text_or_empty(df, text).alias("t"))
+    made, path = rows.mapInArrow(sets, "node long, rep long, set binary"), shared_path(spark, "sets")
+    made.write.option("compression", "none").parquet(path)
+    made = reread(made, path)
+    for side, name in (("a", "x"), ("b", "y")):
+        right = made.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(f"_rep_{side}"), F.col("set").alias(name))
+        pairs = pairs.join(right, (F.col(side) == F.col(f"_{side}")) & F.col(f"rep_{side}").eqNullSafe(F.col(f"_rep_{side}"))).drop(f"_{side}", f"_rep_{side}")
+    out = saved(pairs.mapInArrow(compare, PAIR).distinct(), "links")
+    forget(spark, path)
+    return out
 
 
 def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -373,14 +497,24 @@ def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     totals = sets.agg(F.sum(F.octet_length("low") / 8).alias("kept"), F.sum("n").alias("n")).first()
     kept, entries = int(totals["kept"] or 0), int((totals["n"] or 0) * (100 - threshold) // 100)
     members = sets.select("doc_id", "th", "n", "node")
-    nodes = saved(members.filter("node is not null").groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("rep")), "nodes")
+    nodes = saved(sets.filter("node is not null").groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     links = verified(saved(first_round(sets, threshold), "pairs"), df, nodes, doc_id, text, threshold)
     classes = components(links)
-    more = verified(saved(second_round(sets, classes, threshold, kept, entries), "pairs"), df, nodes, doc_id, text, threshold)
+    prefixes = Prefixes(sets, threshold, kept, entries)
+    for _ in range(JOIN_ROUNDS if prefixes.any_often else 0):
+        more = verified(saved(prefixes.often_pairs(nodes, classes, every=False), "pairs"), df, nodes, doc_id, text, threshold)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        classes = components(links)
+    pairs = prefixes.rare_pairs(classes)
+    if prefixes.any_often:
+        pairs = pairs.unionByName(prefixes.often_pairs(nodes, classes, every=True)).distinct()
+    more = verified(saved(pairs, "pairs"), df, nodes, doc_id, text, threshold)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
-    named = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = nodes.select("node", "rep").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     by_node = named.select("node", "class").join(least, "class").select("node", "component_id")
     out = members.join(by_node, "node", "left")

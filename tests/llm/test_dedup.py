@@ -134,7 +134,7 @@ def test_sketch_bounds():
         n, m = rng.integers(1, 900, 2)
         common = rng.integers(0, 2**63, rng.integers(0, min(n, m) + 1)).astype(np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k - len(common)).astype(np.uint64)])) for k in (n, m))
-        assert shingle_join.most_common([shingle_join.sketch(a), shingle_join.sketch(b)], np.array([0]), np.array([1]))[0] >= len(np.intersect1d(a, b))
+        assert shingle_join.Sketches([shingle_join.sketch(a), shingle_join.sketch(b)]).most_common(np.array([0]), np.array([1]))[0] >= len(np.intersect1d(a, b))
 
 
 def test_components(spark):
