@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                     yield pa.record_batch([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     learn = picked.filter("not aside").select("lang", "t").mapInArrow(count, "lang string, code long, n long")
-    found = learn.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "code"])
+    found = learn.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["lang", "code"])
     names, models = [], []
     for name, own in found.groupby("lang"):
         names.append(name)

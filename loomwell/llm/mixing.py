@@ -32,7 +32,7 @@ from loomwell.llm.scratch import saved
 from loomwell.llm.shingle_join import word_bounds
 from loomwell.llm.suffix_dedup import Rolling, mix
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLOTS = 1 << 16
 #: Blocks of SLOTS slots for each context: last 1, 2, 3, 4 bytes, and the word so far.
 BLOCKS = (4, 16, 32, 64, 64)
@@ -40,7 +40,7 @@ WORD_FAMILY = len(BLOCKS)
 FIRST_BLOCK = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
 PAD = 4
 #: Documents whose bits the weights are learned on, about, and their longest length in bytes.
-MIX_DOCS, MIX_BYTES = 256, 20_000
+MIX_DOCS, MIX_BYTES = 192, 20_000
 RATE, STEP, PASSES = 0.005, 2048, 2
 MOST_TOP = 500_000
 #: Tasks whose counts of one block are added up at once.
@@ -155,6 +155,8 @@ class Counts:
             if not a:
                 continue
             keys, n = summed(a, b)
+            if not len(keys):
+                continue
             if family == WORD_FAMILY:
                 block = (keys >> np.uint64(32)).astype(np.int64) % ranges
             else:  # the key is a hash without its low byte, and the byte
@@ -235,9 +237,9 @@ def tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return pd.DataFrame([(key[0], *(x.tobytes() for x in block_tables(at, n)))], columns=["block", "p", "sure", "check"])
 
     parts = counts.filter(F.col("family") < WORD_FAMILY).select("block", "part", "keys", "bytes", "counts").groupBy("block", "part").applyInPandas(add, "block long, at binary, n binary")
-    found = parts.groupBy("block").applyInPandas(settle, "block long, p binary, sure binary, check binary").toPandas()
+    found = saved(parts.groupBy("block").applyInPandas(settle, "block long, p binary, sure binary, check binary"), "context-tables")
     out = [np.zeros((sum(BLOCKS), SLOTS), t) for t in (np.int16, np.uint8, np.uint8)]
-    for r in found.itertuples():
+    for r in found.toLocalIterator():  # a partition at a time: some 260 kB a block
         for x, raw in zip(out, (r.p, r.sure, r.check)):
             x[r.block] = np.frombuffer(raw, x.dtype)
     return tuple(x.ravel() for x in out)
@@ -291,27 +293,34 @@ class Mixer:
         refined = (1 - part) * self.refined[node, low] + part * self.refined[node, low + 1]
         return np.clip((squash(mixed) + refined) / 2, 1e-7, 1 - 1e-7)
 
-    def learn(self, texts: list[str]) -> None:
-        """Weights online, in steps of STEP bits in the order of the text; then the refinement."""
-        if not texts:
-            return
+    def bits_of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Inputs, gate, bits known and bit, in the order of the texts' bits."""
         c = Contexts(texts)
-        hashes, node, xs, gates, nodes, bits = c.hashes(), np.ones(len(c.byte), np.int64), [], [], [], []
+        hashes, node, parts = c.hashes(), np.ones(len(c.byte), np.int64), []
         for shift in range(7, -1, -1):
             x, gate = self.bit_inputs(hashes, shift, node)
             bit = (c.byte >> np.uint8(shift) & np.uint8(1)).astype(np.int64)
-            xs.append(x), gates.append(gate), nodes.append(node), bits.append(bit)
+            parts.append((x, gate, node, bit))
             node = node * 2 + bit
-        x, gate, node, bit = (np.stack(y, axis=1).reshape(-1, *y[0].shape[1:]) for y in (xs, gates, nodes, bits))
+        return tuple(np.stack(y, axis=1).reshape(-1, *y[0].shape[1:]) for y in zip(*parts))
+
+    def learn(self, texts: list[str]) -> None:
+        """Weights online, in steps of STEP bits in the order of the texts; then the refinement. A few texts are held at once."""
+        groups = [texts[i : i + 8] for i in range(0, len(texts), 8)]
         for turn in range(PASSES):
-            for a in range(0, len(bit), STEP):
-                s = slice(a, a + STEP)
-                error = bit[s] - squash((self.weights[gate[s]] * x[s]).sum(axis=1))
-                np.add.at(self.weights, gate[s], (RATE / (1 + turn)) * error[:, None].astype(np.float32) * x[s])
-        mixed = (self.weights[gate] * x).sum(axis=1)
-        near = np.rint((np.clip(mixed, -CLIP, CLIP) + CLIP) * 2).astype(np.int64)
-        at = node * 33 + near
-        seen, ones = np.bincount(at, minlength=256 * 33).reshape(256, 33), np.bincount(at, bit, 256 * 33).reshape(256, 33)
+            for group in groups:
+                x, gate, _, bit = self.bits_of(group)
+                for a in range(0, len(bit), STEP):
+                    s = slice(a, a + STEP)
+                    error = bit[s] - squash((self.weights[gate[s]] * x[s]).sum(axis=1))
+                    np.add.at(self.weights, gate[s], (RATE / (1 + turn)) * error[:, None].astype(np.float32) * x[s])
+        seen, ones = np.zeros((256, 33)), np.zeros((256, 33))
+        for group in groups:
+            x, gate, node, bit = self.bits_of(group)
+            mixed = (self.weights[gate] * x).sum(axis=1)
+            at = node * 33 + np.rint((np.clip(mixed, -CLIP, CLIP) + CLIP) * 2).astype(np.int64)
+            seen += np.bincount(at, minlength=256 * 33).reshape(256, 33)
+            ones += np.bincount(at, bit, 256 * 33).reshape(256, 33)
         self.refined = (ones + 20 * self.refined) / (seen + 20)
 
     def cost(self, hashes: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
@@ -366,8 +375,8 @@ def most_frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = p + 1
             break
         total += n
-    top = words.filter(F.col("c") >= 1 << least).toPandas()
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    top = words.filter(F.col("c") >= 1 << least).toArrow()
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
