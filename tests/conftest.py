@@ -20,7 +20,7 @@ NAMES = "organism string, tax_id long, plastic string, year int, has_sequence bo
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    s = get_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="3g", spark__checkpoint__dir=f"file://{shared}", spark__sql__warehouse__dir=f"file://{shared}/warehouse")
+    s = get_session("tests", "local[2]", spark__sql__shuffle__partitions="4", spark__driver__memory="3g", spark__checkpoint__dir=f"file://{shared}", spark__sql__warehouse__dir=f"file://{shared}/warehouse")
     yield s
     s.stop()
 
