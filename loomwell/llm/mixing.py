@@ -1,16 +1,16 @@
 """Language-model scoring by logistic context mixing over bits.
 
 Texts are bytes, in lower case, each with a zero byte as its end. Every bit of a byte is predicted by several contexts: the last one to four bytes,
-and the current word so far. A context and the bits of the byte already known are hashed to a slot of a table of fixed
-size; the slot holds how often a 0 and a 1 followed in all training documents. The slots' predictions are mixed in the logistic
-domain by weights that are gated by the bit's place and the confidence of the longest contexts. Weights are learned online, bit by
-bit in small steps, on about `MIX_DOCS` training documents that the tables leave out; then a second table maps
+and the current word so far. How often a 0 and a 1 followed each context and the bits of the byte already known is counted in all
+training documents, in a table that grows with them (cases.py). The predictions are mixed in the logistic domain by weights that
+are gated by the bit's place and the confidence of the longest contexts, learned on all training documents; then a second table maps
 the mixed probability and the known bits to what was seen there. A text's score is the sum of its bits.
 
 A byte's cost depends on its last four bytes and its word so far alone, so costs are computed once for each such
-case and looked up by its hash after that.
+case. Those of the most frequent cases are sent to all tasks, the others are joined by the case's 64-bit hash.
+
+Mixer is the same mixing over tables of a fixed size, for texts that one process holds; score_texts does not use it.
 
-Counting covers all training documents: tasks count their own contexts and words, these are added up by block of slots or hash range.
 The base score needs the count of every word; the most frequent ones are sent to all tasks, and
 the others are joined by the word's 64-bit hash.
 """
@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwell.llm.cases import COLUMNS, Cases, Model, case_costs, case_table, cases_of, keys_of, near_table, rounds
 from loomwell.llm.columns import id_text_crc32, slices, text_or_empty
-from loomwell.llm.scratch import saved
+from loomwell.llm.scratch import forget, reread, saved, shared_path
 from loomwell.llm.shingle_join import word_bounds
 from loomwell.llm.suffix_dedup import Rolling, mix
 
@@ -39,10 +40,12 @@ BLOCKS = (4, 16, 32, 64, 64)
 WORD_FAMILY = len(BLOCKS)
 FIRST_BLOCK = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
 PAD = 4
-#: Documents whose bits the weights are learned on, about, and their longest length in bytes.
-MIX_DOCS, MIX_BYTES = 192, 20_000
 RATE, STEP, PASSES = 0.005, 2048, 2
 MOST_TOP = 500_000
+#: Most frequent cases whose costs are sent to all tasks (others are joined), and cases and words that a task holds before it hands them on.
+MOST_CASES, MOST_HELD = 1 << 21, 1_000_000
+#: Marks the rows of cases among counts.
+CASES = WORD_FAMILY + 1
 #: Tasks whose counts of one block are added up at once.
 TASKS = 256
 CACHE = 1 << 20
@@ -172,30 +175,37 @@ class Counts:
         self.__init__()
 
 
-COUNTS = "family int, block long, part int, keys binary, bytes binary, counts binary"
+COUNTS = "family int, block long, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
-def count_table(rows: DataFrame, ranges: int) -> DataFrame:
-    """Counts of the tasks. rows: t, aside (documents kept for the weights are not counted as contexts)."""
+def count_table(rows: DataFrame, blocks: int, ranges: int) -> DataFrame:
+    """Words of training documents, and cases of all documents with their number in training ones. rows: t, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, task = Counts(), TaskContext.get().partitionId()
+        words, cases, task = Counts(), Cases(), TaskContext.get().partitionId()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for batch in words.rows(task, ranges):
+                empty = pa.array([b""] * batch.num_rows, pa.binary())
+                yield pa.record_batch([batch.column(0), batch.column(1), empty, batch.column(3), batch.column(5)], names=names)
+            found = list(cases.rows(blocks))
+            if found:
+                yield pa.record_batch([pa.array([CASES] * len(found), pa.int32()), pa.array([i for i, _ in found], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*(c for _, c in found)))], names=names)
+
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
-                texts, aside = some.column(0).to_pylist(), some.column(1).to_pylist()
-                counts.add(WORD_FAMILY, Contexts(texts).words()[0])
-                texts = [t for t, x in zip(texts, aside) if not x] if any(aside) else texts
-                if texts:
-                    c = Contexts(texts)
-                    for family, h in enumerate(c.hashes()):
-                        counts.add(family, h & ~np.uint64(255) | c.byte.astype(np.uint64))
-                if counts.size > 6_000_000:
-                    yield from counts.rows(task, ranges)
-        yield from counts.rows(task, ranges)
+                c, training = Contexts(some.column(0).to_pylist()), ~np.array(some.column(1).to_pylist(), bool)
+                h, doc = c.words()
+                words.add(WORD_FAMILY, h[training[doc]])
+                cases.add(c, training)
+                if words.size + cases.size > MOST_HELD:
+                    yield from out()
+        yield from out()
 
-    return saved(rows.select("t", "aside").mapInArrow(run, COUNTS), "context-counts")
+    names = ["family", "block", *COLUMNS]
+    return rows.select("t", "held_out").mapInArrow(run, COUNTS)
 
 
 def node_counts(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,29 +232,6 @@ def strongest(at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return at[keep], n[keep]
 
 
-def tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prediction (in the logistic domain, times SCALE), confidence (0 to 3) and check of every slot."""
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(b, np.uint8) for k, b in zip(rows["keys"], rows["bytes"])]
-        keys, n = summed(keys, [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]])
-        at, n = node_counts((keys >> np.uint64(8)).astype(np.uint32), (keys & np.uint64(255)).astype(np.uint8), n)
-        return pd.DataFrame([(key[0], at.astype(np.uint32).tobytes(), n.astype(np.float32).tobytes())], columns=["block", "at", "n"])
-
-    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["at"]]).astype(np.int64)
-        n = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 2) for x in rows["n"]]).astype(float)
-        return pd.DataFrame([(key[0], *(x.tobytes() for x in block_tables(at, n)))], columns=["block", "p", "sure", "check"])
-
-    parts = counts.filter(F.col("family") < WORD_FAMILY).select("block", "part", "keys", "bytes", "counts").groupBy("block", "part").applyInPandas(add, "block long, at binary, n binary")
-    found = saved(parts.groupBy("block").applyInPandas(settle, "block long, p binary, sure binary, check binary"), "context-tables")
-    out = [np.zeros((sum(BLOCKS), SLOTS), t) for t in (np.int16, np.uint8, np.uint8)]
-    for r in found.toLocalIterator():  # a partition at a time: some 260 kB a block
-        for x, raw in zip(out, (r.p, r.sure, r.check)):
-            x[r.block] = np.frombuffer(raw, x.dtype)
-    return tuple(x.ravel() for x in out)
-
-
 def block_tables(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One block: of the checks that meet in a slot, the one seen most often stays."""
     places, of = np.unique(at, return_inverse=True)
@@ -360,23 +347,23 @@ def word_counts(counts: DataFrame) -> DataFrame:
     """h, c: how often each word is in the training documents."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, n = summed([np.frombuffer(x, np.uint64) for x in rows["keys"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]])
+        keys, n = summed([np.frombuffer(x, np.uint64) for x in rows["words"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]])
         return pd.DataFrame({"h": keys.view(np.int64), "c": n})
 
-    return saved(counts.filter(F.col("family") == WORD_FAMILY).select("block", "keys", "counts").groupBy("block").applyInPandas(add, "h long, c long"), "word-counts")
+    return saved(counts.filter(F.col("family") == WORD_FAMILY).select("block", "words", "counts").groupBy("block").applyInPandas(add, "h long, c long"), "word-counts")
 
 
-def most_frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of at most MOST_TOP words: all from some power of two on."""
-    powers = words.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+def most_frequent(words: DataFrame, most: int = MOST_TOP, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts (or another column) of at most so many rows of h and c: all from some power of two on."""
+    powers = words.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     least, total = 0, 0
     for p, n in sorted(((r["p"], r["n"]) for r in powers), reverse=True):
-        if total + n > MOST_TOP:
+        if total + n > most:
             least = p + 1
             break
         total += n
-    top = words.filter(F.col("c") >= 1 << least).toArrow()
-    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    top = words.filter(F.col("c") >= 1 << least).select("h", value).toArrow()
+    h, c = top["h"].to_numpy().view(np.uint64), top[value].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -392,29 +379,40 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = df.select(df[doc_id].alias("id"), text_or_empty(df, text).alias("t"), (id_text_crc32(df[doc_id]) % 7 == 2).alias("held_out"))
     train = rows.filter("not held_out")
     ends, size = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
-    spot = F.pmod(F.xxhash64(F.col("id").cast("string"), "t"), F.lit(1 << 40))
-    aside = (spot < int(min(0.05, MIX_DOCS / max(1, ends)) * (1 << 40))) & (F.octet_length("t") <= MIX_BYTES)
-    ranges = max(32, (size or 0) // (16 << 20))
-    counts = count_table(train.withColumn("aside", aside), ranges)
-    mixer = Mixer(*tables(counts))
-    mixer.learn([r["t"] for r in train.filter(aside).select("t").orderBy("t").collect()])
+    ranges, blocks = max(32, (size or 0) // (16 << 20)), max(32, (size or 0) // (8 << 20))
+    path = shared_path(spark, "context-counts")
+    counted = count_table(rows, blocks, ranges)
+    counted.write.option("compression", "zstd").parquet(path)
+    counts = reread(counted, path)
     words = word_counts(counts)
+    cases = case_table(counts.filter(F.col("family") == CASES).select("block", *COLUMNS), blocks)
+    model = Model(*near_table(cases))
+    forget(spark, path)
+    rounds(cases, model, PASSES)
+    costs = case_costs(cases, model)
     known = words.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     unit, end_log = math.log10(total + distinct + 1), math.log10(ends + 1)
     top, top_counts = most_frequent(words)
-    sent = spark.sparkContext.broadcast((mixer, top, np.log10(top_counts + 1.0)))
+    often, bits = most_frequent(costs, MOST_CASES, "cost")
+    sent = spark.sparkContext.broadcast((often, bits, top, np.log10(top_counts + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, tops, logs = sent.value
+        often, bits, tops, logs = sent.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 n = some.num_rows
                 c = Contexts(some.column(1).to_pylist())
-                score = model.score(c)
+                key, back = np.unique(keys_of(*cases_of(c)), return_inverse=True)
+                spot = np.minimum(np.searchsorted(often, key), max(0, len(often) - 1))
+                there = often[spot] == key if len(often) else np.zeros(len(key), bool)
+                cost = np.where(there, bits[spot], 0) if len(often) else np.zeros(len(key))
+                score = -np.add.reduceat(cost[back], c.first) * math.log10(2)
+                seldom = np.flatnonzero(~there[back])
+                breaks = np.searchsorted(seldom, c.first[1:])
                 h, doc = c.words()
                 at = np.minimum(np.searchsorted(tops, h), max(0, len(tops) - 1))
                 hit = tops[at] == h if len(tops) else np.zeros(len(h), bool)
@@ -423,12 +421,13 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                 rare, of = h[~hit], doc[~hit]
                 split = np.searchsorted(of, np.arange(1, n))
                 columns = [some.column(0), some.column(2), pa.array(np.arange(uid, uid + n)), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(there + int(ends > 0)), pa.array(base + end_log), pa.array(score)]
-                yield pa.record_batch([*columns, pa.array([x.tobytes() for x in np.split(rare, split)], pa.binary())], names=names)
+                lists = [pa.array([x.tobytes() for x in np.split(*y)], pa.binary()) for y in ((rare, split), (key[back[seldom]], breaks))]
+                yield pa.record_batch([*columns, *lists], names=names)
                 uid += n
 
-    names = ["doc_id", "held_out", "uid", "n_tokens", "known", "logs", "score", "rare"]
+    names = ["doc_id", "held_out", "uid", "n_tokens", "known", "logs", "score", "rare", "rare_cases"]
     kind = df.schema[doc_id].dataType.simpleString()
-    scored = saved(rows.select("id", "t", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, logs double, score double, rare binary"), "scored")
+    scored = saved(rows.select("id", "t", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, logs double, score double, rare binary, rare_cases binary"), "scored")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,7 +437,9 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     rare = scored.select("uid", "rare").mapInArrow(each, "uid long, h long").join(words, "h")
     rare = rare.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more_logs"), F.count(F.lit(1)).alias("more_known"))
-    out = scored.drop("rare").join(rare, "uid", "left")
+    more = scored.select("uid", "rare_cases").filter(F.length("rare_cases") > 0).mapInArrow(each, "uid long, h long")
+    more = more.join(costs.select("h", "cost"), "h").groupBy("uid").agg((F.sum("cost") * F.lit(-math.log10(2))).alias("more_score"))
+    out = scored.drop("rare", "rare_cases").join(rare, "uid", "left").join(more, "uid", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -446,5 +447,5 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
