@@ -56,6 +56,17 @@ def test_counts_are_whole(table):
     assert word_totals == want
 
 
+def test_all_training_bits_teach(spark, table):
+    model = cases.Model(*cases.near_table(table))
+    bits = 8 * sum(len(t) + 1 for i, t in ROWS if in_training(i))
+    assert in_training(1001) and bits > 8 * 20_000
+    seen, ones = model.seen(cases.stored(table.toPandas(), True))
+    assert seen.sum() == bits and (ones <= seen).all()
+    before = model.weights.copy()
+    cases.rounds(table, model, 2)
+    assert np.isfinite(model.weights).all() and not np.allclose(before, model.weights)
+
+
 def test_rare_cases_are_joined(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     whole = {r["doc_id"]: r["score"] for r in mixing.score_texts(df).collect()}
