@@ -3,7 +3,8 @@
 A gear hash of the last 32 bytes rolls over each text, vectorised by doubling; a chunk ends where its top bits are zero, after
 `LEAST` bytes and before `MOST`, and never inside a character. Boundaries depend on near content alone, so they fall in the same
 places after an insertion. Chunks are compared by a 128-bit digest. Of equal chunks the first stays, by document id and
-place; the others are cut out where such chunks in a row reach `LEAST_RUN` bytes, so that common short phrases stay.
+place. The others are anchors: each match with the first copy is extended byte by byte to both sides, and cut out where it
+reaches `LEAST_RUN` bytes, so that common short phrases stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from loomwell.llm.scratch import saved
 from loomwell.llm.spans import KEYS, SLICE_BYTES, cut_spans, keyed
 
 LEAST, MOST, ZERO_BITS = 32, 160, 5
-#: Bytes of repeated chunks in a row that are cut out at least.
+#: Bytes of an extended match that are cut out at least.
 LEAST_RUN = 96
 WINDOW = 32
 
@@ -106,15 +107,63 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(table: DataFrame) -> DataFrame:
-    """The chunks that are not the first of their digest."""
+    """The chunks that are not the first of their digest, each with the place of the first one."""
     first = table.groupBy("d1", "d2").agg(F.min(F.struct("key1", "key2", "a")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return table.join(first, ["d1", "d2"]).filter(F.struct("key1", "key2", "a") != F.col("first")).select(*KEYS, "a", "b")
+    return table.join(first, ["d1", "d2"]).filter(F.struct("key1", "key2", "a") != F.col("first")).select(*KEYS, "a", "b", "first")
+
+
+def agree(x: np.ndarray, y: np.ndarray) -> int:
+    """How many bytes x and y have in common from their starts on."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differs = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
+        if len(differs):
+            return at + int(differs[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def extended(t: bytes, source: bytes, matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The longest spans of t around its matches (begin, end, begin in the source) that are in the source; whole characters."""
+    x, y = np.frombuffer(t, np.uint8), np.frombuffer(source, np.uint8)
+    out, reached = [], {}
+    for a, b, at in sorted(matches):
+        if reached.get(a - at, -1) >= b:
+            continue
+        begin, end = a - agree(x[:a][::-1], y[:at][::-1]), b + agree(x[b:], y[at + b - a :])
+        reached[a - at] = end
+        while begin < a and x[begin] & 0xC0 == 0x80:
+            begin += 1
+        while b < end < len(x) and x[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((begin, end))
+    return out
+
+
+def repeated_spans(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """key1, key2, a, b: the matches of repeated_chunks(chunks), extended. Bytes cut out have a copy earlier in the order, so a first copy stays."""
+    matches = repeated_chunks(chunks).groupBy(*KEYS, F.col("first.key1").alias("f1"), F.col("first.key2").alias("f2")).agg(F.collect_list(F.struct("a", "b", F.col("first.a").alias("at"))).alias("m"))
+    texts = docs.select(*KEYS, "t").dropDuplicates(KEYS)
+    both = matches.join(texts, KEYS).join(texts.select(F.col("key1").alias("f1"), F.col("key2").alias("f2"), F.col("t").alias("source")), ["f1", "f2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "t", SLICE_BYTES):
+                row, a, b = [], [], []
+                for i in range(some.num_rows):
+                    found = [(m["a"], m["b"], m["at"]) for m in some.column(4)[i].as_py()]
+                    for begin, end in extended(some.column(2)[i].as_py().encode(), some.column(3)[i].as_py().encode(), found):
+                        row.append(i), a.append(begin), b.append(end)
+                at = pa.array(row, pa.int32())
+                yield pa.record_batch([some.column(0).take(at), some.column(1).take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[*KEYS, "a", "b"])
+
+    return both.select(*KEYS, "t", "source", "m").mapInArrow(run, "key1 long, key2 int, a int, b int")
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
     """All rows and columns of df, the repeated chunks cut out of its texts; null texts become empty."""
     docs = keyed(df, doc_id, text, carry=True)
-    out = cut_spans(docs, repeated_chunks(saved(chunk_table(docs), "chunks")), least_run)
+    out = cut_spans(docs, repeated_spans(docs, saved(chunk_table(docs), "chunks")), least_run)
     return out.select(*[F.col("kept").cast("string").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])
 
 
@@ -122,8 +171,8 @@ def chunk_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of df.
 
     Null texts count as empty. Rows that repeat an id and a text are one document. A null id is ordered by a hash of its
-    text. Chunks shorter than 32 bytes, at the ends of texts, always stay.
+    text. Chunks shorter than 32 bytes, at the ends of texts, are no anchors.
     """
     docs = keyed(df, doc_id, text)
-    repeated = repeated_chunks(saved(chunk_table(docs), "chunks"))
+    repeated = repeated_spans(docs, saved(chunk_table(docs), "chunks"))
     return cut_spans(docs, repeated, least_run).withColumnRenamed("id", doc_id)
