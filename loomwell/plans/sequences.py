@@ -16,6 +16,10 @@ def _heads(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(Q.clean(F.col("text")), 1, n).alias("s"), "text")
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", Q.clean(F.col("text")).alias("s"))
+
+
 @query(f"""
     with h as (select doc_id, {_HEAD} as s, text from documents)
     select doc_id, length(s) as n, round((length(s) - length(replace(s, 'A', '')))::double / nullif(length(s), 0), 6) as share_a, round((length(s) - length(regexp_replace(s, '[FWY]', '', 'g')))::double / nullif(length(s), 0), 6) as aromaticity,
@@ -42,7 +46,7 @@ def protein_properties(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def isoelectric_points(spark: SparkSession, d: str) -> DataFrame:
     """By bisection, in an Arrow UDF on counts."""
-    return _heads(spark, d).filter(F.length("s") >= 10).select("doc_id", F.round(Q.isoelectric_point(F.col("s")), 3).alias("pi"))
+    return _whole(spark, d).filter(F.length("s") >= 10).select("doc_id", F.round(Q.isoelectric_point(F.col("s")), 3).alias("pi"))
 
 
 @query(f"""
@@ -121,7 +125,7 @@ def enzyme_families(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def control_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Shuffled residues, and a fragment, for each document; the same for the same seed."""
-    return _heads(spark, d).select("doc_id", Q.shuffled(F.col("s"), F.col("doc_id"), 1).alias("shuffled"), Q.fragment(F.col("s"), F.col("doc_id"), 0.3).alias("fragment"))
+    return _whole(spark, d).select("doc_id", Q.shuffled(F.col("s"), F.col("doc_id"), 1).alias("shuffled"), Q.fragment(F.col("s"), F.col("doc_id"), 0.3).alias("fragment"))
 
 
 @query(f"""
