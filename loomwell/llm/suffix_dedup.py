@@ -1,15 +1,15 @@
-"""Removal of repeated byte strings of a threshold length, by depth-limited radix passes over suffixes.
-
-Only the first `WIDTH` bytes of a suffix (its window) matter. Windows are sorted into ever smaller groups, most significant
-key first, and a group of one is dropped at once:
-
-1. by the smallest hashed `GRAM`-byte string inside (the minimizer). Windows that follow each other and share one occurrence of
-   it form a run; equal windows have equal minimizers. One row a run is kept, some 1/76 of all suffixes.
-2. by the hash of the whole run. Runs equal in all windows are repeated in all of them.
-3. by the whole window, for one run of each kind in a minimizer's group that holds several kinds. Groups of at most
-   `HOT` rows are sorted inside one task as arrays; larger ones are dealt out by the hash of each window.
-
-Groups that are left are exactly the repeated windows; keys are 64-bit hashes, 128 bits for whole runs.
+"""Removal of repeated byte strings of a threshold length, by a depth-limited radix sort of suffixes.
+
+Only the first `WIDTH` bytes of a suffix (its window) matter. Suffixes are dealt into ever smaller groups, and a group of one
+is dropped at once:
+
+1. A first pass deals them by the smallest hashed `GRAM`-byte string in their window (the minimizer). Equal windows have equal
+   ones, and suffixes that follow each other share one occurrence of it, so a run of them is one row: some 1/76 of all suffixes,
+   which is what can be shuffled at all. Runs equal as a whole (128 bits) are repeated in all their windows.
+2. The windows of the other runs, one run of each kind, are ordered inside their group by most-significant-digit passes of
+   `DIGIT` bytes down to the threshold (`equal_windows`). Groups left then are exactly the repeated windows, by their bytes.
+3. Groups of over `HOT` runs are dealt anew first, by the 163 bytes around the minimizer that windows with it at about one
+   distance share. What is crowded still is dealt by whole windows, by aggregation, with 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices
-from loomwell.llm.scratch import saved
+from loomwell.llm.scratch import drop_saved, saved
 from loomwell.llm.spans import KEYS, SLICE_BYTES, aligned, cut_spans, keyed
 
 WIDTH, GRAM = 200, 50
-#: Rows of one minimizer that a task sorts at once.
-HOT = 20_000
+#: Bytes of a digit, and ranges of a crowded minimizer's distance.
+DIGIT, RANGES = 8, 4
+#: Rows of one key that a task sorts at once.
+HOT = 5_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -154,26 +156,52 @@ def spans_of(flags: np.ndarray, run_of: np.ndarray, place: np.ndarray) -> tuple[
     return run_of[first], place[first], place[last]
 
 
-def flatten(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window of the rows' parts, its row, and its place in the document."""
+def flatten(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the rows' parts, and of every window: where it begins there, its row, and its place in the document."""
     count, start = table.column("count").to_numpy().astype(np.int64), table.column("start").to_numpy().astype(np.int64)
     parts = table.column("part").to_pylist()
     sizes = np.array([len(p) for p in parts], np.int64)
-    rolling = Rolling(np.frombuffer(b"".join(parts), np.uint8))
     row = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-    begin = (np.cumsum(sizes) - sizes)[row] + inside
-    return rolling.of(begin, begin + WIDTH), row, start[row] + inside
+    return np.frombuffer(b"".join(parts) + bytes(DIGIT), np.uint8), (np.cumsum(sizes) - sizes)[row] + inside, row, start[row] + inside
+
+
+def equal_windows(group: np.ndarray, data: np.ndarray, begin: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Which windows are equal to another one of their group, by most-significant-digit passes over their bytes.
+
+    A digit is `DIGIT` bytes. Each pass orders the members of every group by the next digit, parts the groups where it differs, and
+    drops groups of one; what is left after the last digit is equal in all bytes. Groups that agree in a digit are not sorted.
+    """
+    digits = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, DIGIT)).view(">u8").ravel()
+    alive = np.argsort(group, kind="stable")
+    part = group[alive]
+    for depth in range(0, width, DIGIT):
+        fresh = np.append(True, part[1:] != part[:-1])
+        single = fresh & np.append(fresh[1:], True)
+        if single.any():
+            alive, fresh = alive[~single], fresh[~single]
+        if not len(alive):
+            break
+        digit = digits[begin[alive] + min(depth, width - DIGIT)].astype(np.uint64)
+        part = np.cumsum(fresh)
+        differs = np.append(False, digit[1:] != digit[:-1]) & ~fresh
+        mixed = np.zeros(part[-1] + 1, bool)
+        mixed[part[differs]] = True
+        some = np.flatnonzero(mixed[part])
+        if len(some):
+            order = some[np.lexsort((digit[some], part[some]))]
+            alive[some], digit[some] = alive[order], digit[order]
+            part = np.cumsum(fresh | np.append(False, digit[1:] != digit[:-1]))
+    fresh = np.append(True, part[1:] != part[:-1]) if len(alive) else np.empty(0, bool)
+    out = np.zeros(len(group), bool)
+    out[alive[~(fresh & np.append(fresh[1:], True))] if len(alive) else alive] = True
+    return out
 
 
 def repeated_windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    hashes, row, place = flatten(table)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    flags = np.zeros(len(h), bool)
-    flags[order] = np.append(same, False) | np.append(False, same)
-    run, first, last = spans_of(flags, row, place)
+    data, begin, row, place = flatten(table)
+    group = np.unique(table.column("k").to_numpy(), return_inverse=True)[1]
+    run, first, last = spans_of(equal_windows(group[row], data, begin), row, place)
     at = pa.array(run)
     key1, key2 = (table.column(c).combine_chunks().take(at) for c in KEYS)
     yield pa.record_batch([key1, key2, pa.array(first.astype(np.int32)), pa.array((last + WIDTH).astype(np.int32))], names=[*KEYS, "a", "b"])
@@ -182,10 +210,30 @@ def repeated_windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
 SPAN = "key1 long, key2 int, a int, b int"
 
 
+PARTS = "key1 long, key2 int, start int, count int, k long, hot boolean, part binary"
+
+
+def by_offset(count: int, k: int, part: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """A crowded run as up to `RANGES` shorter ones, by how far the minimizer is from a window's start: first window, windows, key, bytes.
+
+    The key is the bytes around the minimizer that all windows of the range hold. Equal windows have the minimizer at one
+    distance, so they are in one range and have one key.
+    """
+    rolling = Rolling(np.frombuffer(part, np.uint8))
+    at = int(np.flatnonzero(rolling.all(GRAM)[: WIDTH - GRAM + 1].view(np.int64) == k)[0])
+    step = -(-(WIDTH - GRAM + 1) // RANGES)
+    for r in range(RANGES):
+        near, far = r * step, min((r + 1) * step - 1, WIDTH - GRAM)
+        low, high = max(near, at - count + 1), min(far, at)
+        if low <= high:
+            longer = mix(rolling.of(np.array([at - near]), np.array([at - far + WIDTH])) + np.uint64(r))
+            yield at - high, high - low + 1, int(longer.view(np.int64)[0]), part[at - high : at - low + WIDTH]
+
+
 def parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of each wanted run."""
-    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "count", "k")).alias("r"))
-    lists = lists.select(*KEYS, F.col("r.start").alias("start"), F.col("r.count").alias("count"), F.col("r.k").alias("k"))
+    """The bytes of each wanted run; crowded ones (`hot`) by ranges, with their longer keys."""
+    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "count", "k", "hot")).alias("r"))
+    lists = lists.select(*KEYS, *[F.col(f"r.{c}").alias(c) for c in ("start", "count", "k", "hot")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,31 +242,35 @@ def parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 row, out = [], []
                 for i in range(some.num_rows):
                     data = t[i].as_py().encode()
-                    for s, n, k in zip(*(x[i].as_py() for x in lists_)):
-                        row.append(i), out.append((s, n, k, data[s : s + n + WIDTH - 1]))
+                    for s, n, k, hot in zip(*(x[i].as_py() for x in lists_)):
+                        part = data[s : s + n + WIDTH - 1]
+                        for x in by_offset(n, k, part) if hot else ((0, n, k, part),):
+                            row.append(i), out.append((s + x[0], x[1], x[2], hot, x[3]))
                 at = pa.array(row, pa.int32())
-                rest = [pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))] if out else []
-                if rest:
-                    yield pa.record_batch([key1.take(at), key2.take(at), *rest], names=[*KEYS, "start", "count", "k", "part"])
+                if out:
+                    rest = [pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))]
+                    yield pa.record_batch([key1.take(at), key2.take(at), *rest], names=[*KEYS, "start", "count", "k", "hot", "part"])
 
-    return docs.join(lists, KEYS).mapInArrow(run, "key1 long, key2 int, start int, count int, k long, part binary")
+    return docs.join(lists, KEYS).mapInArrow(run, PARTS)
 
 
-def hot_spans(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Steps 2 and 3 for minimizers with many runs: all groups are formed by aggregation, and none meets in one task."""
-    kinds = table.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "start", "count")).alias("one"))
-    whole = table.join(kinds.filter("n > 1").select("k", "x"), ["k", "x"])
-    whole = whole.select(*KEYS, F.col("start").alias("a"), (F.col("start") + F.col("count") + WIDTH - 1).alias("b"))
+def window_spans(rows: DataFrame) -> DataFrame:
+    """Repeated windows of parts whose longer key is crowded too: one row a window, grouped by aggregation, so none meet in one task."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, row, place = flatten(pa.Table.from_batches([batch]))
+            data, begin, row, place = flatten(pa.Table.from_batches([batch]))
+            hashes = Rolling(data).of(begin, begin + WIDTH)
             at = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], names=[*KEYS, "a", "h"])
+            yield pa.record_batch([*(batch.column(i).take(at) for i in (0, 1)), batch.column(4).take(at), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], names=[*KEYS, "k", "a", "h"])
+
+    each = rows.mapInArrow(windows, "key1 long, key2 int, k long, a int, h long")
+    twice = each.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "h")
+    return each.join(twice, ["k", "h"]).select(*KEYS, "a", (F.col("a") + WIDTH).alias("b"))
 
-    each = saved(parts(docs, kinds.select("one.*", "k")).mapInArrow(windows, "key1 long, key2 int, a int, h long"), "windows")
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return whole.unionByName(each.join(twice, "h").select(*KEYS, "a", (F.col("a") + WIDTH).alias("b")))
+
+def crowded_keys(rows: DataFrame, hot: int) -> DataFrame:
+    return saved(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("k"), "crowded")
 
 
 def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -230,12 +282,28 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot:
     """
     docs = keyed(df, doc_id, text)
     table = saved(run_table(docs), "runs")
-    crowded = saved(table.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("k"), "hot-minimizers")
+    crowded = crowded_keys(table, hot)
     some_hot = not crowded.isEmpty()
     usual = (table.join(crowded, "k", "left_anti") if some_hot else table).select(*table.columns)
     kinds = saved(sorted_groups(usual, run_kinds, f"{RUN}, whole boolean, open boolean").drop("x"), "run-kinds")
-    spans = kinds.filter("whole").select(*KEYS, F.col("start").alias("a"), (F.col("start") + F.col("count") + WIDTH - 1).alias("b"))
-    spans = spans.unionByName(sorted_groups(parts(docs, kinds.filter("open")), repeated_windows, SPAN))
+    whole, wanted = kinds.filter("whole").select(*KEYS, "start", "count"), kinds.filter("open").select(*KEYS, "start", "count", "k", F.lit(False).alias("hot"))
+    if some_hot:
+        runs_ = table.join(crowded, "k", "left_semi")
+        kinds_hot = saved(runs_.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "start", "count")).alias("one")), "hot-kinds")
+        whole = whole.unionByName(runs_.join(kinds_hot.filter("n > 1").select("k", "x"), ["k", "x"]).select(*KEYS, "start", "count"))
+        wanted = wanted.unionByName(kinds_hot.select("one.*", "k", F.lit(True).alias("hot")))
+    opened = saved(parts(docs, wanted), "parts")
+    groups, deep = opened, None
     if some_hot:
-        spans = spans.unionByName(hot_spans(docs, table.join(crowded, "k", "left_semi")))
-    return cut_spans(docs, spans).withColumnRenamed("id", doc_id)
+        # groups of one go at once, and groups that are crowded still are taken apart to single windows
+        known = opened.filter("hot").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        known = saved(known.filter("n > 1"), "longer-keys")
+        groups = opened.filter("not hot").unionByName(opened.filter("hot").join(known.filter(F.col("n") <= hot).select("k"), "k", "left_semi").select(*opened.columns))
+        deep = opened.filter("hot").join(known.filter(F.col("n") > hot).select("k"), "k", "left_semi").select(*opened.columns)
+    spans = whole.select(*KEYS, F.col("start").alias("a"), (F.col("start") + F.col("count") + WIDTH - 1).alias("b"))
+    spans = spans.unionByName(sorted_groups(groups.drop("hot"), repeated_windows, SPAN))
+    if deep:
+        spans = spans.unionByName(window_spans(deep.select(*KEYS, "start", "count", "k", "part")))
+    found = saved(spans, "spans")
+    drop_saved(table, kinds, opened)
+    return cut_spans(docs, found).withColumnRenamed("id", doc_id)
