@@ -1,8 +1,8 @@
 """N-gram Jaccard join of whole texts, and its classes, with set-relation skipping.
 
 A text's set is the hashes of its distinct five-word shingles. Equal sets are one node. Any global order of shingles and the
-prefix rule (a set's first n - ceil(t n) + 1 shingles) finds all pairs; the order here is: rare ones first, by hash, of the lowest
-hashes (`LOW` of all), then the frequent ones of these, then the rest. Lists of one shingle are ordered by set size, so a
+prefix rule (a set's first n - ceil(t n) + 1 shingles) finds all pairs; the order here is: the lowest hashes (`LOW` of all) before the
+rest, and inside both the rarer ones first, by levels. Lists of one shingle are ordered by set size, so a
 set skips all blocks of the list whose sizes or places in the prefix can't reach the threshold.
 
 Answers are derived from similar sets: a first round joins each set with its neighbour in the lists of its smallest hashes only, and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.components import components
-from loomwell.llm.scratch import forget, reread, saved, shared_path
+from loomwell.llm.scratch import forget, reread, saved, shared_path, shuffles_dropped
 from loomwell.llm.suffix_dedup import Rolling, mix
 
 WORDS = 5
@@ -34,14 +34,17 @@ LOW = 0.35
 LOW_END = np.uint64(int(LOW * 2**64))
 #: Smallest hashes of a set whose lists are chained in the first round.
 FIRST = 8
-#: A shingle in so many sets is frequent; at most MOST_HOT of them, the most frequent ones, are sent to all tasks.
-HOT, MOST_HOT = 32, 500_000
+#: A shingle in so many sets is frequent. How frequent is sent to all tasks as a level for each of so many slots; two shingles of one
+#: slot get the higher level, which changes the order of work alone.
+HOT, SLOTS = 32, 1 << 24
 #: Shingles that a task counts at once, about, and prefix entries that a task joins at once, about.
-COUNTED, JOINED = 4_000_000, 1_000_000
+COUNTED, JOINED = 4_000_000, 250_000
+#: Sets of a list that meet in one task; longer lists are dealt out as pairs of blocks.
+BLOCK = 4096
 #: Rounds in which lists of frequent shingles join neighbours only.
 JOIN_ROUNDS = 2
-#: Size of the filter of document ids whose sets are made again for comparison.
-FILTER = 1 << 20
+#: Bits of the filter of document ids whose sets are made again for comparison (8 MB), and of a piece of it.
+FILTER, PIECE = 1 << 26, 1 << 16
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +99,11 @@ def node_of(digest: bytes) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """How many hashes fall into each of a power of two buckets, one to two on average; empty if a count is too large."""
-    bits = max(4, len(h).bit_length() - 1)
-    n = np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 128 else b""
+    """A bitmap of 8 to 16 bits for each hash: the bits that the hashes fall on."""
+    bits = 1 << max(6, (8 * len(h) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
 
 
 class Sketches:
@@ -108,26 +112,32 @@ class Sketches:
     def __init__(self, raw: list[bytes]):
         self.sizes = np.array([len(x) for x in raw], np.int64)
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in np.unique(self.sizes[self.sizes > 0]).tolist():
+        for size in np.unique(self.sizes).tolist():
             parts, at = [], np.full(len(raw), -1, np.int32)
             for fold in (1, 2):
                 used = np.flatnonzero(self.sizes == fold * size)
-                m = np.frombuffer(b"".join([raw[k] for k in used.tolist()]), np.uint8).reshape(-1, fold, size)
+                m = np.frombuffer(b"".join([raw[k] for k in used.tolist()]), np.uint64).reshape(-1, fold, size // 8)
                 at[used] = sum(map(len, parts)) + np.arange(len(used))
-                parts.append(m.sum(axis=1, dtype=np.uint8))  # counts are under 128 each
+                parts.append(np.bitwise_or.reduce(m, axis=1))
             self.by_size[size] = np.concatenate(parts), at
 
-    def most_common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """For each pair of places, the largest intersection that their sketches allow; a large number if they set no bound."""
-        out = np.full(len(i), 1 << 40)
+    def most_common(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """For each pair of places, of sets of n and m, the largest intersection that their sketches allow.
+
+        Each bit that only one of two sketches has stands for a hash at least that the other set lacks. Sketches that differ in
+        size by more than a half set no bound but the smaller set.
+        """
+        out = np.minimum(n, m)
         least = np.minimum(self.sizes[i], self.sizes[j])
-        for size in np.unique(least[least > 0]).tolist():
+        for size in np.unique(least).tolist():
             matrix, at = self.by_size[size]
             pairs = np.flatnonzero(least == size)
             pairs = pairs[(at[i[pairs]] >= 0) & (at[j[pairs]] >= 0)]
             for a in range(0, len(pairs), 20_000):
                 some = pairs[a : a + 20_000]
-                out[some] = np.minimum(matrix[at[i[some]]], matrix[at[j[some]]]).sum(axis=1, dtype=np.int64)
+                x, y = matrix[at[i[some]]], matrix[at[j[some]]]
+                lacks = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((x, y), (y, x))]
+                out[some] = np.minimum(n[some] - lacks[0], m[some] - lacks[1])
         return out
 
 
@@ -144,7 +154,8 @@ def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
                     own = h[a:b]
                     n.append(b - a)
                     node.append(node_of(xxhash.xxh3_128_digest(own.tobytes())) if b > a else None)
-                    keep = max(int(np.searchsorted(own, LOW_END)), prefix(b - a, t))
+                    keep = int(np.searchsorted(own, LOW_END))
+                    keep = keep if keep >= prefix(b - a, t) else b - a
                     low.append(own[:keep].tobytes())
                     sketches.append(sketch(own))
                 columns = [some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary()), pa.array(sketches, pa.binary())]
@@ -155,15 +166,15 @@ def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, low binary, sketch binary")
 
 
-def distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """node, n and kept hashes of each node that this task meets, once."""
+def distinct_nodes(batches: Iterator[pa.RecordBatch], more: str = "n") -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """node, n, kept hashes and another column of each node that this task meets, once."""
     seen: set[int] = set()
     for batch in batches:
-        nodes, n, low = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "n", "low"))
+        nodes, n, low, other = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "n", "low", more))
         for i, node in enumerate(nodes.to_pylist()):
             if node is not None and node not in seen:
                 seen.add(node)
-                yield node, n[i].as_py(), np.frombuffer(low[i].as_buffer(), np.uint64)
+                yield node, n[i].as_py(), np.frombuffer(low[i].as_buffer(), np.uint64), other[i].as_py()
 
 
 def entry_batch(token: list, node: list, n: list, pos: list) -> pa.RecordBatch:
@@ -184,7 +195,7 @@ def first_round(sets: DataFrame, t: int) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int]] = []
-        for node, n, low in distinct_nodes(batches):
+        for node, n, low, _ in distinct_nodes(batches):
             rows += [(x, node, n) for x in low[:FIRST].view(np.int64).tolist()]
             if len(rows) > 50_000:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], names=["token", "node", "n"])
@@ -210,10 +221,10 @@ def first_round(sets: DataFrame, t: int) -> DataFrame:
     return rows.repartition(parts, "token").sortWithinPartitions("token", "n", "node").mapInArrow(chain, PAIR).distinct()
 
 
-def frequent(sets: DataFrame, kept: int) -> tuple[np.ndarray, int]:
-    """Frequent shingles among the lowest hashes, by their first bits + 32 bits, and how many bits come first.
+def levels_of(sets: DataFrame, kept: int) -> tuple[np.ndarray, np.uint64]:
+    """How frequent the kept shingles are, as a level for each slot (0: in fewer than HOT sets), and which bits of a hash name the slot.
 
-    Which ones are taken for frequent only orders the work; pairs are the same.
+    All kept shingles of all sets are counted. The levels have one size whatever the input, and order the work only; pairs are the same.
     """
     bits = max(6, int(np.ceil(np.log2(max(1, kept) / COUNTED))) + 1)
     shift = np.uint64(32 - bits)
@@ -229,8 +240,8 @@ def frequent(sets: DataFrame, kept: int) -> tuple[np.ndarray, int]:
             blobs = [x.astype(np.uint32).tobytes() for x in np.split(keys, at[1:])]
             return pa.record_batch([pa.array(ids.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "keys"])
 
-        for _, _, low in distinct_nodes(batches):
-            held.append(low[low < LOW_END])
+        for _, _, low, _ in distinct_nodes(batches):
+            held.append(low)
             size += len(low)
             if size > 2_000_000:
                 yield out()
@@ -241,32 +252,38 @@ def frequent(sets: DataFrame, kept: int) -> tuple[np.ndarray, int]:
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"]]), return_counts=True)
         keys, n = keys[n >= HOT], n[n >= HOT]
-        return pd.DataFrame({"key": (np.uint64(key[0]) << np.uint64(32) | keys.astype(np.uint64)).astype(np.int64), "n": n.astype(np.int64)})
-
-    counts = saved(sets.select("node", "n", "low").mapInArrow(split, "bucket long, keys binary").groupBy("bucket").applyInPandas(count, "key long, n long"), "frequent")
-    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
-    least, total = HOT, 0
-    for power, n in sorted(((r["p"], r["c"]) for r in powers), reverse=True):
-        if total + n > MOST_HOT:
-            least = 1 << (power + 1)
-            break
-        total += n
-    keys = counts.filter(F.col("n") >= least).select("key").toArrow()["key"].to_numpy().view(np.uint64)
-    return np.sort(keys), bits
-
-
-def in_order(low: np.ndarray, hot: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        level = np.log2(n // HOT).astype(np.int32) + 1
+        slot = keys.astype(np.int64) % SLOTS
+        order = np.lexsort((-level, slot))
+        first = order[np.append(True, np.diff(slot[order]) > 0)] if len(order) else order
+        return pd.DataFrame({"slot": slot[first], "level": level[first]})
+
+    def dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(PIECE, np.uint8)
+        own[rows["slot"].to_numpy() % PIECE] = rows["level"].to_numpy()
+        return pd.DataFrame([(key[0], own.tobytes())], columns=["piece", "levels"])
+
+    counts = sets.select("node", "n", "low").mapInArrow(split, "bucket long, keys binary").groupBy("bucket").applyInPandas(count, "slot long, level int")
+    pieces = counts.groupBy("slot").agg(F.max("level").alias("level")).withColumn("piece", F.floor(F.col("slot") / PIECE))
+    levels = np.zeros(SLOTS, np.uint8)
+    for r in saved(pieces.groupBy("piece").applyInPandas(dense, "piece long, levels binary"), "levels").toLocalIterator():
+        levels[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["levels"], np.uint8)
+    return levels, shift
+
+
+def in_order(low: np.ndarray, levels: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The kept hashes in the global order, and which of them are frequent."""
-    keys = low >> shift
-    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
-    often = (hot[at] == keys) & (low < LOW_END) if len(hot) else np.zeros(len(low), bool)
-    rank = np.where(low >= LOW_END, 2, often.astype(np.int8))
-    order = np.argsort(rank, kind="stable")
-    return low[order], often[order]
+    level = levels[((low >> shift) & np.uint64(SLOTS - 1)).astype(np.int64)]
+    order = np.argsort((low >= LOW_END) * 64 + level.astype(np.int64), kind="stable")
+    return low[order], level[order] > 0
 
 
-def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one list that can reach the threshold. Rows in order of token, n; group: pairs of one group are skipped."""
+def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndarray, t: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list that can reach the threshold. Rows in order of token, n; pairs of one group are skipped.
+
+    A pair that holds is found in the list of its first common shingle, and has no more in common than what follows there
+    in both; pairs whose places leave too little are skipped. side: of two blocks of a list that meet, pairs of one block are skipped.
+    """
     new = np.append(True, token[1:] != token[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(token)))
@@ -278,8 +295,9 @@ def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, group: np.ndar
         i = i[i + step < end[i]]
         i = i[t * n[i + step] <= 100 * n[i]]
         j = i + step
-        rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        good = (group[i] != group[j]) & (np.minimum(pos[i], pos[j]) + rest >= needed(n[i], n[j], t))
+        good = (group[i] != group[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], t))
+        if side is not None:
+            good &= (side[i] != side[j]) | (side[i] < 0)
         if good.any():
             yield i[good], j[good]
 
@@ -288,47 +306,51 @@ class Prefixes:
     """The sets' prefixes in the global order, as lists of rare and of frequent shingles."""
 
     def __init__(self, sets: DataFrame, t: int, kept: int, entries: int):
-        self.sets, self.t, self.buckets = sets.select("node", "n", "low"), t, max(32, -(-entries // JOINED))
-        hot, bits = frequent(sets, kept)
-        self.any_often, self.shift = len(hot) > 0, np.uint64(32 - bits)
-        self.sent = sets.sparkSession.sparkContext.broadcast(hot)
-        self.often = saved(self.sets.mapInArrow(self.entries(True), ENTRY).distinct(), "frequent-lists") if self.any_often else None
+        self.sets, self.t, self.buckets = sets.select("node", "n", "low"), t, max(32, -(-entries // (4 * JOINED)))
+        levels, self.shift = levels_of(sets, kept)
+        self.any_often = bool(levels.any())
+        self.sent = sets.sparkSession.sparkContext.broadcast(levels)
+        self.often = self.long = None
+        if self.any_often:
+            self.often = saved(self.sets.mapInArrow(self.entries(True), ENTRY).distinct(), "frequent-lists")
+            lists = self.often.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
+            self.long = saved(lists.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "long-lists")
 
     def entries(self, often_too: bool):
         sent, shift, t, buckets = self.sent, self.shift, self.t, self.buckets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token, node, n, pos, size = [], [], [], [], 0
-            for one, count, low in distinct_nodes(batches):
+            token, node, n, pos, group, size = [], [], [], [], [], 0
+            for one, count, low, own in distinct_nodes(batches, "n" if often_too else "class"):
                 ordered, often = in_order(low, sent.value, shift)
                 p = prefix(count, t)
                 take = np.flatnonzero(often[:p] == often_too)
                 if not len(take):
                     continue
                 token.append(ordered[take]), pos.append(take.astype(np.int64))
-                node.append(np.full(len(take), one, np.int64)), n.append(np.full(len(take), count, np.int64))
+                node.append(np.full(len(take), one, np.int64)), n.append(np.full(len(take), count, np.int64)), group.append(np.full(len(take), own, np.int64))
                 size += len(take)
-                if size > 1_000_000:
-                    yield from pack(token, node, n, pos)
-                    token, node, n, pos, size = [], [], [], [], 0
+                if size > 500_000:
+                    yield from pack(token, node, n, pos, group)
+                    token, node, n, pos, group, size = [], [], [], [], [], 0
             if size:
-                yield from pack(token, node, n, pos)
+                yield from pack(token, node, n, pos, group)
 
-        def pack(token: list, node: list, n: list, pos: list) -> Iterator[pa.RecordBatch]:
+        def pack(token: list, node: list, n: list, pos: list, group: list) -> Iterator[pa.RecordBatch]:
             if often_too:
                 yield entry_batch(token, node, n, pos)
                 return
-            columns = [np.concatenate(x) for x in (token, node, n, pos)]
+            columns = [np.concatenate(x) for x in (token, node, n, pos, group)]
             bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ids, at = np.unique(bucket[order], return_index=True)
             rows = []
             for i, own in zip(ids.tolist(), np.split(order, at[1:])):
-                t_, node_, n_, pos_ = (c[own] for c in columns)
+                t_, node_, n_, pos_, group_ = (c[own] for c in columns)
                 head = np.flatnonzero(np.append(True, node_[1:] != node_[:-1]))
                 short = np.uint16 if pos_.max() < 1 << 16 else np.uint32
-                rows.append((i, (t_ >> np.uint64(16)).astype(np.uint32).tobytes(), pos_.astype(short).tobytes(), node_[head].tobytes(), n_[head].astype(np.uint32).tobytes(), np.diff(np.append(head, len(own))).astype(short).tobytes()))
-            yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 5))], names=["bucket", "token", "pos", "node", "n", "times"])
+                rows.append((i, (t_ >> np.uint64(16)).astype(np.uint32).tobytes(), pos_.astype(short).tobytes(), node_[head].tobytes(), n_[head].astype(np.uint32).tobytes(), np.diff(np.append(head, len(own))).astype(short).tobytes(), group_[head].tobytes()))
+            yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 6))], names=["bucket", "token", "pos", "node", "n", "times", "class"])
 
         return run
 
@@ -339,50 +361,58 @@ class Prefixes:
         def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             return joined(rows, t)
 
-        kinds = "bucket long, token binary, pos binary, node binary, n binary, times binary"
-        pairs = self.sets.mapInArrow(self.entries(False), kinds).groupBy("bucket").applyInPandas(join, PAIR).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(classes.withColumnsRenamed({"node": side, "class": f"class_{side}"}), side, "left")
-        return pairs.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+        kinds = "bucket long, token binary, pos binary, node binary, n binary, times binary, class binary"
+        named = self.sets.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        return named.mapInArrow(self.entries(False), kinds).groupBy("bucket").applyInPandas(join, PAIR).distinct()
 
     def often_pairs(self, nodes: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
         """Pairs of different classes that share a frequent shingle and that their sketches allow.
 
         Without `every`, each row of a list meets only the next one, in an order of that list's own, so there are no more
-        pairs than rows: that joins most classes before all pairs between the classes left are made.
+        pairs than rows: that joins most classes before all pairs between the classes left are made. A list of over
+        `BLOCK` sets is dealt out in blocks, and every pair of blocks is a task's work, so no list meets in one task.
         """
-        t = self.t
+        t, many = self.t, self.often.count()
 
         def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             return often_joined(rows, t, every)
 
-        count = self.often.count()
-        bucket = F.pmod(F.xxhash64("token"), F.lit(max(16, -(-count // JOINED)))).alias("bucket")
         named = self.often.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(nodes.select("node", "sketch"), "node")
-        return named.select(bucket, "token", "node", "n", "pos", "class", "sketch").groupBy("bucket").applyInPandas(join, PAIR).distinct()
+        named = named.withColumns({"side": F.lit(-1), "list": F.col("token")})
+        if not self.long.isEmpty():
+            own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
+            crowded = named.join(self.long, "token").withColumn("own", own)
+            if every:
+                crowded = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                crowded = crowded.withColumns({"side": F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(-1), "list": F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))})
+            else:
+                crowded = crowded.withColumn("list", F.xxhash64("token", "own"))
+            named = named.join(self.long.select("token"), "token", "left_anti").select(*named.columns).unionByName(crowded.select(*named.columns))
+        bucket = F.pmod(F.xxhash64("list"), F.lit(max(16, -(-many // JOINED)))).alias("bucket")
+        return named.select(bucket, F.col("list").alias("token"), "node", "n", "pos", "class", "sketch", "side").groupBy("bucket").applyInPandas(join, PAIR).distinct()
 
 
 def joined(rows: pd.DataFrame, t: int) -> pd.DataFrame:
     # 32 bits of a shingle are enough inside a bucket: where two are taken for one, the sets are compared in vain
-    token, node, n, pos = [], [], [], []
-    for r in rows.itertuples():
-        own = np.frombuffer(r.token, np.uint32)
-        short = np.uint16 if len(r.pos) < len(r.token) else np.uint32
-        times = np.frombuffer(r.times, short)
-        token.append(own), pos.append(np.frombuffer(r.pos, short).astype(np.uint32))
-        node.append(np.repeat(np.frombuffer(r.node, np.int64), times)), n.append(np.repeat(np.frombuffer(r.n, np.uint32), times))
-    token, node, n, pos = (np.concatenate(x) for x in (token, node, n, pos))
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    for token_, pos_, node_, n_, times_, class_ in zip(*(rows[c] for c in ("token", "pos", "node", "n", "times", "class"))):
+        short = np.uint16 if len(pos_) < len(token_) else np.uint32
+        times = np.frombuffer(times_, short)
+        own = np.frombuffer(token_, np.uint32), *(np.repeat(np.frombuffer(x, k), times) for x, k in ((node_, np.int64), (n_, np.uint32))), np.frombuffer(pos_, short).astype(np.uint32), np.repeat(np.frombuffer(class_, np.int64), times)
+        for part, x in zip(parts, own):
+            part.append(x)
+    columns = [np.concatenate(x) for x in parts]
     # most shingles are in one set only
-    order = np.argsort(token)
-    token = token[order]
+    order = np.argsort(columns[0])
+    token = columns[0][order]
     same = token[1:] == token[:-1]
-    order, token = (x[np.append(same, False) | np.append(False, same)] for x in (order, token))
-    node, n, pos = node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    order = np.lexsort((node, n, token))
-    token, node, n, pos = token[order], node[order], n[order], pos[order]
+    order = order[np.append(same, False) | np.append(False, same)]
+    token, node, n, pos, group = (x[order] for x in columns)
+    order = np.lexsort((pos, node, n, token))  # of two places under one code the first one stays, which allows more
+    token, node, n, pos, group = (x[order] for x in (token, node, n.astype(np.int64), pos.astype(np.int64), group))
     fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])) if len(token) else np.empty(0, bool)
-    token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
-    found = [np.stack([node[i], node[j]], axis=1) for i, j in list_pairs(token, n, pos, node, t)]
+    token, node, n, pos, group = (x[fresh] for x in (token, node, n, pos, group))
+    found = [np.stack([node[i], node[j]], axis=1) for i, j in list_pairs(token, n, pos, group, t)]
     both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     both = np.unique(np.sort(both, axis=1), axis=0)
     return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
@@ -390,20 +420,20 @@ def joined(rows: pd.DataFrame, t: int) -> pd.DataFrame:
 
 def often_joined(rows: pd.DataFrame, t: int, every: bool) -> pd.DataFrame:
     """Pairs of lists of frequent shingles."""
-    token, node, n, pos, group = (rows[c].to_numpy() for c in ("token", "node", "n", "pos", "class"))
-    last = (node if every else mix(node.view(np.uint64) ^ mix(token.view(np.uint64)))), (n if every else token), token
-    order = np.lexsort(last)
-    token, node, n, pos, group = (x[order] for x in (token, node, n, pos, group))
+    columns = [rows[c].to_numpy() for c in ("token", "node", "n", "pos", "class", "side")]
+    token, node, n = columns[:3]
+    order = np.lexsort((node, n, token) if every else (mix(node.view(np.uint64) ^ mix(token.view(np.uint64))), token))
+    columns = [x[order] for x in columns]
+    token, group = columns[0], columns[4]
     heads = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     lists = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(token))))
     varied = np.flatnonzero((np.minimum.reduceat(group, heads) != np.maximum.reduceat(group, heads))[lists])
-    token, node, n, pos, group = (x[varied] for x in (token, node, n, pos, group))
-    raw = rows["sketch"].to_numpy()[order[varied]].tolist()
-    sketches = Sketches(raw)
+    token, node, n, pos, group, side = (x[varied] for x in columns)
+    sketches = Sketches(rows["sketch"].to_numpy()[order[varied]].tolist())
     ids, of = np.unique(node, return_inverse=True)
     made, held = [np.empty(0, np.int64)], 0
-    for i, j in list_pairs(token, n, pos, group, t) if every else neighbours(token, n, group, t):
-        good = sketches.most_common(i, j) >= needed(n[i], n[j], t)
+    for i, j in list_pairs(token, n, pos, group, t, side) if every else neighbours(token, n, group, t):
+        good = sketches.most_common(i, j, n[i], n[j]) >= needed(n[i], n[j], t)
         made.append(np.minimum(of[i[good]], of[j[good]]) * len(ids) + np.maximum(of[i[good]], of[j[good]]))
         held += len(made[-1])
         if held > 2_000_000:
@@ -431,8 +461,9 @@ def bounded(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
                 continue
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             k = batch.num_rows
-            most = Sketches(get("sketch_a").to_pylist() + get("sketch_b").to_pylist()).most_common(np.arange(k), np.arange(k, 2 * k))
-            keep = pa.array(most >= needed(get("n_a").to_numpy(), get("n_b").to_numpy(), t))
+            n, m = get("n_a").to_numpy(), get("n_b").to_numpy()
+            most = Sketches(get("sketch_a").to_pylist() + get("sketch_b").to_pylist()).most_common(np.arange(k), np.arange(k, 2 * k), n, m)
+            keep = pa.array(most >= needed(n, m, t))
             yield pa.record_batch([get(c).filter(keep) for c in columns], names=columns)
 
     return saved(pairs.mapInArrow(run, "a long, b long, rep_a long, rep_b long"), "near-pairs")
@@ -446,15 +477,22 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
     fixed size, and others that pass it are left out by the join.
     """
     spark, pairs = df.sparkSession, bounded(pairs, nodes, t)
-    spots = [r["spot"] for r in pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct().collect()]
-    wanted = np.zeros(FILTER, bool)
-    wanted[spots] = True
-    sent = spark.sparkContext.broadcast(np.packbits(wanted))
+    def bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(PIECE, bool)
+        own[rows["spot"].to_numpy() % PIECE] = True
+        return pd.DataFrame([(key[0], np.packbits(own).tobytes())], columns=["piece", "bits"])
+
+    spots = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct()
+    wanted = np.zeros(FILTER // 8, np.uint8)
+    for r in spots.withColumn("piece", F.floor(F.col("spot") / PIECE)).groupBy("piece").applyInPandas(bits, "piece long, bits binary").collect():
+        wanted[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(sent.value).astype(bool)
+        there = sent.value
         for batch in batches:
-            own = batch.filter(pa.array(there[batch.column(0).to_numpy(zero_copy_only=False)]))
+            spot = batch.column(0).to_numpy(zero_copy_only=False)
+            own = batch.filter(pa.array((there[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)))
             for some in slices(own, "t", SLICE_BYTES):
                 h, at = shingle_sets(some.column(2).to_pylist())
                 raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
@@ -476,13 +514,15 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
     id_ = df[doc_id].cast("long")
     rows = df.select(F.pmod(F.xxhash64(id_), F.lit(FILTER)).alias("spot"), id_.alias("rep"), text_or_empty(df, text).alias("t"))
     made, path = rows.mapInArrow(sets, "node long, rep long, set binary"), shared_path(spark, "sets")
-    made.write.option("compression", "none").parquet(path)
+    with shuffles_dropped(spark):
+        made.write.option("compression", "none").parquet(path)
     made = reread(made, path)
     for side, name in (("a", "x"), ("b", "y")):
         right = made.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(f"_rep_{side}"), F.col("set").alias(name))
         pairs = pairs.join(right, (F.col(side) == F.col(f"_{side}")) & F.col(f"rep_{side}").eqNullSafe(F.col(f"_rep_{side}"))).drop(f"_{side}", f"_rep_{side}")
     out = saved(pairs.mapInArrow(compare, PAIR).distinct(), "links")
     forget(spark, path)
+    sent.unpersist()
     return out
 
 

@@ -152,6 +152,32 @@ def test_shingle_join_crowded(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_join(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_shingle_join_without_links(spark, monkeypatch, block):
+    """Texts of 24 common words and 8 to 10 of their own do not link, and make few pairs; near ones in long lists do."""
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(24))
+    texts = [common + " " + " ".join(f"o{i}x{k}" for k in range(rng.randint(8, 10))) for i in range(150)]
+    base = [f"b{k}" for k in range(60)]
+    for i in range(90):  # from one base, with one to five edits: some pairs link and some do not
+        w = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 5)):
+            w[at] = f"e{i}x{at}"
+        texts.append(" ".join(w))
+    rows, made, whole = list(enumerate(texts)), [], shingle_join.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingle_join.shingle_join(df)[0].select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_join(rows)
+    assert max(made[1:], default=0) < 3 * len(texts)
+
+
 def test_one_of_each_class(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = sorted(d for d, _, c in brute_join(rows) if d == c)
@@ -165,7 +191,7 @@ def test_sketch_bounds():
         n, m = rng.integers(1, 900, 2)
         common = rng.integers(0, 2**63, rng.integers(0, min(n, m) + 1)).astype(np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k - len(common)).astype(np.uint64)])) for k in (n, m))
-        assert shingle_join.Sketches([shingle_join.sketch(a), shingle_join.sketch(b)]).most_common(np.array([0]), np.array([1]))[0] >= len(np.intersect1d(a, b))
+        assert shingle_join.Sketches([shingle_join.sketch(a), shingle_join.sketch(b)]).most_common(np.array([0]), np.array([1]), np.array([len(a)]), np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
 
 
 def test_components(spark):
