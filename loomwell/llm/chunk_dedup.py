@@ -3,8 +3,9 @@
 A gear hash of the last 32 bytes rolls over each text, vectorised by doubling; a chunk ends where its top bits are zero, after
 `LEAST` bytes and before `MOST`, and never inside a character. Boundaries depend on near content alone, so they fall in the same
 places after an insertion. Chunks are compared by a 128-bit digest. Of equal chunks the first stays, by document id and
-place. The others are anchors: each match with the first copy is extended byte by byte to both sides, and cut out where it
-reaches `LEAST_RUN` bytes, so that common short phrases stay.
+place. The others are anchors: neighbouring matches with one copy are a run, each run is extended byte by byte to both sides, up to
+`REACH` bytes, and cut out where it reaches `LEAST_RUN` bytes, so that common short phrases stay. Only the copy's `REACH` bytes
+beside a run travel to the other document, not its text.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices
-from loomwell.llm.scratch import saved
-from loomwell.llm.spans import KEYS, SLICE_BYTES, cut_spans, keyed
+from loomwell.llm.scratch import drop_saved, saved
+from loomwell.llm.spans import KEYS, SLICE_BYTES, cut_found, keyed
 
 LEAST, MOST, ZERO_BITS = 32, 160, 5
 #: Bytes of an extended match that are cut out at least.
 LEAST_RUN = 96
 WINDOW = 32
+#: Bytes by which a run is extended to a side at most: two of the longest chunks, as after these a whole one would have matched.
+REACH = 2 * MOST
 
 
 def gear_table() -> np.ndarray:
@@ -106,64 +109,111 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.select(*KEYS, "t").mapInArrow(run, "key1 long, key2 int, a int, b int, d1 long, d2 long")
 
 
-def repeated_chunks(table: DataFrame) -> DataFrame:
-    """The chunks that are not the first of their digest, each with the place of the first one."""
+def matched_chunks(table: DataFrame) -> DataFrame:
+    """For each document its chunks that are not the first of their digest: key1, key2, m (begin, end, keys and begin of the first one)."""
     first = table.groupBy("d1", "d2").agg(F.min(F.struct("key1", "key2", "a")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return table.join(first, ["d1", "d2"]).filter(F.struct("key1", "key2", "a") != F.col("first")).select(*KEYS, "a", "b", "first")
+    first = saved(first.select("d1", "d2", "first"), "first-chunks")
+    found = table.join(first, ["d1", "d2"]).filter(F.struct("key1", "key2", "a") != F.col("first"))
+    one = F.struct("a", "b", F.col("first.key1").alias("f1"), F.col("first.key2").alias("f2"), F.col("first.a").alias("at"))
+    out = saved(found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(one)).alias("m")), "matches")
+    drop_saved(first)
+    return out
 
 
-def agree(x: np.ndarray, y: np.ndarray) -> int:
-    """How many bytes x and y have in common from their starts on."""
-    n, at, step = min(len(x), len(y)), 0, 64
-    while at < n:
-        differs = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
-        if len(differs):
-            return at + int(differs[0])
-        at, step = at + step, step * 4
-    return n
-
-
-def extended(t: bytes, source: bytes, matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The longest spans of t around its matches (begin, end, begin in the source) that are in the source; whole characters."""
-    x, y = np.frombuffer(t, np.uint8), np.frombuffer(source, np.uint8)
-    out, reached = [], {}
-    for a, b, at in sorted(matches):
-        if reached.get(a - at, -1) >= b:
-            continue
-        begin, end = a - agree(x[:a][::-1], y[:at][::-1]), b + agree(x[b:], y[at + b - a :])
-        reached[a - at] = end
-        while begin < a and x[begin] & 0xC0 == 0x80:
-            begin += 1
-        while b < end < len(x) and x[end] & 0xC0 == 0x80:
-            end -= 1
-        out.append((begin, end))
+Run = tuple[int, int, int, int, int]
+
+
+def runs_of(m: list[dict]) -> list[Run]:
+    """Neighbouring matches with neighbouring chunks of one document as one: begin, end, the copy's keys and begin."""
+    out: list[Run] = []
+    for x in m:
+        if out:
+            a, b, f1, f2, at = out[-1]
+            if b == x["a"] and (f1, f2, at + b - a) == (x["f1"], x["f2"], x["at"]):
+                out[-1] = a, x["b"], f1, f2, at
+                continue
+        out.append((x["a"], x["b"], x["f1"], x["f2"], x["at"]))
     return out
 
 
-def repeated_spans(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """key1, key2, a, b: the matches of repeated_chunks(chunks), extended. Bytes cut out have a copy earlier in the order, so a first copy stays."""
-    matches = repeated_chunks(chunks).groupBy(*KEYS, F.col("first.key1").alias("f1"), F.col("first.key2").alias("f2")).agg(F.collect_list(F.struct("a", "b", F.col("first.a").alias("at"))).alias("m"))
-    texts = docs.select(*KEYS, "t").dropDuplicates(KEYS)
-    both = matches.join(texts, KEYS).join(texts.select(F.col("key1").alias("f1"), F.col("key2").alias("f2"), F.col("t").alias("source")), ["f1", "f2"])
+EDGE = "key1 long, key2 int, place int, after boolean, f1 long, f2 int, pos int"
+
+
+def run_edges(matches: DataFrame) -> DataFrame:
+    """Both ends of each run, and where they are in the copy. One row a document and place, as the copy of a chunk is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key1, key2, m in zip(*(c.to_pylist() for c in batch.columns)):
+                for a, b, f1, f2, at in runs_of(m):
+                    rows += [(key1, key2, a, False, f1, f2, at), (key1, key2, b, True, f1, f2, at + b - a)]
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*rows), kinds)], names=[f.split()[0] for f in EDGE.split(", ")])
+
+    return matches.select(*KEYS, "m").mapInArrow(run, EDGE)
+
+
+def beside(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """f1, f2, pos, after, piece: the copies' bytes before or after each place that is asked for, once."""
+    asked = edges.select("f1", "f2", "pos", "after").distinct().groupBy("f1", "f2").agg(F.collect_list(F.struct("pos", "after")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
-                row, a, b = [], [], []
+                row, out = [], []
                 for i in range(some.num_rows):
-                    found = [(m["a"], m["b"], m["at"]) for m in some.column(4)[i].as_py()]
-                    for begin, end in extended(some.column(2)[i].as_py().encode(), some.column(3)[i].as_py().encode(), found):
-                        row.append(i), a.append(begin), b.append(end)
-                at = pa.array(row, pa.int32())
-                yield pa.record_batch([some.column(0).take(at), some.column(1).take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=[*KEYS, "a", "b"])
+                    data = some.column(2)[i].as_py().encode()
+                    for x in some.column(3)[i].as_py():
+                        at = x["pos"]
+                        row.append(i), out.append((at, x["after"], data[at : at + REACH] if x["after"] else data[max(0, at - REACH) : at]))
+                if out:
+                    at = pa.array(row, pa.int32())
+                    rest = [pa.array(x, y) for x, y in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary()))]
+                    yield pa.record_batch([some.column(0).take(at), some.column(1).take(at), *rest], names=["f1", "f2", "pos", "after", "piece"])
+
+    named = docs.select(F.col("key1").alias("f1"), F.col("key2").alias("f2"), "t").join(asked, ["f1", "f2"])
+    return named.mapInArrow(run, "f1 long, f2 int, pos int, after boolean, piece binary").dropDuplicates(["f1", "f2", "pos", "after"])
+
+
+def agree(x: bytes, y: bytes) -> int:
+    """How many bytes x and y have in common from their starts on."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
+
+
+def extended(t: bytes, m: list[dict], edges: list[dict] | None) -> Iterator[tuple[int, int]]:
+    """The spans of t that its matches cover, with what agrees beside them; whole characters."""
+    pieces = {(e["place"], e["after"]): e["piece"] for e in edges or ()}
+    for a, b, *_ in runs_of(m):
+        before, after = pieces.get((a, False), b""), pieces.get((b, True), b"")
+        begin, end = a - agree(t[max(0, a - REACH) : a][::-1], before[::-1]), b + agree(t[b : b + REACH], after)
+        while begin < a and t[begin] & 0xC0 == 0x80:
+            begin += 1
+        while b < end < len(t) and t[end] & 0xC0 == 0x80:
+            end -= 1
+        yield begin, end
+
 
-    return both.select(*KEYS, "t", "source", "m").mapInArrow(run, "key1 long, key2 int, a int, b int")
+def without_spans(docs: DataFrame, least: int) -> DataFrame:
+    """The keyed documents without the spans that an earlier place holds. Bytes cut out have a copy earlier in the order, so a first copy stays."""
+    table = saved(chunk_table(docs), "chunks")
+    matches = matched_chunks(table)
+    drop_saved(table)
+    edges = run_edges(matches)
+    pieces = saved(beside(docs, edges), "pieces-beside")
+    ends = edges.join(pieces, ["f1", "f2", "pos", "after"]).groupBy(*KEYS).agg(F.collect_list(F.struct("place", "after", "piece")).alias("e"))
+    lists = saved(matches.join(ends, KEYS, "left").select(*KEYS, "m", "e"), "match-lists")
+    drop_saved(matches, pieces)
+    return cut_found(docs, lists, ["m", "e"], extended, least)
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
-    """All rows and columns of df, the repeated chunks cut out of its texts; null texts become empty."""
-    docs = keyed(df, doc_id, text, carry=True)
-    out = cut_spans(docs, repeated_spans(docs, saved(chunk_table(docs), "chunks")), least_run)
+    """All rows and columns of df, the repeated passages cut out of its texts; null texts become empty."""
+    out = without_spans(keyed(df, doc_id, text, carry=True), least_run)
     return out.select(*[F.col("kept").cast("string").alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])
 
 
@@ -173,6 +223,4 @@ def chunk_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     Null texts count as empty. Rows that repeat an id and a text are one document. A null id is ordered by a hash of its
     text. Chunks shorter than 32 bytes, at the ends of texts, are no anchors.
     """
-    docs = keyed(df, doc_id, text)
-    repeated = repeated_spans(docs, saved(chunk_table(docs), "chunks"))
-    return cut_spans(docs, repeated, least_run).withColumnRenamed("id", doc_id)
+    return without_spans(keyed(df, doc_id, text), least_run).withColumnRenamed("id", doc_id)

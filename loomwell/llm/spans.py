@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,34 +45,35 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def by_document(spans: DataFrame) -> DataFrame:
-    """One row for each document: its spans as two arrays of one order."""
+def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """As cut_found, of spans given as key1, key2, a, b (half-open, in bytes). Spans that touch are one."""
     s = spans.distinct().groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    return s.select(*KEYS, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    return cut_found(docs, s.select(*KEYS, F.col("s.a").alias("a"), F.col("s.b").alias("b")), ["a", "b"], lambda _, a, b: zip(a, b))
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
+def cut_found(docs: DataFrame, lists: DataFrame, columns: list[str], found: Callable[..., Iterable[tuple[int, int]]], least: int = 1) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of `docs`, as keyed() gives it, and rest if there is one.
 
-    spans: key1, key2, a, b (half-open, in bytes). Spans that touch are one; those shorter than `least` are left in.
+    lists: one row for each document that may have spans, with its keys and the columns that found() gets after the
+    document's bytes; the first of them is never null. Spans shorter than `least` are left in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 rows = []
-                t, a, b = (some.column(some.schema.get_field_index(x)) for x in ("t", "a", "b"))
+                t, *rest = (some.column(some.schema.get_field_index(x)) for x in ("t", *columns))
                 for i in range(some.num_rows):
                     data = t[i].as_py().encode()
-                    found = [x for x in merged(list(zip(a[i].as_py(), b[i].as_py()))) if x[1] - x[0] >= least] if a[i].is_valid else []
-                    kept = cut(data, found) if found else data
-                    rows.append((len(data), len(data) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), kept))
-                columns = [pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.record_batch([*(some.column(some.schema.get_field_index(c)) for c in first), *columns], names=[*first, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    spans = [x for x in merged(list(found(data, *(c[i].as_py() for c in rest)))) if x[1] - x[0] >= least] if rest[0][i].is_valid else []
+                    kept = cut(data, spans) if spans else data
+                    rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+                out = [pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                yield pa.record_batch([*(some.column(some.schema.get_field_index(c)) for c in first), *out], names=[*first, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     first = [c for c in ("rest", "id") if c in docs.columns]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in first)
-    both = docs.join(by_document(spans), KEYS, "left")
+    both = docs.join(lists, KEYS, "left")
     return both.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
