@@ -5,7 +5,8 @@ is dropped at once:
 
 1. A first pass deals them by the smallest hashed `GRAM`-byte string in their window (the minimizer). Equal windows have equal
    ones, and suffixes that follow each other share one occurrence of it, so a run of them is one row: some 1/76 of all suffixes,
-   which is what can be shuffled at all. Runs equal as a whole (128 bits) are repeated in all their windows.
+   which is what can be shuffled at all. Runs equal as a whole (128 bits) are repeated in all their windows; a task looks for
+   such runs among its own first and deals out one of each kind.
 2. The windows of the other runs, one run of each kind, are ordered inside their group by most-significant-digit passes of
    `DIGIT` bytes down to the threshold (`equal_windows`). Groups left then are exactly the repeated windows, by their bytes.
 3. Groups of over `HOT` runs are dealt anew first, by the 163 bytes around the minimizer that windows with it at about one
@@ -29,6 +30,8 @@ from loomwell.llm.spans import KEYS, SLICE_BYTES, aligned, cut_spans, keyed
 WIDTH, GRAM = 200, 50
 #: Bytes of a digit, and ranges of a crowded minimizer's distance.
 DIGIT, RANGES = 8, 4
+#: Runs that a task compares before they are dealt out.
+HELD = 400_000
 #: Rows of one key that a task sorts at once.
 HOT = 5_000
 BASE = 0x9E3779B97F4A7C15
@@ -103,19 +106,39 @@ def runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.n
     return doc[head], start - begins[doc[head]], count, grams[at[head]], rolling.of(start, start + count + width - 1)
 
 
+RUN = "key1 long, key2 int, start int, count int, k long, x long, whole boolean"
+KINDS = pa.schema([("key1", pa.int64()), ("key2", pa.int32()), ("start", pa.int32()), ("count", pa.int32()), ("k", pa.int64()), ("x", pa.int64()), ("whole", pa.bool_()), ("first", pa.bool_())])
+
+
 def run_table(docs: DataFrame) -> DataFrame:
+    """The runs of all documents: RUN, and first. A task looks for equal ones among those it holds, marks these as whole, and one of each as first."""
+
+    def marked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        k, x = (rows.column(c).to_numpy() for c in ("k", "x"))
+        order = np.lexsort((x, k))
+        k, x = k[order], x[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]))
+        whole, first = np.empty(len(k), bool), np.empty(len(k), bool)
+        whole[order], first[order] = ~(fresh & np.append(fresh[1:], True)), fresh
+        return rows.append_column("whole", pa.array(whole)).append_column("first", pa.array(first)).to_batches()[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 doc, start, count, k, x = runs([t.encode() for t in some.column(2).to_pylist()])
                 at = pa.array(doc)
                 columns = [some.column(0).take(at), some.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(x.view(np.int64))]
-                yield pa.record_batch(columns, names=[*KEYS, "start", "count", "k", "x"])
-
-    return docs.select(*KEYS, "t").mapInArrow(run, RUN)
-
+                held.append(pa.record_batch(columns, names=KINDS.names[:6]))
+                size += len(doc)
+                if size > HELD:
+                    yield marked(held)
+                    held, size = [], 0
+        if size:
+            yield marked(held)
 
-RUN = "key1 long, key2 int, start int, count int, k long, x long"
+    return docs.select(*KEYS, "t").mapInArrow(run, f"{RUN}, first boolean")
 
 
 def sorted_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -141,7 +164,7 @@ def run_kinds(table: pa.Table) -> Iterator[pa.RecordBatch]:
     whole = np.bincount(kind)[kind] > 1
     open_ = new_x & (np.bincount(group, new_x)[group] > 1)
     keep = whole | open_
-    out = table.take(pa.array(order[keep])).combine_chunks()
+    out = table.drop_columns(["x", "whole"]).take(pa.array(order[keep])).combine_chunks()
     for b in out.append_column("whole", pa.array(whole[keep])).append_column("open", pa.array(open_[keep])).to_batches():
         yield b
 
@@ -282,13 +305,15 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot:
     """
     docs = keyed(df, doc_id, text)
     table = saved(run_table(docs), "runs")
-    crowded = crowded_keys(table, hot)
+    firsts = table.filter("first").drop("first")
+    crowded = crowded_keys(firsts, hot)
     some_hot = not crowded.isEmpty()
-    usual = (table.join(crowded, "k", "left_anti") if some_hot else table).select(*table.columns)
-    kinds = saved(sorted_groups(usual, run_kinds, f"{RUN}, whole boolean, open boolean").drop("x"), "run-kinds")
-    whole, wanted = kinds.filter("whole").select(*KEYS, "start", "count"), kinds.filter("open").select(*KEYS, "start", "count", "k", F.lit(False).alias("hot"))
+    usual = (firsts.join(crowded, "k", "left_anti") if some_hot else firsts).select(*firsts.columns)
+    kinds = saved(sorted_groups(usual, run_kinds, "key1 long, key2 int, start int, count int, k long, whole boolean, open boolean"), "run-kinds")
+    whole = table.filter("whole").unionByName(kinds.filter("whole"), allowMissingColumns=True).select(*KEYS, "start", "count")
+    wanted = kinds.filter("open").select(*KEYS, "start", "count", "k", F.lit(False).alias("hot"))
     if some_hot:
-        runs_ = table.join(crowded, "k", "left_semi")
+        runs_ = firsts.join(crowded, "k", "left_semi")
         kinds_hot = saved(runs_.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEYS, "start", "count")).alias("one")), "hot-kinds")
         whole = whole.unionByName(runs_.join(kinds_hot.filter("n > 1").select("k", "x"), ["k", "x"]).select(*KEYS, "start", "count"))
         wanted = wanted.unionByName(kinds_hot.select("one.*", "k", F.lit(True).alias("hot")))
