@@ -1,13 +1,15 @@
 """Counts of all contexts of a corpus, and costs of bytes from them.
 
 A case is all that a byte's cost depends on: its last four bytes, its word so far and the byte itself. The distinct cases of all
-documents are a keyed table with their number in training documents. For each case and context the path holds how often the context
-was seen in training, and how often the first 1 to 8 bits of the byte followed. Nothing is capped: the table's blocks grow with the input.
-Cases are dealt by their last three bytes for the paths of orders 3 and 4, then by their word so far; orders 1 and 2 have at
+documents are a keyed table with their number in training documents. Nothing is capped: the table's blocks grow with the input.
+A word so far of under three bytes is taken with the bytes before it up to three, so it tells the last three bytes as the order-4
+context does; cases are dealt by these, and all that a block's contexts of order 3, 4 and of words were followed by is in the block.
+So a block's paths (how often a context was seen in training, and how often the first 1 to 8 bits of the byte followed) are
+counted from its cases whenever it is read, and the table holds cases alone. Orders 1 and 2 have at
 most 2^24 pairs of a context and a byte, whatever the input, and are added up on the driver.
 
 Weights are learned on every training document's bits, each weighed by its number, its own occurrence left out of the counts. Each
-row of the table is an online pass of Newton steps; after each round the rows' weights are averaged by their curvature.
+block is an online pass of Newton steps; after each round the blocks' weights are averaged by their curvature.
 """
 
 from __future__ import annotations
@@ -21,27 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwell.llm.columns import order_of
 from loomwell.llm.scratch import saved
 from loomwell.llm.suffix_dedup import mix
 
 CLIP, CONTEXTS, GATES, GRID = 8.0, 5, 8 * 16, 33
 #: Cases whose bits make one online step, and the weight of the weights at hand in the first one.
 STEP_CASES, PRIOR = 8192, 50.0
-#: Cases in a row of the table, so that a row's size does not depend on the input; a row is one online pass.
-ROW_CASES = 1 << 16
+#: Slots of a task's table of cases met often.
+FRONT = 1 << 20
 #: A word's value is the hash of the word so far, without its low 8 bits, and the byte there.
 COLUMNS = {"codes": np.uint32, "words": np.uint64, "counts": np.uint32}
-PATHS = "block long, codes binary, words binary, counts binary, paths binary"
+TABLE = "block long, codes binary, words binary, counts binary"
 
 
 def keys_of(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """One hash for each case."""
-    return mix(mix(codes.astype(np.uint64)) ^ words)
+    """One hash for each case, never 0."""
+    return mix(mix(codes.astype(np.uint64)) ^ words) | np.uint64(1)
 
 
 def cases_of(contexts) -> tuple[np.ndarray, np.ndarray]:
     """The last four bytes, and the word so far with the byte, at each scored byte."""
-    word = mix(contexts.rolling.of(contexts.word, contexts.at) + np.uint64(5))
+    word = mix(contexts.rolling.of(np.minimum(contexts.word, contexts.at - 3), contexts.at) + np.uint64(5))
     return contexts.code.astype(np.uint32), word & ~np.uint64(255) | contexts.byte.astype(np.uint64)
 
 
@@ -50,32 +53,48 @@ def byte_of(words: np.ndarray) -> np.ndarray:
 
 
 def merged_cases(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One row a case, in order of the last bytes: codes, words, and the counts added up."""
+    """One row a case, in order of their hashes: codes, words, and the counts added up."""
     codes, words, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((words, codes))
-    codes, words = codes[order], words[order]
-    head = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, np.int64)
-    return codes[head], words[head], np.add.reduceat(n[order], head) if len(head) else n
+    keys = keys_of(codes, words)
+    order = order_of(keys)
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return codes[order[head]], words[order[head]], np.add.reduceat(n[order], head) if len(head) else n
 
 
 class Cases:
-    """Distinct cases in one task."""
+    """Distinct cases in one task. Most are found in a table with one slot a hash, the others are merged by sorting."""
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
+        self.keys = np.zeros(FRONT, np.uint64)
 
     def add(self, contexts, in_training: np.ndarray) -> None:
         """in_training: for each text, whether its bytes count; the others' cases are held with the count 0."""
-        codes, words = cases_of(contexts)
-        self.held.append(merged_cases([(codes, words, np.repeat(in_training.astype(np.int64), contexts.sizes))]))
-        self.size += len(self.held[-1][0])
+        if not self.keys.any():
+            self.counts, self.codes, self.words = np.zeros(FRONT, np.int64), np.zeros(FRONT, np.uint32), np.zeros(FRONT, np.uint64)
+        (codes, words), n = cases_of(contexts), np.repeat(in_training, contexts.sizes)
+        keys = keys_of(codes, words)
+        spot = (keys >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self.keys[spot] == 0)
+        # of several new cases of one slot the last one is held, in all arrays alike
+        self.keys[spot[new]], self.codes[spot[new]], self.words[spot[new]] = keys[new], codes[new], words[new]
+        hit = self.keys[spot] == keys
+        self.counts += np.bincount(spot[hit & n], minlength=FRONT)
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            self.held.append(merged_cases([(codes[rest], words[rest], n[rest].astype(np.int64))]))
+            self.size += len(self.held[-1][0])
         if len(self.held) >= 8:
             self.held = [merged_cases(self.held)]
             self.size = len(self.held[0][0])
 
     def rows(self, blocks: int) -> Iterator[tuple[int, list[bytes]]]:
         """The cases by block of their last three bytes; nothing is held after that."""
+        used = np.flatnonzero(self.keys)
+        if len(used):
+            self.held.append((self.codes[used], self.words[used], self.counts[used]))
         if self.held:
             yield from split(merged_cases(self.held), lambda x: spread(x[0] & np.uint32(0xFFFFFF), blocks))
         self.__init__()
@@ -86,23 +105,18 @@ def spread(x: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def split(columns: tuple[np.ndarray, ...], block_of) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows by block, each column's part as bytes. A column of paths has a case in each of its columns."""
+    """Rows by block, in order of their last bytes, each column's part as bytes."""
     block = block_of(columns)
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((columns[0], block))
     ids, at = np.unique(block[order], return_index=True)
-    columns = [x[..., order] for x in columns]
-    kinds = [*COLUMNS.values(), np.float32]
+    columns = [x[order] for x in columns]
     for i, a, b in zip(ids.tolist(), at, [*at[1:], len(order)]):
-        yield i, [np.ascontiguousarray(x[..., a:b]).astype(t).tobytes() for x, t in zip(columns, kinds)]
+        yield i, [np.ascontiguousarray(x[a:b]).astype(t).tobytes() for x, t in zip(columns, COLUMNS.values())]
 
 
-def read(rows: pd.DataFrame, with_paths: int = 0) -> list[tuple[np.ndarray, ...]]:
-    out = []
-    for r in rows.itertuples():
-        x = [np.frombuffer(getattr(r, c), t) for c, t in COLUMNS.items()]
-        x[-1] = x[-1].astype(np.int64)
-        out.append((*x, np.frombuffer(r.paths, np.float32).reshape(with_paths, -1)) if with_paths else tuple(x))
-    return out
+def read(row) -> tuple[np.ndarray, ...]:
+    codes, words, n = (np.frombuffer(getattr(row, c), t) for c, t in COLUMNS.items())
+    return codes, words, n.astype(np.int64)
 
 
 def path_counts(pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -121,25 +135,19 @@ def pairs_of(codes: np.ndarray, byte: np.ndarray, order: int) -> np.ndarray:
     return (codes.astype(np.uint64) & np.uint64((1 << 8 * order) - 1)) << np.uint64(8) | byte.astype(np.uint64)
 
 
-def case_table(counted: DataFrame, blocks: int) -> DataFrame:
-    """Every distinct case with its count and the paths of orders 3, 4 and the word. counted: block and COLUMNS."""
+def paths_of(codes: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The paths of orders 3, 4 and the word of a whole block's cases."""
+    return np.concatenate([*(path_counts(pairs_of(codes, byte_of(words), k), n) for k in (3, 4)), path_counts(words, n)])
+
 
-    def near(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = merged_cases(read(rows))
-        paths = np.concatenate([path_counts(pairs_of(x[0], byte_of(x[1]), k), x[2]) for k in (3, 4)])
-        # a word's pair has its byte in the low bits, so that all bytes of a word so far fall in one block
-        return pd.DataFrame([(i, *c) for i, c in split((*x, paths), lambda y: spread(y[1] >> np.uint64(8), blocks))], columns=names)
+def case_table(counted: DataFrame) -> DataFrame:
+    """Every distinct case with its count, a row a block. counted: block and COLUMNS."""
 
-    def word(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = [np.concatenate(y, axis=-1) for y in zip(*read(rows, 18))]
-        order = np.argsort(x[1])
-        x = [y[..., order] for y in x]
-        paths = np.concatenate([x[3], path_counts(x[1], x[2])])
-        return pd.DataFrame([(key[0], *c) for _, c in split((*x[:3], paths), lambda y: np.arange(len(y[0])) // ROW_CASES)], columns=names)
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        merged = merged_cases([read(r) for r in rows.itertuples()])
+        return pd.DataFrame([(key[0], *c) for _, c in split(merged, lambda x: np.zeros(len(x[0]), np.int64))], columns=["block", *COLUMNS])
 
-    names = ["block", *COLUMNS, "paths"]
-    first = counted.groupBy("block").applyInPandas(near, PATHS)
-    return saved(first.groupBy("block").applyInPandas(word, PATHS), "cases")
+    return saved(counted.groupBy("block").applyInPandas(whole, TABLE), "cases")
 
 
 def near_table(cases: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -152,7 +160,8 @@ def near_table(cases: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
                 new = pairs_of(np.frombuffer(codes, np.uint32), byte_of(np.frombuffer(word, np.uint64)), 2)
                 k, back = np.unique(np.concatenate([k, new]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([n, np.frombuffer(c, np.uint32)]), len(k)).astype(np.int64)
-        yield pd.DataFrame({"k": k.astype(np.int64), "n": n})
+        if len(k):
+            yield pd.DataFrame({"k": k.astype(np.int64), "n": n})
 
     found = cases.select("codes", "words", "counts").mapInPandas(add, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     k, n = found["k"].to_numpy(), found["n"].to_numpy()
@@ -246,15 +255,14 @@ class Model:
         return out
 
 
-def stored(rows: pa.RecordBatch | pd.DataFrame, trained: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """codes, bytes, counts and paths of each block, in parts; of trained cases alone, in the order of their keys' hashes."""
+def stored(rows: pd.DataFrame, trained: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """codes, bytes, counts and paths of each block; of trained cases alone, in the order of their keys' hashes."""
     for r in rows.itertuples():
-        codes, words, n = (np.frombuffer(getattr(r, c), t) for c, t in COLUMNS.items())
-        keys, byte = keys_of(codes, words), byte_of(words)
-        paths = np.frombuffer(r.paths, np.float32).reshape(27, -1)
+        codes, words, n = read(r)
+        keys, byte, paths = keys_of(codes, words), byte_of(words), paths_of(codes, words, n)
         if trained:
             which = np.flatnonzero(n > 0)
-            which = which[np.argsort(keys[which])]
+            which = which[order_of(keys[which])]
             yield codes[which], byte[which], n[which].astype(float), paths[:, which]
         else:
             yield keys, codes, byte, n, paths
@@ -262,12 +270,12 @@ def stored(rows: pa.RecordBatch | pd.DataFrame, trained: bool) -> Iterator[tuple
 
 def rounds(cases: DataFrame, model: Model, passes: int) -> None:
     """Learns weights in so many rounds, then the refinement, over all training cases."""
-    spark, kept = cases.sparkSession, cases.select(*COLUMNS, "paths")
+    spark, kept = cases.sparkSession, cases.select(*COLUMNS)
     for turn in range(passes + 1):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent, turn=turn) -> Iterator[pd.DataFrame]:
-            m, blocks = sent.value, (x for rows in batches for x in stored(rows, True))
+            m, blocks = sent.value, (x for rows in batches for i in range(len(rows)) for x in stored(rows.iloc[i : i + 1], True))
             a, b = m.learned(blocks) if turn < passes else m.seen(blocks)
             yield pd.DataFrame([(a.tobytes(), b.tobytes())], columns=["a", "b"])
 
@@ -292,6 +300,6 @@ def case_costs(cases: DataFrame, model: Model) -> DataFrame:
             for keys, codes, byte, n, paths in stored(rows, False):
                 for a in range(0, len(keys), 1 << 16):
                     s = slice(a, a + (1 << 16))
-                    yield pd.DataFrame({"h": keys[s].view(np.int64), "c": n[s].astype(np.int64), "cost": sent.value.cost(codes[s], byte[s], paths[:, s])})
+                    yield pd.DataFrame({"h": keys[s].view(np.int64), "c": n[s], "cost": sent.value.cost(codes[s], byte[s], paths[:, s]).astype(np.float32)})
 
-    return saved(cases.select(*COLUMNS, "paths").mapInPandas(run, "h long, c long, cost double"), "costs")
+    return saved(cases.select(*COLUMNS).mapInPandas(run, "h long, c long, cost float"), "costs")

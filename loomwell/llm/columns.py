@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ def id_text_crc32(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """An order of 64-bit hashes in which equal ones are neighbours.
+
+    Sorting values is much faster than sorting places, so places are put into the low bits; the few keys that differ in
+    these alone are put in order after that.
+    """
+    mask = np.uint64((1 << len(keys).bit_length()) - 1)
+    packed = keys & ~mask
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & mask).astype(np.int64)
+    high, own = packed & ~mask, keys[order]
+    alike = np.append(False, high[1:] == high[:-1])
+    if (alike[1:] & (own[1:] != own[:-1])).any():
+        alike |= np.append(alike[1:], False)
+        some = np.flatnonzero(alike)
+        order[some] = order[some][np.argsort(own[some], kind="stable")]
+    return order
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about most_bytes of text, a row at least, so that memory is bounded by the longest text."""
     sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.schema.get_field_index(text))] if batch.num_rows < 64 else None

@@ -9,8 +9,6 @@ the mixed probability and the known bits to what was seen there. A text's score
 A byte's cost depends on its last four bytes and its word so far alone, so costs are computed once for each such
 case. Those of the most frequent cases are sent to all tasks, the others are joined by the case's 64-bit hash.
 
-Mixer is the same mixing over tables of a fixed size, for texts that one process holds; score_texts does not use it.
-
 The base score needs the count of every word; the most frequent ones are sent to all tasks, and
 the others are joined by the word's 64-bit hash.
 """
@@ -19,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,29 +26,20 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.cases import COLUMNS, Cases, Model, case_costs, case_table, cases_of, keys_of, near_table, rounds
 from loomwell.llm.columns import id_text_crc32, slices, text_or_empty
-from loomwell.llm.scratch import forget, reread, saved, shared_path
+from loomwell.llm.scratch import drop_saved, forget, reread, saved, shared_path, shuffles_dropped
 from loomwell.llm.shingle_join import word_bounds
-from loomwell.llm.suffix_dedup import Rolling, mix
+from loomwell.llm.suffix_dedup import Rolling
 
 SLICE_BYTES = 1 << 20
-SLOTS = 1 << 16
-#: Blocks of SLOTS slots for each context: last 1, 2, 3, 4 bytes, and the word so far.
-BLOCKS = (4, 16, 32, 64, 64)
-WORD_FAMILY = len(BLOCKS)
-FIRST_BLOCK = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
 PAD = 4
-RATE, STEP, PASSES = 0.005, 2048, 2
+#: Families of counts: words, and cases.
+WORDS, CASES = 0, 1
+PASSES = 2
 MOST_TOP = 500_000
 #: Most frequent cases whose costs are sent to all tasks (others are joined), and cases and words that a task holds before it hands them on.
 MOST_CASES, MOST_HELD = 1 << 21, 1_000_000
-#: Marks the rows of cases among counts.
-CASES = WORD_FAMILY + 1
-#: Tasks whose counts of one block are added up at once.
-TASKS = 256
-CACHE = 1 << 20
-CLIP, SCALE = 8.0, 4000
-#: Checks of one slot that are kept while counts are added up.
-KEPT = 4
+#: Slots of the table in which a task looks for frequent cases first.
+FRONT = 1 << 22
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -86,19 +74,6 @@ class Contexts:
         for k in range(PAD):
             self.code |= wide[self.at - 1 - k] << np.uint64(8 * k)
 
-    def hashes(self, which: np.ndarray | None = None) -> list[np.ndarray]:
-        """One array for each context; `which` picks some of the bytes."""
-        code, at, word = (x if which is None else x[which] for x in (self.code, self.at, self.word))
-        out = [mix((code & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40)) for k in (1, 2, 3, 4)]
-        return [*out, mix(self.rolling.of(word, at) + np.uint64(5))]
-
-    def keys(self) -> np.ndarray:
-        """One hash for all that a byte's cost depends on, the byte itself included."""
-        length = self.at - self.word
-        own = self.rolling.of(self.word, self.at + 1)
-        near = mix(self.code << np.uint64(8) | self.byte.astype(np.uint64))
-        return np.where(length >= PAD, own, mix(near ^ own))
-
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and its text."""
         starts, ends = word_bounds(np.where(self.data == 0, np.uint8(32), self.data)) if not self.zeros() else self._words_with_zeros()
@@ -117,16 +92,6 @@ class Contexts:
         return word_bounds(data)
 
 
-def block_of(family: int, h: np.ndarray) -> np.ndarray:
-    return FIRST_BLOCK[family] + (h >> np.uint64(40)).astype(np.int64) % BLOCKS[family]
-
-
-def slot_of(h32: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Place inside a block (16 bits) and a check (8 bits), from the low bits of a context's hash and the bits known."""
-    x = (h32.astype(np.uint64) << np.uint64(8) | node.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(40)).astype(np.int64)
-
-
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys)
@@ -136,42 +101,30 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 class Counts:
-    """Counts of keys of several families in one task."""
+    """Counts of words in one task."""
 
     def __init__(self) -> None:
-        self.held: dict[int, tuple[list, list]] = {f: ([], []) for f in range(WORD_FAMILY + 1)}
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, family: int, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> None:
         keys, n = np.unique(keys, return_counts=True)
-        a, b = self.held[family]
-        a.append(keys), b.append(n)
+        self.keys.append(keys), self.counts.append(n)
         self.size += len(keys)
-        if len(a) >= 8:
-            keys, n = summed(a, b)
-            self.size += len(keys) - sum(map(len, a))
-            self.held[family] = [keys], [n]
-
-    def rows(self, task: int, ranges: int) -> Iterator[pa.RecordBatch]:
-        """family, block, part, keys (u64 of a word; else u32 of a context), bytes, counts (u32)."""
-        for family, (a, b) in self.held.items():
-            if not a:
-                continue
-            keys, n = summed(a, b)
-            if not len(keys):
-                continue
-            if family == WORD_FAMILY:
-                block = (keys >> np.uint64(32)).astype(np.int64) % ranges
-            else:  # the key is a hash without its low byte, and the byte
-                block = block_of(family, keys & ~np.uint64(255))
+        if len(self.keys) >= 8:
+            keys, n = summed(self.keys, self.counts)
+            self.size, self.keys, self.counts = len(keys), [keys], [n]
+
+    def rows(self, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """Block, words (u64) and counts (u32); nothing is held after that."""
+        if self.keys:
+            keys, n = summed(self.keys, self.counts)
+            block = (keys >> np.uint64(32)).astype(np.int64) % ranges
             order = np.argsort(block, kind="stable")
             ids, at = np.unique(block[order], return_index=True)
-            split = lambda x: [y.tobytes() for y in np.split(x[order], at[1:])]  # noqa: E731, B023
-            ctx = keys if family == WORD_FAMILY else (keys >> np.uint64(8)).astype(np.uint32)
-            m = len(ids)
-            columns = [pa.array([family] * m, pa.int32()), pa.array(ids, pa.int64()), pa.array([task // TASKS] * m, pa.int32())]
-            columns += [pa.array(split(x), pa.binary()) for x in (ctx, (keys & np.uint64(255)).astype(np.uint8), n.astype(np.uint32))]
-            yield pa.record_batch(columns, names=["family", "block", "part", "keys", "bytes", "counts"])
+            for i, own in zip(ids.tolist(), np.split(order, at[1:])):
+                yield i, keys[own].tobytes(), n[own].astype(np.uint32).tobytes()
         self.__init__()
 
 
@@ -182,23 +135,18 @@ def count_table(rows: DataFrame, blocks: int, ranges: int) -> DataFrame:
     """Words of training documents, and cases of all documents with their number in training ones. rows: t, held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, cases, task = Counts(), Cases(), TaskContext.get().partitionId()
+        words, cases = Counts(), Cases()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for batch in words.rows(task, ranges):
-                empty = pa.array([b""] * batch.num_rows, pa.binary())
-                yield pa.record_batch([batch.column(0), batch.column(1), empty, batch.column(3), batch.column(5)], names=names)
-            found = list(cases.rows(blocks))
+            found = [(WORDS, i, b"", w, n) for i, w, n in words.rows(ranges)] + [(CASES, i, *c) for i, c in cases.rows(blocks)]
             if found:
-                yield pa.record_batch([pa.array([CASES] * len(found), pa.int32()), pa.array([i for i, _ in found], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*(c for _, c in found)))], names=names)
+                yield pa.record_batch([pa.array(x, y) for x, y in zip(zip(*found), (pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=names)
 
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 c, training = Contexts(some.column(0).to_pylist()), ~np.array(some.column(1).to_pylist(), bool)
                 h, doc = c.words()
-                words.add(WORD_FAMILY, h[training[doc]])
+                words.add(h[training[doc]])
                 cases.add(c, training)
                 if words.size + cases.size > MOST_HELD:
                     yield from out()
@@ -208,141 +156,6 @@ def count_table(rows: DataFrame, blocks: int, ranges: int) -> DataFrame:
     return rows.select("t", "held_out").mapInArrow(run, COUNTS)
 
 
-def node_counts(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and check of every node on the bytes' paths, and how often a 0 and a 1 followed there."""
-    places, node = [], np.ones(len(ctx), np.int64)
-    for shift in range(7, -1, -1):
-        bit = (byte >> np.uint8(shift)) & np.uint8(1)
-        places.append(slot_of(ctx, node) * 2 + bit)
-        node = node * 2 + bit
-    found, seen = summed(places, [n] * 8)
-    at, of = np.unique(found >> 1, return_inverse=True)
-    out = np.zeros((len(at), 2))
-    out[of, found & 1] = seen
-    return strongest(at, out, KEPT)
-
-
-def strongest(at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each slot, at most so many checks, those seen most often."""
-    order = np.lexsort((at, -n.sum(axis=1), at >> 8))
-    slot = (at >> 8)[order]
-    head = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
-    rank = np.arange(len(slot)) - np.repeat(head, np.diff(np.append(head, len(slot))))
-    keep = order[rank < most]
-    return at[keep], n[keep]
-
-
-def block_tables(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One block: of the checks that meet in a slot, the one seen most often stays."""
-    places, of = np.unique(at, return_inverse=True)
-    at, n = strongest(places, np.stack([np.bincount(of, n[:, b], len(places)) for b in (0, 1)], axis=1), 1)
-    p, sure, check = np.zeros(SLOTS, np.int16), np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.uint8)
-    seen = n.sum(axis=1)
-    p[at >> 8] = np.clip(np.log((n[:, 1] + 0.1) / (n[:, 0] + 0.1)), -CLIP, CLIP) * SCALE
-    sure[at >> 8] = 1 + (seen > 3).astype(np.uint8) + (seen > 40)
-    check[at >> 8] = at & 255
-    return p, sure, check
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-@dataclass
-class Mixer:
-    """The tables, the gated weights and the refinement; cost() of single bytes and score() of texts."""
-
-    p: np.ndarray
-    sure: np.ndarray
-    check: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.full((8 * 16, WORD_FAMILY + 1), 0.35, np.float32))
-    refined: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-CLIP, CLIP, 33)), (256, 1)))
-
-    def __post_init__(self) -> None:
-        self.keys = self.costs = None
-
-    def bit_inputs(self, hashes: list[np.ndarray], shift: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions of all contexts with a constant, and the gate."""
-        x, sure = np.empty((len(node), WORD_FAMILY + 1), np.float32), []
-        for family, h in enumerate(hashes):
-            place = slot_of((h >> np.uint64(8)).astype(np.uint32), node)
-            at = block_of(family, h) * SLOTS + (place >> 8)
-            known = self.check[at] == (place & 255)
-            x[:, family] = np.where(known, self.p[at], 0) / np.float32(SCALE)
-            sure.append(self.sure[at] * known)
-        x[:, WORD_FAMILY] = 0.3
-        return x, (7 - shift) * 16 + sure[3].astype(np.int64) * 4 + sure[4]
-
-    def refine(self, mixed: np.ndarray, node: np.ndarray) -> np.ndarray:
-        place = (np.clip(mixed, -CLIP, CLIP - 1e-6) + CLIP) * 2
-        low = place.astype(np.int64)
-        part = place - low
-        refined = (1 - part) * self.refined[node, low] + part * self.refined[node, low + 1]
-        return np.clip((squash(mixed) + refined) / 2, 1e-7, 1 - 1e-7)
-
-    def bits_of(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Inputs, gate, bits known and bit, in the order of the texts' bits."""
-        c = Contexts(texts)
-        hashes, node, parts = c.hashes(), np.ones(len(c.byte), np.int64), []
-        for shift in range(7, -1, -1):
-            x, gate = self.bit_inputs(hashes, shift, node)
-            bit = (c.byte >> np.uint8(shift) & np.uint8(1)).astype(np.int64)
-            parts.append((x, gate, node, bit))
-            node = node * 2 + bit
-        return tuple(np.stack(y, axis=1).reshape(-1, *y[0].shape[1:]) for y in zip(*parts))
-
-    def learn(self, texts: list[str]) -> None:
-        """Weights online, in steps of STEP bits in the order of the texts; then the refinement. A few texts are held at once."""
-        groups = [texts[i : i + 8] for i in range(0, len(texts), 8)]
-        for turn in range(PASSES):
-            for group in groups:
-                x, gate, _, bit = self.bits_of(group)
-                for a in range(0, len(bit), STEP):
-                    s = slice(a, a + STEP)
-                    error = bit[s] - squash((self.weights[gate[s]] * x[s]).sum(axis=1))
-                    np.add.at(self.weights, gate[s], (RATE / (1 + turn)) * error[:, None].astype(np.float32) * x[s])
-        seen, ones = np.zeros((256, 33)), np.zeros((256, 33))
-        for group in groups:
-            x, gate, node, bit = self.bits_of(group)
-            mixed = (self.weights[gate] * x).sum(axis=1)
-            at = node * 33 + np.rint((np.clip(mixed, -CLIP, CLIP) + CLIP) * 2).astype(np.int64)
-            seen += np.bincount(at, minlength=256 * 33).reshape(256, 33)
-            ones += np.bincount(at, bit, 256 * 33).reshape(256, 33)
-        self.refined = (ones + 20 * self.refined) / (seen + 20)
-
-    def cost(self, hashes: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
-        """Bits of each byte in its context."""
-        out, node = np.zeros(len(byte)), np.ones(len(byte), np.int64)
-        for shift in range(7, -1, -1):
-            x, gate = self.bit_inputs(hashes, shift, node)
-            bit = (byte >> np.uint8(shift) & np.uint8(1)).astype(np.int64)
-            p = self.refine((self.weights[gate] * x).sum(axis=1), node)
-            out -= np.log2(np.where(bit == 1, p, 1 - p))
-            node = node * 2 + bit
-        return out
-
-    def score(self, c: Contexts) -> np.ndarray:
-        """log10 of the probability of each text with its end."""
-        if self.keys is None:
-            self.keys, self.costs = np.zeros(CACHE, np.uint64), np.zeros(CACHE)
-        keys = c.keys()
-        spot = (keys >> np.uint64(20)).astype(np.int64) & (CACHE - 1)
-        out = self.costs[spot]
-        miss = np.flatnonzero(self.keys[spot] != keys)
-        if len(miss):
-            new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            which = miss[first]
-            got = np.concatenate([self.cost(c.hashes(which[i : i + 200_000]), c.byte[which[i : i + 200_000]]) for i in range(0, len(which), 200_000)])
-            out[miss] = got[back]
-            spot = (new >> np.uint64(20)).astype(np.int64) & (CACHE - 1)
-            self.keys[spot], self.costs[spot] = new, got
-            # of several keys at one spot the last one written stays, in both arrays alike
-        return -np.add.reduceat(out, c.first) * math.log10(2)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"keys": None, "costs": None}
-
-
 def word_counts(counts: DataFrame) -> DataFrame:
     """h, c: how often each word is in the training documents."""
 
@@ -350,7 +163,7 @@ def word_counts(counts: DataFrame) -> DataFrame:
         keys, n = summed([np.frombuffer(x, np.uint64) for x in rows["words"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]])
         return pd.DataFrame({"h": keys.view(np.int64), "c": n})
 
-    return saved(counts.filter(F.col("family") == WORD_FAMILY).select("block", "words", "counts").groupBy("block").applyInPandas(add, "h long, c long"), "word-counts")
+    return saved(counts.filter(F.col("family") == WORDS).select("block", "words", "counts").groupBy("block").applyInPandas(add, "h long, c long"), "word-counts")
 
 
 def most_frequent(words: DataFrame, most: int = MOST_TOP, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
@@ -368,6 +181,36 @@ def most_frequent(words: DataFrame, most: int = MOST_TOP, value: str = "c") -> t
     return h[order], c[order]
 
 
+class Frequent:
+    """Costs of frequent cases, by their keys in order; most are found in a table with one slot a key, which each worker makes anew."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        self.keys, self.bits, self.front = keys, costs, None
+
+    def costs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each key, 0 where it is none of the frequent ones, and whether it is one."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        if self.front is None:
+            self.front, self.value = np.zeros(FRONT, np.uint64), np.zeros(FRONT, np.float32)
+            spot = self.spot(self.keys)
+            self.front[spot], self.value[spot] = self.keys, self.bits
+        spot = self.spot(keys)
+        there = self.front[spot] == keys
+        out = np.where(there, self.value[spot], np.float32(0)).astype(np.float64)
+        rest = np.flatnonzero(~there)
+        at = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
+        same = self.keys[at] == keys[rest]
+        out[rest[same]], there[rest[same]] = self.bits[at[same]], True
+        return out, there
+
+    def spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(20)) & np.uint64(FRONT - 1)).astype(np.int64)
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "bits": self.bits, "front": None}
+
+
 def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of df.
 
@@ -382,36 +225,36 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ranges, blocks = max(32, (size or 0) // (16 << 20)), max(32, (size or 0) // (8 << 20))
     path = shared_path(spark, "context-counts")
     counted = count_table(rows, blocks, ranges)
-    counted.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        counted.write.option("compression", "zstd").parquet(path)
     counts = reread(counted, path)
     words = word_counts(counts)
-    cases = case_table(counts.filter(F.col("family") == CASES).select("block", *COLUMNS), blocks)
+    cases = case_table(counts.filter(F.col("family") == CASES).select("block", *COLUMNS))
     model = Model(*near_table(cases))
     forget(spark, path)
     rounds(cases, model, PASSES)
     costs = case_costs(cases, model)
+    drop_saved(cases)
     known = words.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     unit, end_log = math.log10(total + distinct + 1), math.log10(ends + 1)
     top, top_counts = most_frequent(words)
     often, bits = most_frequent(costs, MOST_CASES, "cost")
-    sent = spark.sparkContext.broadcast((often, bits, top, np.log10(top_counts + 1.0)))
+    sent = spark.sparkContext.broadcast((Frequent(often, bits), top, np.log10(top_counts + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        often, bits, tops, logs = sent.value
+        frequent, tops, logs = sent.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 n = some.num_rows
                 c = Contexts(some.column(1).to_pylist())
-                key, back = np.unique(keys_of(*cases_of(c)), return_inverse=True)
-                spot = np.minimum(np.searchsorted(often, key), max(0, len(often) - 1))
-                there = often[spot] == key if len(often) else np.zeros(len(key), bool)
-                cost = np.where(there, bits[spot], 0) if len(often) else np.zeros(len(key))
-                score = -np.add.reduceat(cost[back], c.first) * math.log10(2)
-                seldom = np.flatnonzero(~there[back])
+                key = keys_of(*cases_of(c))
+                cost, there = frequent.costs(key)
+                score = -np.add.reduceat(cost, c.first) * math.log10(2)
+                seldom = np.flatnonzero(~there)
                 breaks = np.searchsorted(seldom, c.first[1:])
                 h, doc = c.words()
                 at = np.minimum(np.searchsorted(tops, h), max(0, len(tops) - 1))
@@ -421,7 +264,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                 rare, of = h[~hit], doc[~hit]
                 split = np.searchsorted(of, np.arange(1, n))
                 columns = [some.column(0), some.column(2), pa.array(np.arange(uid, uid + n)), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(there + int(ends > 0)), pa.array(base + end_log), pa.array(score)]
-                lists = [pa.array([x.tobytes() for x in np.split(*y)], pa.binary()) for y in ((rare, split), (key[back[seldom]], breaks))]
+                lists = [pa.array([x.tobytes() for x in np.split(*y)], pa.binary()) for y in ((rare, split), (key[seldom], breaks))]
                 yield pa.record_batch([*columns, *lists], names=names)
                 uid += n
 

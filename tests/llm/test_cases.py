@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from loomwell.llm import cases, mixing
+from loomwell.llm.columns import order_of
 
 rng = random.Random(11)
 ROWS = [(i, " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 9))) for _ in range(60))) for i in range(40)]
@@ -22,7 +23,7 @@ def in_training(i):
 def table(spark):
     rows = spark.createDataFrame([(t, not in_training(i)) for i, t in ROWS], "t string, held_out boolean").repartition(3)
     counts = mixing.count_table(rows, 32, 32)
-    return cases.case_table(counts.filter(f"family = {mixing.CASES}").select("block", *cases.COLUMNS), 32)
+    return cases.case_table(counts.filter(f"family = {mixing.CASES}").select("block", *cases.COLUMNS))
 
 
 def brute():
@@ -31,7 +32,7 @@ def brute():
     for i, t in ROWS:
         data = bytes(4) + t.encode() + b"\0"
         for at in range(4, len(data)):
-            start = max(data.rfind(b" ", 0, at), data.rfind(b"\0", 0, at)) + 1
+            start = min(at - 3, max(data.rfind(b" ", 0, at), data.rfind(b"\0", 0, at)) + 1)
             contexts = [data[at - 3 : at], data[at - 4 : at], (b"word", data[start:at])]
             all_cases.add((data[at - 4 : at], data[start:at], data[at]))
             for c in contexts if in_training(i) else ():
@@ -73,3 +74,63 @@ def test_rare_cases_are_joined(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_CASES", 20)
     joined = {r["doc_id"]: r["score"] for r in mixing.score_texts(df).collect()}
     assert whole.keys() == joined.keys() and all(abs(whole[i] - joined[i]) < 1e-6 * abs(whole[i]) for i in whole)
+
+
+def test_scores_do_not_depend_on_tasks(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    few, many = ({r["doc_id"]: r["score"] for r in mixing.score_texts(df.repartition(n)).collect()} for n in (2, 300))
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-6 * abs(few[i]) for i in few)
+
+
+def test_bytes_are_a_distribution(spark, table):
+    """The 256 next bytes of a context sum to one, whatever was counted."""
+    model = cases.Model(*cases.near_table(table))
+    cases.rounds(table, model, 2)
+    codes, byte, _, paths = next(cases.stored(table.toPandas(), True))
+    for j in (0, 5, 77):
+        mine = np.repeat(codes[j : j + 1], 256)
+        every = np.arange(256, dtype=np.uint8)
+        seen, total = np.zeros((3, 9, 256), np.float32), paths.reshape(3, 9, -1)[:, 0, j]
+        same = np.flatnonzero(codes == codes[j])
+        for f in range(3):  # the paths of all bytes after this context, from those of the cases there
+            whole = np.zeros(256)
+            for i in same:
+                if f < 2 or paths.reshape(3, 9, -1)[2, 0, i] == total[2]:
+                    whole[byte[i]] = paths.reshape(3, 9, -1)[f, 8, i]
+            for k in range(9):
+                sums = np.bincount(every >> (8 - k), whole)
+                seen[f, k] = sums[every >> (8 - k)]
+        pairs = np.searchsorted(model.pairs, cases.pairs_of(mine, every, 2))
+        near = [np.zeros((9, 256), np.float32) for _ in range(2)]
+        for f in range(2):
+            got = {int(p): model.near[f][8, i] for i, p in enumerate(model.pairs)}
+            whole = np.array([got.get(int(p), 0) for p in cases.pairs_of(mine, every, 2)], float)
+            for k in range(9):
+                sums = np.bincount(every >> (8 - k), whole)
+                near[f][k] = sums[every >> (8 - k)]
+        own = cases.Model(cases.pairs_of(mine, every, 2), near, model.weights, model.refined)
+        assert abs((2.0 ** -own.cost(mine, every, seen.reshape(27, 256))).sum() - 1) < 1e-6
+        assert len(pairs) == 256
+
+
+def test_weights_help_on_held_out_texts(spark):
+    """Bits a byte of held-out texts, against mixing with weights and refinement as they are at the start."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=[1 / (j + 1) for j in range(300)], k=80))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) + 1 for i, t in rows if not in_training(i))
+    learned = -sum(r["score"] for r in mixing.score_texts(df).collect() if r["held_out"]) / np.log10(2) / size
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "rounds", lambda *_: None)
+        fresh = -sum(r["score"] for r in mixing.score_texts(df).collect() if r["held_out"]) / np.log10(2) / size
+    print("bits a byte", learned, "untrained", fresh)
+    assert learned < fresh < 8 and learned < 2.5
+
+
+def test_order_of():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        keys = rng.integers(0, 2**63, n).astype(np.uint64) & ~np.uint64(0xFFF) | rng.integers(0, 3, n).astype(np.uint64)
+        keys = np.concatenate([keys, keys[: n // 2], keys[: n // 3] ^ np.uint64(1)])
+        assert (keys[order_of(keys)] == np.sort(keys)).all()

@@ -111,48 +111,3 @@ def test_nothing_to_score(nothing, spark):
     one = spark.createDataFrame([(None, None)], "doc_id long, text string")
     r = mixing.score_texts(one).first()
     assert (r["n_tokens"], r["held_out"]) == (1, False)
-
-
-@pytest.fixture(scope="module")
-def trained():
-    rng = random.Random(2)
-    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
-    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(300)], k=80)) for _ in range(200)]
-    counts = mixing.Counts()
-    c = mixing.Contexts(texts[:150])
-    for family, h in enumerate(c.hashes()):
-        counts.add(family, h & ~np.uint64(255) | c.byte.astype(np.uint64))
-    p, sure, check = (np.zeros((sum(mixing.BLOCKS), mixing.SLOTS), t) for t in (np.int16, np.uint8, np.uint8))
-    for batch in counts.rows(0, 32):
-        for r in batch.to_pylist():
-            at, n = mixing.node_counts(np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["bytes"], np.uint8), np.frombuffer(r["counts"], np.uint32).astype(np.int64))
-            p[r["block"]], sure[r["block"]], check[r["block"]] = mixing.block_tables(at, n)
-    m = mixing.Mixer(p.ravel(), sure.ravel(), check.ravel())
-    m.learn(texts[150:180])
-    return m, texts
-
-
-def test_bytes_are_a_distribution(trained):
-    m, texts = trained
-    c = mixing.Contexts([texts[190]])
-    at = np.repeat(np.array([0, 7, 50]), 256)
-    cost = m.cost(c.hashes(at), np.tile(np.arange(256, dtype=np.uint8), 3))
-    assert np.allclose((2.0 ** -cost).reshape(3, 256).sum(axis=1), 1)
-
-
-def test_lookup_equals_direct_cost(trained):
-    m, texts = trained
-    c = mixing.Contexts(texts[180:] + ["", "a\0b", "Ü ß  x\n\ny"])
-    direct = m.cost(c.hashes(), c.byte)
-    for _ in range(2):
-        assert np.allclose(m.score(c), -np.add.reduceat(direct, c.first) * math.log10(2))
-    alone = np.concatenate([m.score(mixing.Contexts([t])) for t in texts[180:]])
-    assert np.allclose(alone, m.score(c)[:-3])
-
-
-def test_learning_helps(trained):
-    m, texts = trained
-    c = mixing.Contexts(texts[180:])
-    bits = -m.score(c).sum() / math.log10(2) / len(c.byte)
-    fresh = mixing.Mixer(np.zeros_like(m.p), np.zeros_like(m.sure), np.zeros_like(m.check))
-    assert bits < 2.5 and abs(-fresh.score(c).sum() / math.log10(2) / len(c.byte) - 8) < 0.3
