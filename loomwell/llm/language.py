@@ -25,7 +25,7 @@ ORDER = 4
 #: Labelled documents that a language's model is fitted on, about; each is read whole. Chosen by a hash of id and text.
 FIT_DOCS = 1000
 BLANK, PAD = 32, 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 #: Nats per character over the calibrated bound, and more for short texts, before a text is rejected.
 MARGIN, SHORT = 0.7, 3.0
 #: A text counts as so many characters at most in its score.
@@ -34,13 +34,23 @@ SHARPNESS = 60
 
 @lru_cache(1)
 def letters() -> np.ndarray:
-    """For each code point: its small letter as 16 bits, or a blank."""
-    out = np.full(0x110000, BLANK, np.uint64)
+    """For each code point: its small letter as 16 bits, or a blank.
+
+    Letters above U+FFFF get the codes that no letter has, in order; there are more of them than codes, so the last ones, which
+    are rare ideographs, share one code.
+    """
+    small = np.full(0x110000, BLANK, np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            small = c.lower()
-            out[i] = ord(small if len(small) == 1 else c) & 0xFFFF or 0xFFFF
+            low = c.lower()
+            small[i] = ord(low if len(low) == 1 else c)
+    used = np.unique(small)
+    free = np.setdiff1d(np.arange(2, 0xFFFF), used[used <= 0xFFFF])
+    high = used[used > 0xFFFF]
+    code = np.arange(0x110000, dtype=np.int32)
+    code[high] = np.append(free, np.full(max(0, len(high) - len(free)), 0xFFFF))[: len(high)]
+    out = code[small].astype(np.uint16)
     out[PAD] = PAD
     return out
 
@@ -48,7 +58,7 @@ def letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The packed n-gram that ends at each character of the texts, and the index of its text."""
     pad = chr(PAD) * (ORDER - 1)
-    chars = letters()[np.frombuffer((pad + pad.join(t.replace(chr(PAD), " ") for t in texts)).encode("utf-32-le", "replace"), np.uint32)]
+    chars = letters()[np.frombuffer((pad + pad.join(t.replace(chr(PAD), " ") for t in texts)).encode("utf-32-le", "replace"), np.uint32)].astype(np.uint64)
     doc = np.repeat(np.arange(len(texts)), [len(t) + ORDER - 1 for t in texts])
     before = np.concatenate([[PAD], chars[:-1]])
     keep = (chars != BLANK) | ((before != BLANK) & (before != PAD))

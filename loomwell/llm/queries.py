@@ -51,7 +51,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(docs.filter(~F.col("held_out")))
-    return language.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return language.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,51 @@ def test_backed_off_probabilities_sum_to_one():
     assert np.allclose(model.entropies(["abz cde qq"])[0][0, 0], -np.log(m.prob(fresh)).mean(), atol=1e-5)
 
 
+def brute_kneser_ney(text, order):
+    """Interpolated Kneser-Ney by its definition, from plain counters; a function of a context and a character."""
+    padded = "\1" * (order - 1) + text
+    top = Counter(padded[i : i + order] for i in range(len(text)))
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    alphabet = len({g[-1] for g in top}) + 1
+
+    def discount(c):
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
+    def prob(context, char, n=order):
+        if n == 0:
+            return 1 / alphabet
+        ctx, c = context[len(context) - n + 1 :], levels[n]
+        lower = prob(context, char, n - 1)
+        total = sum(v for g, v in c.items() if g[:-1] == ctx)
+        if not total:
+            return lower
+        types = sum(g[:-1] == ctx for g in c)
+        return (max(c[ctx + char] - discount(c), 0) + discount(c) * types * lower) / total
+
+    return prob
+
+
+def test_kneser_ney_against_brute_force():
+    rng = random.Random(4)
+    text = re.sub(" +", " ", "".join(rng.choices("abc ", k=400))).strip()
+    codes, counts = np.unique(language.grams([text])[0], return_counts=True)
+    m, prob = language.KneserNey(codes, counts), brute_kneser_ney(text, language.ORDER)
+    for context in ("abc", "a b", "zza", "ccc", "\1\1a"):
+        base = sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(context))
+        got = m.prob(np.array([base | ord(c) for c in "abc z"], np.uint64))
+        assert np.allclose(got, [prob(context, c) for c in "abc z"], atol=1e-12)
+
+
+def test_letters_beyond_the_first_plane():
+    letters = language.letters()
+    gothic = [letters[i] for i in range(0x10330, 0x10340)]
+    assert len(set(gothic)) == 16 and letters[0x10400] == letters[0x10428] and not set(gothic) & {letters[ord(c)] for c in "abcdefgé日"}
+    assert letters[ord("Ä")] == letters[ord("ä")] == ord("ä") and letters[ord("1")] == language.BLANK
+
+
 def test_rejection_and_unknown(spark, twice, nothing):
     rows = [(i, " ".join(random.Random(i).choices("the of and to in is that for with as on by this".split(), k=60)), "en") for i in range(60)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
