@@ -31,10 +31,10 @@ def groups_of(df: DataFrame, doc_id: str, text: str, hashed: Callable[[Column],
     t = text_or_empty(df, text)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.length(t).alias("n"), normalised_text(t).alias("dup_text"))
     rows = rows.select("*", hashed(F.col("dup_text")).alias("dup_hash"))
-    # the largest struct has the most code points, then the smallest id; a null id comes last
-    best = F.max(F.struct(F.col("n"), F.col("id").isNotNull().alias("has_id"), F.negate("id").alias("minus_id")))
+    # the largest struct has the most code points, then the smallest id (its bits turned over, which no id overflows); a null id comes last
+    best = F.max(F.struct(F.col("n"), F.col("id").isNotNull().alias("has_id"), F.bitwise_not("id").alias("turned")))
     g = rows.groupBy("dup_hash", "dup_text").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return g.select("dup_hash", "dup_text", F.negate("best.minus_id").alias("keep_id"), "group_size")
+    return g.select("dup_hash", "dup_text", F.bitwise_not("best.turned").alias("keep_id"), "group_size")
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
@@ -43,18 +43,22 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hashe
     Texts are equal when their characters besides blanks are. Of equal texts the row with the most code points stays,
     then the smallest id. Null texts count as empty, and all empty texts are one group. A null id comes after all
     others. Rows that repeat an id and a text count one by one in ``group_size`` and share the decision. Columns of df
-    with these four names are replaced. An empty table gives an empty table.
+    with these four names are replaced. An empty table gives an empty table. Ids are long, the least one too, or text that holds
+    whole numbers; another text as an id is an error, as Spark's cast has it.
     """
     df = df.drop("keep_id", "group_size", "kept", "text_sha256")
     full = groups_of(df, doc_id, text, hashed)
     groups = saved(full.select("dup_hash", "keep_id", "group_size", F.sha2("dup_text", 256).alias("text_sha256")), "exact-groups")
     clash = groups.groupBy("dup_hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("dup_hash")
-    rows = df.withColumn("dup_hash", hashed(normalised_text(text_or_empty(df, text))))
+    # df's own columns travel as one struct, so that no name of theirs meets the ones in use here
+    normal = normalised_text(text_or_empty(df, text))
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), hashed(normal).alias("dup_hash"))
     if clash.isEmpty():
         out = rows.join(groups, "dup_hash")
     else:
         sure = rows.join(groups.join(clash, "dup_hash", "left_anti"), "dup_hash")
         exact = groups_of(df, doc_id, text, hashed).join(clash, "dup_hash", "left_semi").withColumn("text_sha256", F.sha2("dup_text", 256))
-        unsure = rows.withColumn("dup_text", normalised_text(text_or_empty(df, text))).join(exact, ["dup_hash", "dup_text"]).drop("dup_text")
+        unsure = rows.withColumn("dup_text", normalised_text(F.coalesce(F.col("row")[text].cast("string"), F.lit("")))).join(exact, ["dup_hash", "dup_text"]).drop("dup_text")
         out = sure.unionByName(unsure)
-    return out.drop("dup_hash").select(*df.columns, "keep_id", "group_size", F.col(doc_id).cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    own = [F.col("row")[c].alias(c) for c in df.columns]
+    return out.select(*own, "keep_id", "group_size", F.col("row")[doc_id].cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -35,6 +35,15 @@ def test_exact(twice, weak):
     assert sorted((tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str) == brute_exact(rows)
 
 
+def test_exact_clashing_names_and_extreme_ids(spark):
+    rows = [(-(2**63), "a b", "x", "h"), (2**63 - 1, "ab", "y", "h"), (None, "a  b", "z", "h"), (0, None, "w", "h"), (-(2**63), "c", "x", "h"), (5, "c", "v", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dup_hash string, dup_text string").withColumns({c: F.lit(1) for c in ("row", "id", "n", "best", "texts")})
+    got = exact_dedup(df)
+    assert got.columns == [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    found = {r["dup_hash"] + str(r["text"]): (r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()}
+    assert found == {"xa b": (None, 3, False), "yab": (None, 3, False), "za  b": (None, 3, True), "wNone": (0, 1, True), "xc": (-(2**63), 2, True), "vc": (-(2**63), 2, False)}
+
+
 def brute_suffix(texts, width=200):
     raw = [(t or "").encode() for t in texts]
     n = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
