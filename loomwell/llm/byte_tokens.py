@@ -1,58 +1,83 @@
 """Byte-level BPE ids of whole texts by a table of distinct chunks.
 
-The tokenizer cuts a text into words before it merges, and always before a blank that follows another character. So a text
-is cut there, each distinct chunk is encoded once by the tokenizers library, and ids are joined back by position.
+The tokenizer cuts a text into words before it merges, and always before a blank that follows a character other than a blank. So
+texts are cut there, all texts of a slice at once; each distinct chunk is encoded once a worker by the tokenizers library, and ids are
+joined back by position. Texts that hold one of the tokenizer's added tokens, and all texts of a tokenizer that cuts
+otherwise, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from loomwell.llm.chunk_table import ChunkTable
 
-CHUNK = re.compile(r"\s*\S+|\s+")
 SLICE_BYTES = 4 << 20
 #: Chunks in one call of the library.
 GROUP = 16
 
 
-def chunks_of(text: str) -> list[str]:
-    """The text cut before each run of blanks that follows another character."""
-    if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
-        return CHUNK.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+def chunk_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at each text, and at each ASCII blank after a character that is certainly none.
+
+    Besides ASCII these are the characters of two bytes from U+00C0 on, of three but for the rows that hold Unicode's blanks, and of four.
+    """
+    n = len(data)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    at = np.flatnonzero(blank[1:]) + 1
+    one, two, three, four = (data[np.maximum(at - k, 0)] for k in (1, 2, 3, 4))
+    tail = (one & 0xC0) == 0x80
+    sure = (one > 32) & (one < 127)
+    sure |= tail & (two >= 0xC3) & (two <= 0xDF)
+    tail &= (two & 0xC0) == 0x80
+    sure |= tail & (three >= 0xE0) & (three <= 0xEF) & ~((three >= 0xE1) & (three <= 0xE3))
+    sure |= tail & ((three & 0xC0) == 0x80) & (four >= 0xF0)
+    new = np.zeros(n + 1, bool)
+    new[at[sure]] = True
+    new[text_starts] = True
+    return np.flatnonzero(new[:n])
 
 
 class ByteCoder:
-    """Ids as little-endian unsigned 32-bit bytes. Texts that look like special tokens are ordinary text."""
+    """Ids as little-endian unsigned 32-bit bytes, equal to the library's without its own begin and end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.fenced = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        special = [(i, t.content) for i, t in self.plain.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.fence = special[0] if special else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        self.by_chunk = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not any(spec.get(x) for x in ("normalizer", "truncation", "padding"))
+        self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        fences = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.fence = fences[0] if fences else None
         self.table = ChunkTable(self._chunks)
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Chunks go to the library a few at a time, with a special token as a fence between them."""
+        texts = [c.decode() for c in chunks]
         if not self.fence:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         fence_id, fence = self.fence
         out: list[bytes] = []
-        for i in range(0, len(chunks), 4096):
-            some = chunks[i : i + 4096]
-            odd = {j for j, c in enumerate(some) if fence[0] in c}
+        for i in range(0, len(texts), 4096):
+            some = texts[i : i + 4096]
+            odd = {j for j, c in enumerate(some) if fence[0] in c or fence[-1] in c}
             usual = [c for j, c in enumerate(some) if j not in odd]
             joined = [fence.join(usual[j : j + GROUP]) for j in range(0, len(usual), GROUP)]
             flat: list[int] = []
-            for e in self.fenced.encode_batch_fast(joined, add_special_tokens=False):
+            for e in self.library.encode_batch_fast(joined, add_special_tokens=False):
                 flat += e.ids
                 flat.append(fence_id)
             ids = np.array(flat, "<u4")
@@ -60,14 +85,32 @@ class ByteCoder:
             got, raw = iter(zip([0, *((ends[:-1] + 1) * 4).tolist()], (ends * 4).tolist())), ids.tobytes()
             for j, c in enumerate(some):
                 if j in odd:
-                    out.append(np.array(self.plain.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
+                    out.append(self._whole(c))
                 else:
                     a, b = next(got)
                     out.append(raw[a:b])
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in self.table.lookup([chunks_of(t) if t else [] for t in texts])]
+        whole = {i for i, t in enumerate(texts) if not self.by_chunk or any(x in t for x in self.added)}
+        raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        data = np.frombuffer(joined := b"".join(raw), np.uint8)
+        ends = np.cumsum([len(x) for x in raw]) if raw else np.zeros(0, np.int64)
+        begins = ends - [len(x) for x in raw] if raw else ends
+        if len(data):
+            starts = chunk_starts(data, begins[begins < len(data)])
+            offsets = np.append(starts, len(data)).astype(np.int64)
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+            found = self.table.values(chunks.dictionary.to_pylist())
+            sizes = np.array([len(x) for x in found], np.int64) // 4
+            ids, at = np.frombuffer(b"".join(found), "<u4"), chunks.indices.to_numpy()
+            n = sizes[at]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            edges = 4 * upto[np.searchsorted(starts, np.append(begins, len(data)))]
+        else:
+            out, edges = b"", np.zeros(len(texts) + 1, np.int64)
+        return [self._whole(t) if i in whole else out[edges[i] : edges[i + 1]] for i, t in enumerate(texts)]
 
 
 @lru_cache(2)

@@ -13,15 +13,15 @@ from typing import Any
 
 
 class ChunkTable:
-    def __init__(self, encode_all: Callable[[list[str]], Iterable[Any]], most: int = 800_000, longest: int = 64):
+    def __init__(self, encode_all: Callable[[list[Any]], Iterable[Any]], most: int = 800_000, longest: int = 64):
         self.encode_all, self.half, self.longest, self.held, self.older = encode_all, most // 2, longest, {}, {}
 
-    def lookup(self, texts_chunks: list[list[str]]) -> list[list[Any]]:
-        """What encode_all gives for each chunk, text by text."""
-        wanted = set().union(*texts_chunks)
+    def values(self, wanted: list[Any]) -> list[Any]:
+        """What encode_all gives for each of some distinct chunks, in their order."""
         if len(self.held) > self.half:
             self.held, self.older = {}, self.held
-        held, older, new = self.held, self.older, []
+        held, older = self.held, self.older
+        new = []
         for c in wanted:
             if c not in held:
                 if c in older:
@@ -30,9 +30,14 @@ class ChunkTable:
                     new.append(c)
         if new:
             held.update(zip(new, self.encode_all(new)))
-        get = held.__getitem__
-        out = [list(map(get, chunks)) for chunks in texts_chunks]
+        out = list(map(held.__getitem__, wanted))
         for c in new:
             if len(c) > self.longest:
                 del held[c]
         return out
+
+    def lookup(self, texts_chunks: list[list[str]]) -> list[list[Any]]:
+        """What encode_all gives for each chunk, text by text."""
+        wanted = list(set().union(*texts_chunks))
+        get = dict(zip(wanted, self.values(wanted))).__getitem__
+        return [list(map(get, chunks)) for chunks in texts_chunks]

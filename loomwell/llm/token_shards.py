@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ BLOCK_BYTES = 64 << 10
 #: A shard is closed at this size of its data blocks.
 SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-FOOTER, MAGIC, VERSION = struct.Struct("<QQQQHHI"), 0x5353544C, 1
+FOOTER, MAGIC, VERSION = struct.Struct("<QQQQHHI"), 0x5353544C, 2
 MANIFEST = "shard long, part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -80,7 +81,9 @@ def shared_prefix(a: bytes, b: bytes) -> int:
 
 
 def probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    """Double hashing by the two halves of a 128-bit hash."""
+    h = xxhash.xxh3_128_intdigest(key)
+    a, b = h >> 64, h & (1 << 64) - 1 | 1
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
@@ -213,7 +216,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         coder, shard, part, writer, done = byte_tokens.coder(tokenizer_path), TaskContext.get().partitionId(), 0, None, []
-        small = coder.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        small = coder.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         width, last = (2 if small else 4), np.array([end_id], "<u4").tobytes()
 
         def close() -> None:

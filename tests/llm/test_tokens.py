@@ -18,14 +18,13 @@ ODD = list("ab cd  \n\t\r\x0b\x0c\x85 　 ​ \x1c﻿é▁ß日本😀'sltd019.,
 
 def odd_texts():
     rng = random.Random(1)
-    return ["".join(rng.choices(ODD, k=rng.randint(0, 60))) for _ in range(1500)] + ["<|endoftext|> a <|endoftext|>", "<s> </s> <unk>", " ", "▁", "a  ", "\n\n x"]
+    return ["".join(rng.choices(ODD, k=rng.randint(0, 60))) for _ in range(1500)] + ["<|endoftext|> a <|endoftext|>", "a<|endoftext|>b", "x <|endoftext|>", "<|endoftext", "|>", "endoftext|> <|", "a<|endoftext|><|endoftext|> \n b", "wort é über ’quote’ “x” ° 日本 語 😀 q\u00a0 r\u3000 s\u2028 t\x1c u\x85 v", "<s> </s> <unk>", " ", "▁", "a  ", "\n\n x"]
 
 
 def library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
