@@ -3,7 +3,8 @@
 Documents are cut into pieces of at most `capacity` ids. Pieces are dealt evenly, by turns, into shards of at most
 `SHARD_ITEMS`; full pieces are sequences of their own. Each shard is packed by a few islands, rows of a DataFrame that evolve on any
 executor. A member of an island is a whole packing. Crossover injects well-filled bins of one parent into the
-other, drops the bins that then hold an item twice, and best-fits the displaced items, longest first. Between epochs the best
+other, drops the bins that then hold an item twice, and best-fits the displaced items, longest first. An island's first members are one
+best-fit packing and several that fill bin after bin with some chance. Between epochs the best
 packing of every island migrates to the next one in a ring; the best over all islands is taken.
 """
 
@@ -25,7 +26,9 @@ from loomwell.llm.scratch import saved
 
 #: Items that are packed together; also what a task of the packing holds at once.
 SHARD_ITEMS = 8192
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 3, 2, 6, 16
+#: Lengths that are tried for a place in a bin that is being filled.
+TRIED = 24
 #: A bin this full may be injected.
 WELL_FILLED = 0.995
 
@@ -59,6 +62,65 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, bins: Bins | N
     return bins, fills
 
 
+class ByLength:
+    """Items that wait for a place, by length. present: bit n is set while an item of length n waits."""
+
+    def __init__(self, items: list[int], lengths: list[int], capacity: int):
+        self.lists: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.present, self.lengths = 0, lengths
+        for i in items:
+            self.add(i)
+
+    def add(self, i: int) -> None:
+        self.lists[self.lengths[i]].append(i)
+        self.present |= 1 << self.lengths[i]
+
+    def take(self, n: int) -> int:
+        i = self.lists[n].pop()
+        if not self.lists[n]:
+            self.present &= ~(1 << n)
+        return i
+
+    def largest(self, most: int) -> int:
+        """The largest waiting length of at most `most`, or 0."""
+        return max(0, (self.present & ((1 << most + 1) - 1)).bit_length() - 1)
+
+    def rest(self) -> list[int]:
+        """All items, longest first."""
+        return [i for own in reversed(self.lists) for i in own]
+
+
+def filled(items: list[int], lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """Fills one bin after another: the longest item, then as long as there is room the one that best leaves room for another one.
+
+    Of the longest that fit, some are tried, others are passed over by chance, so that each call gives another packing.
+    """
+    waiting, bins, fills = ByLength(items, lengths, capacity), [], []
+    while waiting.present:
+        n = waiting.largest(capacity)
+        own, room = [waiting.take(n)], capacity - n
+        while room and (fit := waiting.present & ((1 << room + 1) - 1)) > 1:
+            best = (0, 0)
+            if fit >> room & 1:
+                best = (room, room)
+            tried = 0
+            while fit > 1 and tried < TRIED and best[0] < room:
+                x = fit.bit_length() - 1
+                fit ^= 1 << x
+                if rng.random() < 0.3 and fit > 1:
+                    continue
+                tried += 1
+                y = waiting.largest(room - x)
+                if y == x and len(waiting.lists[x]) < 2:
+                    y = 0
+                best = max(best, (x + y, x))
+            own.append(waiting.take(best[1]))
+            room -= best[1]
+        bins.append(own)
+        fills.append(capacity - room)
+    return bins, fills
+
+
 class Packing:
     """A member of an island: its bins, how full they are, and its fitness (fewer bins first, then fuller ones; the smallest is best)."""
 
@@ -68,16 +130,20 @@ class Packing:
 
 
 def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Injects whole well-filled bins of b into a, removes duplicates and best-fits the displaced items."""
-    enough = WELL_FILLED * capacity
+    """Injects whole well-filled bins of b into a, removes duplicates and best-fits the displaced items.
+
+    Before that, bins that are not full give items back for longer waiting ones that fill them better. Displaced items go into the bins
+    there are and new ones by best fit, longest first, or fill new ones first where that leaves fewer bins.
+    """
+    enough, share = WELL_FILLED * capacity, 0.2 + 0.6 * rng.random()
     bins, fills = [], []
     for x, f in zip(b.bins, b.fills):
-        if f >= enough and rng.random() < 0.5:
+        if f >= enough and rng.random() < share:
             bins.append(list(x))
             fills.append(f)
     inside = set().union(*bins)
     displaced: list[int] = []
-    poor = 0.1 + 0.2 * rng.random()
+    poor = 0.1 + 0.4 * rng.random()
     for x, f in zip(a.bins, a.fills):
         if not inside.isdisjoint(x):
             displaced += [i for i in x if i not in inside]
@@ -86,8 +152,23 @@ def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: ra
         else:
             bins.append(list(x))
             fills.append(f)
-    displaced.sort(key=lambda i: -lengths[i])
-    return Packing(*best_fit(displaced, lengths, capacity, bins, fills), capacity)
+    waiting = ByLength(displaced, lengths, capacity)
+    for k, own in enumerate(bins):
+        room = capacity - fills[k]
+        for at in range(len(own) if room else 0):
+            n = lengths[own[at]]
+            longer = waiting.largest(n + room)
+            if longer > n:
+                i = waiting.take(longer)
+                waiting.add(own[at])
+                own[at] = i
+                room -= longer - n
+        fills[k] = capacity - room
+    rest = waiting.rest()
+    if rng.random() < 0.5:
+        return Packing(*best_fit(rest, lengths, capacity, bins, fills), capacity)
+    fresh, full = filled(rest, lengths, capacity, rng)
+    return Packing(bins + fresh, fills + full, capacity)
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, given: list[Bins]) -> list[Packing]:
@@ -99,15 +180,16 @@ def evolve(lengths: list[int], capacity: int, seed: int, given: list[Bins]) -> l
         order = sorted(range(n), key=lambda i: -lengths[i])
         population.append(Packing(*best_fit(order, lengths, capacity), capacity))
     while len(population) < POPULATION:
-        noisy = sorted(range(n), key=lambda i: -lengths[i] * (1 + 0.05 * rng.random()))
-        population.append(Packing(*best_fit(noisy, lengths, capacity), capacity))
+        population.append(Packing(*filled(list(range(n)), lengths, capacity, rng), capacity))
     population.sort(key=fitness)
     least = -(-sum(lengths) // capacity)
     for _ in range(OFFSPRING):
         if len(population[0].bins) <= least:
             break
         a, b = rng.sample(population, 2)
-        population = sorted([*population, crossover(a, b, lengths, capacity, rng)], key=fitness)[:POPULATION]
+        child = crossover(a, b, lengths, capacity, rng)
+        if all(child.fitness != x.fitness for x in population):  # twins would make the parents alike
+            population = sorted([*population, child], key=fitness)[:POPULATION]
     return population
 
 

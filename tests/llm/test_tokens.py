@@ -145,3 +145,37 @@ def test_lengths_cover_extremes(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([10] * 5 + [1] * 7 + [9, 3])], "i int, length long")
     out = packing.pack(df, 10).toPandas()
     assert out.groupby("sequence_id")["length"].sum().max() <= 10 and out["sequence_id"].nunique() == 7
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evolution_beats_best_fit(seed):
+    """Fewer bins than best fit in decreasing order, on lengths of three to five a bin and on lengths like those of texts."""
+    rng = random.Random(seed)
+    for lengths in ([rng.randint(200, 500) for _ in range(1500)], [min(1023, max(3, int(rng.lognormvariate(5.8, 0.8)))) for _ in range(6000)]):
+        plain = len(packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 1024)[0])
+        first = packing.evolve(lengths, 1024, seed, [])
+        best = packing.evolve(lengths, 1024, seed + 100, [x.bins for x in first])[0]
+        assert -(-sum(lengths) // 1024) <= len(best.bins) < plain
+        assert sorted(i for b in best.bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) == f <= 1024 for b, f in zip(best.bins, best.fills))
+
+
+def test_crossover_keeps_every_item():
+    rng = random.Random(1)
+    for _ in range(30):
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 120))]
+        a, b = (packing.Packing(*packing.filled(list(range(len(lengths))), lengths, 64, rng), 64) for _ in range(2))
+        child = packing.crossover(a, b, lengths, 64, rng)
+        assert sorted(i for x in child.bins for i in x) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in x) == f <= 64 for x, f in zip(child.bins, child.fills))
+
+
+def test_packing_of_several_shards(spark):
+    rng = random.Random(7)
+    lengths = [min(1024, max(1, int(rng.lognormvariate(5.8, 0.9)))) for _ in range(2 * packing.SHARD_ITEMS + 500)]
+    out = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "id long, length long"), 1024).collect()
+    assert sorted((r["id"], r["length"]) for r in out) == list(enumerate(lengths))
+    at = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 1024 and len(at) < 1.01 * sum(lengths) / 1024
