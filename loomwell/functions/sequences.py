@@ -27,7 +27,8 @@ def clean(c: Column) -> Column:
 
 
 def count_of(c: Column, letters: str) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, f"[{letters}]", ""))
+    """How many of the letters there are; without a pattern, by what the text is shorter without them."""
+    return F.length(c) - F.length(F.translate(c, letters, "") if len(letters) > 1 else F.replace(c, F.lit(letters), F.lit("")))
 
 
 def share_of(c: Column, letters: str) -> Column:
@@ -85,9 +86,8 @@ def isoelectric_point(c: Column) -> Column:
     return solve(F.array(*[count_of(c, a) for a in letters]), F.substring(c, 1, 1), F.substring(c, -1, 1))
 
 
-def properties(c: Column) -> dict[str, Column]:
-    """Length, weight, hydropathy, aromaticity, structure and charge; null under ten residues."""
-    s = clean(c)
+def properties(s: Column) -> dict[str, Column]:
+    """Length, weight, hydropathy, aromaticity, structure and charge of a clean sequence; null under ten residues."""
     long = lambda x: F.when(F.length(s) >= 10, x)
     out = {
         "length": F.length(s),
@@ -104,19 +104,26 @@ def properties(c: Column) -> dict[str, Column]:
 
 
 def has_motif(c: Column) -> Column:
-    """G x S x G of the 20 letters."""
-    return clean(c).rlike(f"G[{AMINO}]S[{AMINO}]G")
+    """G x S x G of the 20 letters, in a clean sequence."""
+    return c.rlike(f"G[{AMINO}]S[{AMINO}]G")
 
 
 def motif_contexts(c: Column, pattern: str, flank: int = 5) -> Column:
-    """All matches that do not overlap, with so many characters on either side where there are."""
-    return F.regexp_extract_all(c, F.lit(f"(.{{0,{flank}}}(?:{pattern}).{{0,{flank}}})"), 1)
+    """All matches that do not overlap, with so many characters on either side where there are; contexts may overlap.
+
+    A mark that no text holds is put around each match, so that places are known without taking neighbours up.
+    """
+    parts = F.split(F.regexp_replace(c, f"({pattern})", "\u0001$1\u0001"), "\u0001")
+    plain = lambda x: F.array_join(x, "")
+    before = lambda i: F.substring(plain(F.slice(parts, 1, i)), -flank, flank)
+    after = lambda i: F.substring(plain(F.slice(parts, i + 2, F.greatest(F.size(parts) - i - 1, F.lit(0)))), 1, flank)
+    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+    return F.transform(at, lambda i: F.concat(before(i), F.get(parts, i), after(i)))
 
 
 def kmers(c: Column, k: int) -> Column:
     """Distinct k-mers; none for a shorter text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)))
-    return F.when(F.length(c) >= k, F.array_distinct(F.transform(places, lambda i: F.substring(c, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)), F.array().cast("array<string>"))
 
 
 def kmer_jaccard(a: Column, b: Column) -> Column:
@@ -133,17 +140,20 @@ def residue_values(c: Column, values: dict[str, float], other: float = 0.0) -> C
 
 def window_profile(c: Column, window: int = 9, values: dict[str, float] = HYDROPATHY) -> Column:
     """Centred mean at each residue; windows are shorter at the edges."""
-    v, half = residue_values(c, values), window // 2
+    half = window // 2
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)
-    at = lambda i: F.slice(v, F.greatest(i - half, F.lit(1)), F.least(i + half, F.size(v)) - F.greatest(i - half, F.lit(1)) + 1)
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: mean(at(i))))
+    at = lambda v, i: F.slice(v, F.greatest(i - half, F.lit(1)), F.least(i + half, F.size(v)) - F.greatest(i - half, F.lit(1)) + 1)
+    # as the one element of an array the values are made once, not anew for each residue
+    whole = F.transform(F.array(residue_values(c, values)), lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: mean(at(v, i))))
+    return F.when(F.length(c) > 0, F.get(whole, F.lit(0)))
 
 
 def best_window(c: Column, within: int = 30, window: int = 8, values: dict[str, float] = HYDROPATHY) -> Column:
     """Largest mean of so many residues in a row, at the start; null for a shorter sequence."""
-    v = residue_values(F.substring(c, 1, within), values)
-    mean = lambda i: F.aggregate(F.slice(v, i, window), F.lit(0.0), lambda s, y: s + y) / window
-    return F.when(F.size(v) >= window, F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - window + 1, F.lit(1))), mean)))
+    mean = lambda v, i: F.aggregate(F.slice(v, i, window), F.lit(0.0), lambda s, y: s + y) / window
+    start = F.substring(c, 1, within)
+    means = F.transform(F.array(residue_values(start, values)), lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - window + 1, F.lit(1))), lambda i: mean(v, i)))
+    return F.when(F.length(start) >= window, F.array_max(F.get(means, F.lit(0))))
 
 
 def mature_slice(c: Column, cleavage: Column) -> dict[str, Column]:

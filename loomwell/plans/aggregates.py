@@ -221,12 +221,12 @@ def unweighted_remerge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with d as (select l_suppkey as k, l_discount as v, sum(l_quantity) as w from lineitem where l_suppkey <= 50 group by 1, 2), c as (select *, sum(w) over (partition by k order by v) as cum, sum(w) over (partition by k) as t from d),
+    with d as (select l_suppkey as k, l_discount as v, sum(l_quantity) as w from lineitem group by 1, 2), c as (select *, sum(w) over (partition by k order by v) as cum, sum(w) over (partition by k) as t from d),
     q as (select k, min(case when cum >= 0.25::double * t then v end) as q25, min(case when cum >= 0.75::double * t then v end) as q75 from c group by k)
     select d.k, round(sum(v * w) / sum(w), 6) as weighted_mean, any_value(q25) as q25, any_value(q75) as q75, round(1 / (1 + any_value(q75) - any_value(q25)), 6) as confidence from d join q on q.k = d.k group by d.k
 """)
 def weighted_traits(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_suppkey <= 50").select(F.col("l_suppkey").alias("k"), "l_discount", "l_quantity")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_discount", "l_quantity")
     out = aggregates.weighted_traits(rows, "k", "l_discount", "l_quantity")
     return out.withColumns({c: F.round(c, 6) for c in ("weighted_mean", "confidence")})
 

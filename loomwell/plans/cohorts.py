@@ -183,13 +183,13 @@ def q39_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select e.event_id, o.o_orderkey from (select event_id, user_id, value from events where event_id < 500) e
-    join orders o on e.value * 100 >= o.o_totalprice / 100 and e.value * 100 < o.o_totalprice / 100 + 5 where o.o_orderkey < 2000
+    select e.event_id, o.o_orderkey from events e
+    join orders o on e.value * 100 >= o.o_totalprice / 100 and e.value * 100 < o.o_totalprice / 100 + 5
 """)
 def range_match(spark: SparkSession, d: str) -> DataFrame:
     """Points in ranges, by buckets as an equi-join."""
-    points = table(spark, d, "events").filter("event_id < 500").select("event_id", (F.col("value") * 100).alias("x"))
-    ranges = table(spark, d, "orders").filter("o_orderkey < 2000").select("o_orderkey", (F.col("o_totalprice") / 100).alias("low"), (F.col("o_totalprice") / 100 + 5).alias("high"))
+    points = table(spark, d, "events").select("event_id", (F.col("value") * 100).alias("x"))
+    ranges = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("low"), (F.col("o_totalprice") / 100 + 5).alias("high"))
     return joins.range_join(points, ranges, "x", "low", "high", 5.0).select("event_id", "o_orderkey")
 
 

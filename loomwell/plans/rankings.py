@@ -32,12 +32,12 @@ def q15_top_values(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.top_values(table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(p, "l_partkey"), "p_brand", "l_suppkey", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-_INTERVALS = "select l_suppkey as k, (l_partkey % 997) as s, (l_partkey % 997) + l_quantity::bigint as e from lineitem where l_suppkey <= 40 and l_linenumber = 1"
+_INTERVALS = "select l_suppkey as k, (l_orderkey % 99991) as s, (l_orderkey % 99991) + l_quantity::bigint as e from lineitem"
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "lineitem").filter("l_suppkey <= 40 and l_linenumber = 1")
-    return i.select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 997).alias("s"), (F.col("l_partkey") % 997 + F.col("l_quantity").cast("long")).alias("e"))
+    i = table(spark, d, "lineitem")
+    return i.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 99991).alias("s"), (F.col("l_orderkey") % 99991 + F.col("l_quantity").cast("long")).alias("e"))
 
 
 @query(f"""
@@ -52,11 +52,11 @@ def q22_merged_intervals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     with i as ({_INTERVALS}), r as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as reach from i),
     g as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by k order by s, e rows unbounded preceding) as g from r),
-    m as (select k, min(s) as s, max(e) as e from g group by k, g), x as (select s_suppkey as k, -1 as s, 0 as e from supplier where s_suppkey <= 60 union all select k, s, e from m),
-    l as (select k, e as s, least(coalesce(lead(s) over (partition by k order by s), 1000), 1000) as e from x) select k, greatest(s, 0) as s, e from l where greatest(s, 0) < e
+    m as (select k, min(s) as s, max(e) as e from g group by k, g), x as (select s_suppkey as k, -1 as s, 0 as e from supplier union all select k, s, e from m),
+    l as (select k, e as s, least(coalesce(lead(s) over (partition by k order by s), 100100), 100100) as e from x) select k, greatest(s, 0) as s, e from l where greatest(s, 0) < e
 """)
 def q22_gaps(spark: SparkSession, d: str) -> DataFrame:
-    lengths = table(spark, d, "supplier").filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.lit(1000).cast("long").alias("n"))
+    lengths = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(100100).cast("long").alias("n"))
     return windows.complement(_intervals(spark, d), lengths, ["k"], "s", "e", "n")
 
 
@@ -140,10 +140,10 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return a.subtract(table(spark, d, "events").filter("value > 50").select(F.col("user_id").alias("k")))
 
 
-@query("select event_type, user_id from events where event_id < 3000 except all select event_type, user_id from events where event_id % 3 = 0")
+@query("select event_type, user_id from events where value < 40 except all select event_type, user_id from events where event_id % 3 = 0")
 def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.filter("event_id < 3000").select("event_type", "user_id").exceptAll(e.filter("event_id % 3 = 0").select("event_type", "user_id"))
+    return e.filter("value < 40").select("event_type", "user_id").exceptAll(e.filter("event_id % 3 = 0").select("event_type", "user_id"))
 
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) where r = 1")

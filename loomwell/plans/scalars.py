@@ -119,13 +119,13 @@ def small_parsers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select event_id, case event_id % 5 when 0 then null when 1 then 'unparseable' when 2 then 'base differs' when 3 then 'outside base' else null end as reason, case event_id % 5 when 0 then 'sub' when 2 then 'sub' when 3 then 'del' when 4 then 'ins' end as kind from events where event_id < 500
+    select event_id, case event_id % 5 when 0 then null when 1 then 'unparseable' when 2 then 'base differs' when 3 then 'outside base' else null end as reason, case event_id % 5 when 0 then 'sub' when 2 then 'sub' when 3 then 'del' when 4 then 'ins' end as kind from events
 """)
 def mutations(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     token = F.when(i % 5 == 0, "A2N").when(i % 5 == 1, "foo").when(i % 5 == 2, "C2N").when(i % 5 == 3, "G99-").otherwise("-4r")
     m = S.mutation(token, F.lit("MACD"))
-    return table(spark, d, "events").filter("event_id < 500").select("event_id", m["reason"].alias("reason"), F.when(i % 5 != 1, m["kind"]).alias("kind"))
+    return table(spark, d, "events").select("event_id", m["reason"].alias("reason"), F.when(i % 5 != 1, m["kind"]).alias("kind"))
 
 
 @query("select e.event_id, json_extract(props, '$.k')::int as k, (json_extract(props, '$.k')::int) % 10 as last_digit from events e where props is not null")
@@ -141,13 +141,13 @@ def q28_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with v as (select a.vec_id as a, b.vec_id as b, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id < 200)
+    with v as (select a.vec_id as a, b.vec_id as b, a.embedding as x, b.embedding as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)
     select a, b, round(list_cosine_similarity(x::double[], y::double[]), 5) as cosine from v
 """)
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").filter("vec_id <= 200").select("vec_id", "embedding")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
     b = e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return e.filter("vec_id < 200").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, "a").select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+    return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, "a").select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
 @query("select n_nationkey, n_nationkey * 1.5::double as lon, -n_nationkey::double as lat from nation")

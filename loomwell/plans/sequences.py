@@ -9,11 +9,7 @@ from loomwell.functions import sequences as Q
 from loomwell.operators import aggregates
 from loomwell.plans.registry import query, table
 
-_HEAD = "substr(regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'), 1, 200)"
-
-
-def _heads(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.substring(Q.clean(F.col("text")), 1, n).alias("s"), "text")
+_CLEAN = "regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 
 
 def _whole(spark: SparkSession, d: str) -> DataFrame:
@@ -21,26 +17,26 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    with h as (select doc_id, {_HEAD} as s, text from documents)
+    with h as (select doc_id, {_CLEAN} as s from documents)
     select doc_id, length(s) as n, round((length(s) - length(replace(s, 'A', '')))::double / nullif(length(s), 0), 6) as share_a, round((length(s) - length(regexp_replace(s, '[FWY]', '', 'g')))::double / nullif(length(s), 0), 6) as aromaticity,
-      regexp_matches(regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'), 'G[ACDEFGHIKLMNPQRSTVWY]S[ACDEFGHIKLMNPQRSTVWY]G') as motif,
+      regexp_matches(s, 'G[ACDEFGHIKLMNPQRSTVWY]S[ACDEFGHIKLMNPQRSTVWY]G') as motif,
       (length(s) - length(regexp_replace(s, '[KRH]', '', 'g'))) - (length(s) - length(regexp_replace(s, '[DE]', '', 'g'))) as charge from h
 """)
 def q26_composition(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s")
-    return _heads(spark, d).select("doc_id", F.length(s).cast("long").alias("n"), F.round(Q.composition(s)["A"], 6).alias("share_a"), F.round(Q.share_of(s, "FWY"), 6).alias("aromaticity"), Q.has_motif(F.col("text")).alias("motif"), (Q.count_of(s, "KRH") - Q.count_of(s, "DE")).cast("long").alias("charge"))
+    return _whole(spark, d).select("doc_id", F.length(s).cast("long").alias("n"), F.round(Q.composition(s)["A"], 6).alias("share_a"), F.round(Q.share_of(s, "FWY"), 6).alias("aromaticity"), Q.has_motif(s).alias("motif"), (Q.count_of(s, "KRH") - Q.count_of(s, "DE")).cast("long").alias("charge"))
 
 
 def _sum_sql(values: dict[str, float]) -> str:
-    return " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * ({v})" for a, v in values.items())
+    return " + ".join(f"(length(s) - length(replace(s, '{a}', ''))) * ({v})::double" for a, v in values.items())
 
 
 @query(f"""
-    with h as (select doc_id, {_HEAD} as s from documents) select doc_id, round(({_sum_sql(Q.HYDROPATHY)}) / length(s), 4)::double as gravy, round(({_sum_sql(Q.MASS)} - (length(s) - 1) * 18.0153) / 1000, 2)::double as molecular_weight_kda from h where length(s) >= 10
+    with h as (select doc_id, {_CLEAN} as s from documents) select doc_id, round(({_sum_sql(Q.HYDROPATHY)}) / length(s), 4)::double as gravy, round(({_sum_sql(Q.MASS)} - (length(s) - 1) * 18.0153) / 1000, 2)::double as molecular_weight_kda from h where length(s) >= 10
 """)
 def protein_properties(spark: SparkSession, d: str) -> DataFrame:
     p = Q.properties(F.col("s"))
-    return _heads(spark, d).filter(F.length("s") >= 10).select("doc_id", p["gravy"].alias("gravy"), p["molecular_weight_kda"].alias("molecular_weight_kda"))
+    return _whole(spark, d).filter(F.length("s") >= 10).select("doc_id", p["gravy"].alias("gravy"), p["molecular_weight_kda"].alias("molecular_weight_kda"))
 
 
 @query()
@@ -50,16 +46,13 @@ def isoelectric_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    with h as (select doc_id, substr({_HEAD}, 1, 60) as s from documents where doc_id < 60), k as (select distinct doc_id, substr(s, i::int, 5) as k from h, range(1, 57) r(i) where i <= length(s) - 4),
-    n as (select doc_id, count(*) as n from k group by 1), b as (select x.doc_id as a, y.doc_id as b, count(*) as c from k x join k y on y.k = x.k and x.doc_id < y.doc_id group by 1, 2)
-    select b.a, b.b, round(c::double / (na.n + nb.n - c), 6) as jaccard from b join n na on na.doc_id = a join n nb on nb.doc_id = b
+    with h as (select doc_id, {_CLEAN} as s from documents), k as (select doc_id, list_distinct(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5))) as k from h where length(s) >= 5)
+    select x.doc_id as a, y.doc_id as b, round(len(list_intersect(x.k, y.k))::double / (len(x.k) + len(y.k) - len(list_intersect(x.k, y.k))), 6) as jaccard from k x join k y on y.doc_id = x.doc_id + 1
 """)
 def q27_kmer_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """K-mer similarity of a small set of sequences: pairs that share a k-mer, by a join on k-mers."""
-    k = _heads(spark, d, 60).filter("doc_id < 60").select("doc_id", Q.kmers(F.col("s"), 5).alias("k"))
-    e = k.select("doc_id", F.explode("k").alias("m"))
-    pairs = e.withColumnRenamed("doc_id", "a").join(e.withColumnRenamed("doc_id", "b"), "m").filter("a < b").select("a", "b").distinct()
-    pairs = pairs.join(k.select(F.col("doc_id").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("doc_id").alias("b"), F.col("k").alias("kb")), "b")
+    """K-mer similarity of each sequence and the next one."""
+    k = _whole(spark, d).filter(F.length("s") >= 5).select("doc_id", Q.kmers(F.col("s"), 5).alias("k"))
+    pairs = k.select(F.col("doc_id").alias("a"), F.col("k").alias("ka")).join(k.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("k").alias("kb")), "a")
     return pairs.select("a", "b", F.round(Q.kmer_jaccard(F.col("ka"), F.col("kb")), 6).alias("jaccard"))
 
 
@@ -67,20 +60,22 @@ _CASE = " ".join(f"when '{a}' then {v}" for a, v in Q.HYDROPATHY.items())
 
 
 @query(f"""
-    with h as (select doc_id, substr({_HEAD}, 1, 40) as s from documents where doc_id < 200), c as (select doc_id, i, case substr(s, i::int, 1) {_CASE} end::double as v from h, range(1, 41) r(i) where i <= length(s))
-    select doc_id, i - 1 as pos, round(avg(v) over (partition by doc_id order by i rows between 4 preceding and 4 following), 5) + 0.0::double as mean from c
+    with h as (select doc_id, {_CLEAN} as s from documents), c as (select doc_id, unnest(range(1, length(s) + 1)) as i, s from h where length(s) > 0), v as (select doc_id, i, case substr(s, i, 1) {_CASE} end::double as v from c),
+    p as (select doc_id, avg(v) over (partition by doc_id order by i rows between 4 preceding and 4 following) as m from v)
+    select doc_id, count(*) as n, round(max(m), 5) + 0.0::double as highest, round(min(m), 5) + 0.0::double as lowest, count(*) filter (where m > 1.60001) as above from p group by 1
 """)
 def q42_window_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = _heads(spark, d, 40).filter("doc_id < 200").select("doc_id", F.posexplode(Q.window_profile(F.col("s"))).alias("pos", "mean"))
-    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.round("mean", 5) + F.lit(0.0)).alias("mean"))
+    """What the profile of each whole sequence reaches, and at how many residues it is above 1.6."""
+    p = _whole(spark, d).filter(F.length("s") > 0).select("doc_id", Q.window_profile(F.col("s")).alias("m"))
+    return p.select("doc_id", F.size("m").cast("long").alias("n"), *[(F.round(x, 5) + F.lit(0.0)).alias(c) for x, c in ((F.array_max("m"), "highest"), (F.array_min("m"), "lowest"))], F.size(F.filter("m", lambda x: x > 1.60001)).cast("long").alias("above"))
 
 
 @query(f"""
-    with h as (select doc_id, substr({_HEAD}, 1, 30) as s from documents), c as (select doc_id, i, length(s) as n, case substr(s, i::int, 1) {_CASE} end::double as v from h, range(1, 31) r(i) where i <= length(s)),
+    with h as (select doc_id, substr({_CLEAN}, 1, 30) as s from documents), c as (select doc_id, i, length(s) as n, case substr(s, i::int, 1) {_CASE} end::double as v from h, range(1, 31) r(i) where i <= length(s)),
     w as (select doc_id, i, n, avg(v) over (partition by doc_id order by i rows between current row and 7 following) as m from c) select doc_id, round(max(m), 5) + 0.0::double as best from w where i <= n - 7 group by doc_id
 """)
 def best_start_window(spark: SparkSession, d: str) -> DataFrame:
-    return _heads(spark, d, 30).select("doc_id", (F.round(Q.best_window(F.col("s"), 30, 8), 5) + F.lit(0.0)).alias("best")).filter("best is not null")
+    return _whole(spark, d).select("doc_id", (F.round(Q.best_window(F.col("s"), 30, 8), 5) + F.lit(0.0)).alias("best")).filter("best is not null")
 
 
 @query("""
@@ -101,15 +96,16 @@ def consensus_columns(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.consensus(w, "k").join(aggregates.occupancy(w, "k"), ["k", "pos"]).select("k", "pos", "ch", F.round("occupancy", 6).alias("occupancy"))
 
 
-@query(f"""
-    with h as (select doc_id, rpad(substr({_HEAD}, 1, 6), 6, '-') as s, 1 + doc_id % 3 as w from documents), c as (select doc_id, i, substr(s, i::int, 1) as ch, w from h, range(1, 7) r(i)),
-    j as (select x.i, y.i as j, x.ch as a, y.ch as b, sum(x.w) as w from c x join c y on y.doc_id = x.doc_id and x.i < y.i group by 1, 2, 3, 4),
+@query("""
+    with h as (select lpad(p_partkey::varchar, 8, '-') as s, p_size as w, p_partkey from part), c as (select p_partkey, i, substr(s, i::int, 1) as ch, w from h, range(1, 9) r(i)),
+    j as (select x.i, y.i as j, x.ch as a, y.ch as b, sum(x.w) as w from c x join c y on y.p_partkey = x.p_partkey and x.i < y.i group by 1, 2, 3, 4),
     p as (select *, sum(w) over (partition by i, j, a) as pa, sum(w) over (partition by i, j, b) as pb, sum(w) over (partition by i, j) as n from j)
-    select i::int as i, j::int as j, round(sum(w / n * log2(w * n / (pa * pb)))::double, 5) as mi from (select i, j, w::double as w, pa::double as pa, pb::double as pb, n::double as n from p) group by 1, 2
+    select i::int as i, j::int as j, round(sum(w / n * log2(w * n / (pa * pb)))::double, 5) + 0.0::double as mi from (select i, j, w::double as w, pa::double as pa, pb::double as pb, n::double as n from p) group by 1, 2
 """)
 def q41_mutual_information(spark: SparkSession, d: str) -> DataFrame:
-    s = _heads(spark, d, 6).select(F.rpad("s", 6, "-").alias("s"), (1 + F.col("doc_id") % 3).cast("double").alias("w"))
-    return aggregates.mutual_information(s, "s", "w", 6).select("i", "j", F.round("mi", 5).alias("mi"))
+    """All pairs of columns of an alignment: the keys of parts, aligned on the right."""
+    s = table(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 8, "-").alias("s"), F.col("p_size").cast("double").alias("w"))
+    return aggregates.mutual_information(s, "s", "w", 8).select("i", "j", (F.round("mi", 5) + F.lit(0.0)).alias("mi"))
 
 
 @query("""
@@ -129,7 +125,8 @@ def control_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    select s, count(*) as n, min(doc_id) as doc_id from (select doc_id, substr({_HEAD}, 1, 40) as s from documents) group by s having count(*) > 1
+    select md5(s) as key, length(s) as length, count(*) as n, min(doc_id) as doc_id from (select doc_id, {_CLEAN} as s from documents) group by s having count(*) > 1
 """)
 def weighted_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return _heads(spark, d, 40).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1")
+    found = _whole(spark, d).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1")
+    return found.select(F.md5(F.col("s").cast("binary")).alias("key"), F.length("s").cast("long").alias("length"), "n", "doc_id")

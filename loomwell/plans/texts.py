@@ -10,13 +10,13 @@ from loomwell.plans.registry import query, table
 
 
 @query(r"""
-    with p as (select d.doc_id, lower(regexp_replace(d.text, '[^\w\s]', '', 'g')) as s, b.item_id, lower(regexp_replace(b.text, '[^\w\s]', '', 'g')) as e from documents d join benchmark b on b.item_id = d.doc_id % 40 where d.lang = 'en' and d.doc_id < 80),
+    with p as (select d.doc_id, lower(regexp_replace(d.text, '[^\w\s]', '', 'g')) as s, b.item_id, lower(regexp_replace(b.text, '[^\w\s]', '', 'g')) as e from documents d join benchmark b on b.item_id = d.doc_id % 40 where d.lang = 'en'),
     w as (select doc_id, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') as s, list_distinct(list_filter(regexp_split_to_array(e, '\s+'), lambda x: x <> '')) as e from p),
     h as (select doc_id, len(s) as n, max(len(list_intersect(e, s[i:i+59]))::double / len(e)) as best from w, range(1, 30000) r(i) where i <= greatest(len(s) - 59, 1) group by doc_id, s, e)
     select doc_id, case when n >= 60 and best >= 0.75 then 'LEXICAL_MATCH' else 'NO_MATCH_FOUND' end as status from h
 """)
 def q32_evidence(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en' and doc_id < 80").select("doc_id", F.col("text").alias("source"), (F.col("doc_id") % 40).alias("item_id"))
+    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.col("text").alias("source"), (F.col("doc_id") % 40).alias("item_id"))
     both = docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence")), "item_id")
     return both.select("doc_id", T.evidence_status(F.col("evidence"), F.col("source")).alias("status"))
 
@@ -72,10 +72,10 @@ def fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
     return T.fuzzy_sections(c.select("conv_id", "place", "text"), c.select("conv_id", "place", "section", "text"), "conv_id")
 
 
-@query("select event_id as source_record_id, json_extract(props, '$.k')::int as k, 'assay' as kind from events where event_id < 1000 and props is not null union all select event_id, null, 'protein' from events where event_id < 1000 and event_id % 2 = 0 and props is not null")
+@query("select event_id as source_record_id, json_extract(props, '$.k')::int as k, 'assay' as kind from events where props is not null union all select event_id, null, 'protein' from events where event_id % 2 = 0 and props is not null")
 def json_to_tables(spark: SparkSession, d: str) -> DataFrame:
     """Lists of one document to tables, stacked over the union of their columns."""
-    e = table(spark, d, "events").filter("event_id < 1000 and props is not null")
+    e = table(spark, d, "events").filter("props is not null")
     proteins = F.when(F.col("event_id") % 2 == 0, '[{"kind": "protein"}]').otherwise("[]")
     k = F.get_json_object("props", "$.k")
     doc = F.concat(F.lit('```json\n{"assays": [{"kind": "assay", "k": '), k, F.lit('}], "proteins": '), proteins, F.lit("}\n```"))
