@@ -165,6 +165,11 @@ def budget_designs(spark: SparkSession, d: str) -> DataFrame:
     return design.split_clusters(_cores(spark, d), "cluster", "core", "w", 3, 1, budget=40).drop("cuts")
 
 
+@query()
+def combined_designs(spark: SparkSession, d: str) -> DataFrame:
+    return design.combined_clusters(_cores(spark, d), "cluster", "core", "w", 2, 2, budget=60, most=4)
+
+
 @query("select n_nationkey, case n_nationkey % 3 when 0 then 0 when 1 then 1 else 1 end as ambiguous from nation")
 def cheapest_codons(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")

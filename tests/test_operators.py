@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -148,30 +149,84 @@ def test_graphs(spark):
 
 
 def test_codons():
-    c = design.Codons()
-    assert c.best(frozenset("M"))[0] == "ATG" and c.best(frozenset("M"))[2] == 0
-    assert frozenset("KN") <= c.best(frozenset("KN"))[1] and c.best(frozenset("KN"))[2] == 1
-    assert all("*" not in acids for _, acids, _, _ in design.codon_table())
-
-
-def test_cover_and_cuts():
-    r = design.cover(["MK", "MN", "WW"], [2.0, 1.0, 1.0], 1)
-    assert r["n_covered"] == 2 and r["ambiguous"] == 1
-    seqs = ["AAAA", "AAAT", "TTAA"]
-    cuts = design.place_cuts(seqs, 2, 1)
-    cost = lambda c: math.prod(len({s[a:b] for s in seqs}) for a, b in zip([0, *c], [*c, 4]))
-    assert cost(cuts) == min(cost([c]) for c in range(1, 4))
-    p = design.pieces_of(seqs, [2])
-    assert design.under_budget(p, [1.0, 1.0, 1.0], 2)["n_covered"] == 2
-    assert design.under_junk(p, [1.0, 1.0, 1.0], 0.5, 100)["n_covered"] >= 3
-    assert design.place_cuts(seqs, 5, 1) is None
-
-
-def test_orthogonal_cuts():
-    seqs = ["AAAAAA", "AATTAA"]
-    got = design.place_cuts_apart(seqs, {2: ["ACCA"], 4: ["ACCA", "GGTC"]}, 3, 1)
-    assert got == ([2, 4], ["ACCA", "GGTC"])
-    assert design.place_cuts_apart(seqs, {2: ["ACCA"], 4: ["ACCA"]}, 3, 1) is None
+    assert design.cheapest(frozenset("M"))[:3] == (0, 1, "ATG")
+    assert design.cheapest(frozenset("KN"))[0] == 1 and design.cheapest(frozenset("KN"))[3] >= frozenset("KN")
+    assert all("*" not in c[3] for c in design.degenerate_codons())
+
+
+def subsets(n):
+    return (set(c) for k in range(n + 1) for c in itertools.combinations(range(n), k))
+
+
+def best_cover(seqs, weights, most):
+    """By trying every set of sequences."""
+    best = 0.0
+    for s in subsets(len(seqs)):
+        codons = [min((c for c in design.degenerate_codons() if c[3] >= {seqs[i][j] for i in s}), default=None) for j in range(len(seqs[0]))] if s else []
+        if s and None not in codons and sum(c[0] for c in codons) <= most:
+            best = max(best, sum(w for x, w in zip(seqs, weights) if all(a in c[3] for a, c in zip(x, codons))))
+    return best
+
+
+def best_choice(pieces, weights, budget, most_share=None):
+    best = 0.0
+    for s in subsets(len(pieces)):
+        present = [{pieces[i][k] for i in s} for k in range(len(pieces[0]))]
+        size = math.prod(map(len, present))
+        if s and size <= budget:
+            inside = [i for i, p in enumerate(pieces) if all(x in have for x, have in zip(p, present))]
+            if most_share is None or (size - len({pieces[i] for i in inside})) / size <= most_share:
+                best = max(best, sum(weights[i] for i in inside))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_designs_against_all_subsets(seed):
+    rng = random.Random(seed)
+    seqs = sorted({"".join(rng.choices("MKNAW", k=4)) for _ in range(9)})
+    weights = [float(rng.randint(1, 9)) for _ in seqs]
+    got = design.cover(seqs, weights, 3)
+    assert got["proved"] and got["weight"] == best_cover(seqs, weights, 3) and got["ambiguous"] <= 3 and len(got["oligo"]) == 12
+    pieces = design.pieces_of(seqs, [1, 2])
+    for budget in (1, 4, 9, 20):
+        found = design.under_budget(pieces, weights, budget)
+        assert found["proved"] and found["weight"] == best_choice(pieces, weights, budget) and found["library"] <= budget
+    junk = design.under_junk(pieces, weights, 0.5)
+    assert junk["junk_share"] <= 0.5 and max(weights) <= junk["weight"] <= best_choice(pieces, weights, 10**9, 0.5)
+
+
+def test_search_says_when_it_stopped():
+    seqs = ["".join(p) for p in itertools.product("MKNW", repeat=3)]
+    assert not design.cover(seqs, [1.0] * len(seqs), 2, most_steps=3)["proved"]
+    assert design.cover(seqs[:4], [1.0] * 4, 0)["proved"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_against_all_places(seed):
+    rng = random.Random(seed)
+    seqs = ["".join(rng.choices("ACG-", k=8)) for _ in range(5)]
+    cost = lambda cuts: math.prod(len(set(x)) for x in zip(*design.pieces_of(seqs, list(cuts))))
+    room = lambda cuts: all(b - a >= 2 for a, b in zip([0, *cuts], [*cuts, 8]))
+    assert cost(design.place_cuts(seqs, 3, 2)) == min(cost(c) for c in itertools.combinations(range(1, 8), 2) if room(c))
+    assert design.place_cuts(seqs, 5, 2) is None
+    junctions = {p: ["".join(rng.choices("ACGT", k=4)) for _ in range(2)] for p in rng.sample(range(2, 7), 4)}
+    ways = [(cost(c), c, j) for c in itertools.combinations(sorted(junctions), 2) if room(c) for j in itertools.product(*(junctions[p] for p in c)) if not design.conflict(j[0], j[1], 3)]
+    got = design.place_cuts_apart(seqs, junctions, 3, 2, differ=3)
+    assert (got is None) == (not ways)
+    if got:
+        assert cost(got[0]) == min(w[0] for w in ways) and (tuple(got[0]), tuple(got[1])) in [w[1:] for w in ways]
+
+
+def test_cuts_need_other_junctions():
+    assert design.place_cuts_apart(["AAAAAA", "AATTAA"], {2: ["ACCA"], 4: ["ACCA", "GGTC"]}, 3, 1) == ([2, 4], ["ACCA", "GGTC"])
+    assert design.place_cuts_apart(["AAAAAA", "AATTAA"], {2: ["ACCA"], 4: ["ACCA"]}, 3, 1) is None
+
+
+def test_combined_design():
+    seqs = ["MKMK", "MNMK", "MKMN", "WWWW"]
+    got = design.combined(seqs, [3.0, 2.0, 2.0, 1.0], 2, 2, 4, 1)
+    assert [(r["part"], r["pieces"]) for r in got] == [(0, ["MK", "MN"]), (1, ["MK", "MN"])]
+    assert all(len(r["oligo"]) == 6 for r in got)
 
 
 def test_resume_adds_nothing(spark):
