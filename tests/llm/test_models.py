@@ -124,6 +124,41 @@ def test_neighbour_recall(spark):
     assert [i for i, _ in by[100][:2]] == [5, 300]
 
 
+def test_neighbours_across_blocks(spark, monkeypatch):
+    """Several blocks of vectors and of queries, with ties and repeated ids in different ones."""
+    monkeypatch.setattr(neighbours, "BLOCK", 700)
+    monkeypatch.setattr(neighbours, "QUERIES", 6)
+    v = vectors(2400, seed=3)
+    v[[7, 1100, 1900]] = v[200]
+    ids = [*range(2400), 900, 900]
+    v = np.concatenate([v, v[[900, 901]]])  # the id 900 again, with its own vector and another
+    got = neighbours.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, v)], "vec_id long, embedding array<float>")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert sorted(by) == list(range(0, 2400, 100)) and all(len(x) == 10 for x in by.values())
+    assert [i for i, _ in by[200][:3]] == [7, 1100, 1900] and all(i != q for q, x in by.items() for i, _ in x)
+    hits = 0
+    for q in set(by) - {900}:
+        want = {i for i, _ in brute_nearest(v, np.array(ids), q, 10)}
+        hits += len(want & {i for i, _ in by[q]})
+    assert hits / (10 * (len(by) - 1)) >= 0.9
+
+
+def test_share_of_entries_read():
+    """Well under half of the projections' entries, on vectors without structure and on clustered ones, at a recall of 0.9."""
+    rng = np.random.default_rng(0)
+    for v in (rng.normal(size=(8192, 64)), rng.normal(size=(20, 64))[rng.integers(0, 20, 8192)] + 0.2 * rng.normal(size=(8192, 64))):
+        a = neighbours.directions(64)
+        block, hits = neighbours.Block(np.arange(8192), v, a), 0
+        for q in range(0, 8192, 400):
+            found = {i for i, _ in block.search(q, v[q], v[q] @ a, 10)}
+            hits += len(found & {i for i, _ in brute_nearest(v, np.arange(8192), q, 10)})
+        share = block.read / (21 * 8192 * neighbours.PROJECTIONS)
+        print("share read", share, "recall", hits / 210)
+        assert share < 0.4 and hits / 210 >= 0.9
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [1.0, 0.5]), (None, [1.0, 1.0]), (100, [1.0, 2.0, 3.0]), (7, [float("inf"), 1.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x"))
