@@ -36,7 +36,7 @@ LOW_END = np.uint64(int(LOW * 2**64))
 FIRST = 8
 #: A shingle in so many sets is frequent. How frequent is sent to all tasks as a level for each of so many slots; two shingles of one
 #: slot get the higher level, which changes the order of work alone.
-HOT, SLOTS = 32, 1 << 24
+HOT, SLOTS = 32, 1 << 23
 #: Shingles that a task counts at once, about, and prefix entries that a task joins at once, about.
 COUNTED, JOINED = 4_000_000, 250_000
 #: Sets of a list that meet in one task; longer lists are dealt out as pairs of blocks.
