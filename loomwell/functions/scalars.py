@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions.nulls import not_or_true
@@ -45,6 +46,12 @@ def looked_up(c: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, c), c)
 
 
+def exploded(df: DataFrame, column: str, separator: str, name: str) -> DataFrame:
+    """A row for each part of a delimited list: trimmed, in small letters, not empty, once a row. Rows without a part go."""
+    parts = F.filter(F.transform(F.split(F.lower(column), re.escape(separator)), F.trim), lambda x: x != "")
+    return df.withColumn(name, F.explode(F.array_distinct(parts)))
+
+
 def genus_species(c: Column) -> tuple[Column, Column]:
     """First two words, of letters of any script; null if there are not two."""
     part = lambda i: F.nullif(F.regexp_extract(c, r"(?U)^(\w+)\s+(\w+)", i), F.lit(""))

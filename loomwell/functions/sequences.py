@@ -121,6 +121,41 @@ def motif_contexts(c: Column, pattern: str, flank: int = 5) -> Column:
     return F.transform(at, lambda i: F.concat(before(i), F.get(parts, i), after(i)))
 
 
+#: What a fragment must keep to.
+GATES = {"length": (40, 1000), "invalid": 0.0, "low_complexity": 0.30, "disorder": 0.50}
+
+
+def quality_gates(c: Column, low_complexity: Column, disorder: Column) -> dict[str, Column]:
+    """Whether a fragment passes all gates, and the reasons why not, joined by semicolons.
+
+    The share of low complexity is that of small letters in a masked sequence (see masked_share); that of disorder comes from a
+    predictor. A share that is missing fails its gate.
+    """
+    short, long = GATES["length"]
+    failed = {
+        "too_short": F.length(c) < short,
+        "too_long": F.length(c) > long,
+        "invalid_residues": invalid_share(c) > GATES["invalid"],
+        "low_complexity": F.coalesce(low_complexity, F.lit(1.0)) > GATES["low_complexity"],
+        "disorder": F.coalesce(disorder, F.lit(1.0)) > GATES["disorder"],
+    }
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in failed.items()])), ";")
+    return {"passes": reasons == "", "reasons": reasons}
+
+
+def masked_share(c: Column) -> Column:
+    """Share of small letters, by which maskers mark low complexity; 1 for an empty sequence."""
+    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, "[^a-z]", "")) / F.length(c)).otherwise(1.0)
+
+
+def instability_index(c: Column, weights: dict[str, float]) -> Column:
+    """Ten times the mean weight of neighbouring residues. The table of the 400 pairs' weights is given; other pairs count 0."""
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    pairs = F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), 1)
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(table, x), F.lit(0.0)))
+    return F.when(F.length(c) > 0, total * 10 / F.length(c))
+
+
 def kmers(c: Column, k: int) -> Column:
     """Distinct k-mers; none for a shorter text."""
     return F.coalesce(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)), F.array().cast("array<string>"))
@@ -162,6 +197,23 @@ def mature_slice(c: Column, cleavage: Column) -> dict[str, Column]:
     return {"mature": F.when(good, F.substring(c, cleavage + 1, F.length(c))).otherwise(c), "is_mature": F.coalesce(good, F.lit(False)), "degenerate": cleavage.isNotNull() & ~F.coalesce(good, F.lit(False))}
 
 
+def random_sequence(n: Column, key: Column, seed: int = 0, letters: str = AMINO) -> Column:
+    """So many letters, each as likely as another, that follow from the key: a control of the same length."""
+    pick = lambda i: F.substring(F.lit(letters), F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(len(letters))).cast("int") + 1, F.lit(1))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), pick), "")).otherwise("")
+
+
+def reversed_sequence(c: Column) -> Column:
+    """The residues backwards: a control of the same composition."""
+    return F.reverse(c)
+
+
+def resampled(c: Column, key: Column, seed: int = 0) -> Column:
+    """As many residues, drawn from the sequence's own with replacement: a control of about the same composition."""
+    pick = lambda i: F.substring(c, F.pmod(F.xxhash64(key, i, F.lit(seed)), F.length(c)).cast("int") + 1, F.lit(1))
+    return F.when(F.length(c) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), pick), "")).otherwise("")
+
+
 def fragment(c: Column, key: Column, share: float, seed: int = 0) -> Column:
     """A part of that share of the length; its place follows from the key."""
     n = F.greatest(F.floor(F.length(c) * share), F.lit(1)).cast("int")

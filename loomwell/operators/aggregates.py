@@ -43,6 +43,11 @@ def diversity(df: DataFrame, value: str) -> DataFrame:
     )
 
 
+def geometric_mean(c: str) -> Column:
+    """Of positive values."""
+    return F.exp(F.avg(F.ln(F.col(c).cast("double"))))
+
+
 def mean_of_means(df: DataFrame, key: str, mean: str, count: str, weighted: bool = True) -> DataFrame:
     """Merges partial means: by their counts, or, as an option, as a mean of means."""
     m = F.try_divide(F.sum(F.col(mean) * F.col(count)), F.sum(F.when(F.col(mean).isNotNull(), F.col(count)))) if weighted else F.avg(mean)
@@ -117,10 +122,13 @@ def moments(c: str) -> list[Column]:
 
 
 def merged_moments(parts: DataFrame) -> DataFrame:
-    """One row from rows of n, mean, m2, min, max."""
-    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    s = parts.agg(F.sum("n").alias("n"), mean.alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("s2"), F.min("min").alias("min"), F.max("max").alias("max"))
-    return s.select("n", "mean", (F.col("s2") - F.col("n") * F.col("mean") * F.col("mean")).alias("m2"), "min", "max")
+    """One row from rows of n, mean, m2, min, max.
+
+    Deviations are added up about the whole mean (Chan's rule for many parts), so large means do not cancel small deviations.
+    """
+    whole = parts.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("whole"))
+    between = F.col("n") * (F.col("mean") - F.col("whole")) * (F.col("mean") - F.col("whole"))
+    return parts.join(whole, F.lit(True)).agg(F.sum("n").alias("n"), F.first("whole").alias("mean"), F.sum(F.col("m2") + F.coalesce(between, F.lit(0.0))).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

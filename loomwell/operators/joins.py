@@ -84,8 +84,8 @@ def children(parents: DataFrame, rows: DataFrame, key: str, fields: list[str]) -
     return parents.join(lists, key, "left").withColumn("children", F.coalesce("children", F.array().cast(kind)))
 
 
-def lineage(tree: DataFrame, node: str, parent: str, depth: int = 40) -> DataFrame:
-    """node, ancestor, distance (0 for itself), by one join a level until no new row comes."""
+def lineage(tree: DataFrame, node: str, parent: str, depth: int = 100) -> DataFrame:
+    """node, ancestor, distance (0 for itself), by one join a level until no new row comes; a tree over `depth` deep, or a circle, is an error."""
     step = tree.select(F.col(node).alias("ancestor"), F.col(parent).alias("_up")).filter("_up is not null and _up <> ancestor")
     level = tree.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"))
     out = level
@@ -94,6 +94,8 @@ def lineage(tree: DataFrame, node: str, parent: str, depth: int = 40) -> DataFra
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise ValueError(f"the tree is over {depth} levels deep, or runs in a circle")
     return out
 
 

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions.probability import chi_square_p, correlation_p
+from loomwell.operators.windows import running_total
+
 
 def normal_two_sided(z: Column) -> Column:
     """Two-sided p of a normal deviate: the complementary error function by the rational form 7.1.26 of Abramowitz and Stegun."""
@@ -21,8 +24,11 @@ def average_ranks(df: DataFrame, value: str, name: str, keys: list[str] | None =
     """Adds the mean rank of equal values. Values are counted first, so the ranking sees distinct values only."""
     keys = keys or []
     n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cum = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = n.withColumn(name, cum - (F.col("_n") - 1) / 2).withColumnRenamed("_n", f"{name}_ties")
+    if keys:
+        n = n.withColumn("_cum", F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        n = running_total(n, [value], "_n", "_cum")
+    ranks = n.withColumn(name, F.col("_cum") - (F.col("_n") - 1) / 2).drop("_cum").withColumnRenamed("_n", f"{name}_ties")
     return df.join(ranks, [*keys, value])
 
 
@@ -39,29 +45,30 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: object, b: object) ->
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
-    """One row: groups, n, h with ties corrected; groups under `least` rows are left out."""
+    """One row: groups, n, h with ties corrected, p; groups under `least` rows are left out."""
     big = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= least).select(group)
     d = average_ranks(df.join(big, group), value, "r")
     ties = d.select(value, "r_ties").distinct().agg(F.sum(F.pow(F.col("r_ties"), 3) - F.col("r_ties")).alias("t"))
     g = d.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("r").alias("s"))
     t = g.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).join(ties, F.lit(True))
     h = (12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)) / (1 - F.col("t") / (F.pow("n", F.lit(3)) - F.col("n")))
-    return t.select("groups", F.col("n").cast("long").alias("n"), h.alias("h"))
+    return t.select("groups", F.col("n").cast("long").alias("n"), h.alias("h")).withColumn("p", chi_square_p(F.col("h"), F.col("groups") - 1))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, rho, two-sided p by Student's t."""
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return average_ranks(average_ranks(d, a, "ra"), b, "rb").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    return average_ranks(average_ranks(d, a, "ra"), b, "rb").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: chi2, dof of the contingency table; empty cells count."""
+    """One row: chi2, dof, p of the contingency table; empty cells count."""
     n = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("o"))
     t = n.withColumns({"ra": F.sum("o").over(Window.partitionBy(a)), "rb": F.sum("o").over(Window.partitionBy(b))})
     # the sum over all cells of (o - e)^2 / e is the sum over filled cells of o^2 / e, less n
     total = n.agg(F.sum("o").alias("n"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
     s = t.agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("s")).join(total, F.lit(True))
-    return s.select((F.col("s") * F.col("n") - F.col("n")).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"))
+    return s.select((F.col("s") * F.col("n") - F.col("n")).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof")).withColumn("p", chi_square_p(F.col("chi2"), F.col("dof")))
 
 
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
@@ -94,8 +101,18 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str = "p_adjusted") -> DataF
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, slope, intercept, r, and the two-sided p of a slope other than 0."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return d.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+
+
+def geometry_score(clashes: Column, rotamer_outliers: Column, favoured: Column) -> Column:
+    """One number for a structure's geometry, on the scale of resolution, from clashes per 1000 atoms and percentages of residues.
+
+    Fixed values: the published weights and offsets of the score (Chen et al. 2010).
+    """
+    part = lambda weight, c, free: weight * F.log1p(F.greatest(F.lit(0.0), c - free))
+    return part(0.426, clashes, 0.0) + part(0.33, rotamer_outliers, 1.0) + part(0.25, 100 - favoured, 2.0) + 0.5
 
 
 def silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:

@@ -22,18 +22,18 @@ def q35_mann_whitney(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     with d as (select l_returnflag as g, l_quantity from lineitem), x as ({_RANKED}), g as (select g, count(*)::double as n, sum(r) as s from x group by 1), t as (select sum(t * t - 1)::double as t from x), a as (select count(*) as groups, sum(n) as n, sum(s * s / n) as q from g)
-    select groups, n::bigint as n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 4) as h from a, t
+    select groups, n::bigint as n, round(h, 4) as h, round(exp(-h / 2), 8) as p from (select *, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) as h from a, t)
 """)
 def q35_kruskal(spark: SparkSession, d: str) -> DataFrame:
-    return stats.kruskal_wallis(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").withColumn("h", F.round("h", 4))
+    return stats.kruskal_wallis(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").withColumns({"h": F.round("h", 4), "p": F.round("p", 8)})
 
 
 @query("""
     with x as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0::double as ra, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0::double as rb from lineitem)
-    select count(*) as n, round(corr(ra, rb), 6) as rho from x
+    select count(*) as n, round(corr(ra, rb), 6) as rho, corr(ra, rb) between -1 and 1 as p_known from x
 """)
 def q35_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 6))
+    return stats.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select("n", F.round("rho", 6).alias("rho"), F.col("p").between(0, 1).alias("p_known"))
 
 
 @query("""
@@ -47,10 +47,10 @@ def q35_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     with o as (select l_returnflag as a, l_linestatus as b, count(*)::double as o from lineitem group by 1, 2), t as (select *, sum(o) over (partition by a) as ra, sum(o) over (partition by b) as rb, sum(o) over () as n from o)
-    select round(sum(o * o / (ra * rb)) * any_value(n) - any_value(n), 4) as chi2, (count(distinct a) - 1) * (count(distinct b) - 1) as dof from t
+    select round(sum(o * o / (ra * rb)) * any_value(n) - any_value(n), 4) as chi2, (count(distinct a) - 1) * (count(distinct b) - 1) as dof, round(exp(-(sum(o * o / (ra * rb)) * any_value(n) - any_value(n)) / 2), 8) as p from t
 """)
 def chi_square(spark: SparkSession, d: str) -> DataFrame:
-    return stats.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").withColumn("chi2", F.round("chi2", 4))
+    return stats.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus").withColumns({"chi2": F.round("chi2", 4), "p": F.round("p", 8)})
 
 
 @query("""
@@ -175,3 +175,13 @@ def cheapest_codons(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     acids = F.when(k % 3 == 0, F.array(F.lit("M"))).when(k % 3 == 1, F.array(F.lit("K"), F.lit("N"))).otherwise(F.array(F.lit("A"), F.lit("G")))
     return design.cheapest_codons(table(spark, d, "nation").select(k, acids.alias("acids")), "n_nationkey", "acids").select("n_nationkey", "ambiguous")
+
+
+@query("""
+    select o_orderpriority, round(0.426::double * ln(1 + a) + 0.33::double * ln(1 + greatest(0, b - 1)) + 0.25::double * ln(1 + greatest(0, 100 - c - 2)) + 0.5, 6) as score
+    from (select o_orderpriority, avg(o_orderkey % 40)::double as a, avg(o_orderkey % 7)::double as b, avg(90 + o_orderkey % 9)::double as c from orders group by 1)
+""")
+def geometry_scores(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg(k % 40).alias("a"), F.avg(k % 7).alias("b"), F.avg(90 + k % 9).alias("c"))
+    return o.select("o_orderpriority", F.round(stats.geometry_score(F.col("a"), F.col("b"), F.col("c")), 6).alias("score"))

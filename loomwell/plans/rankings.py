@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwell.functions import scalars
+from loomwell.functions import nulls, scalars, sequences
 from loomwell.operators import aggregates, joins, sets, windows
 from loomwell.plans.registry import query, table
 
@@ -182,3 +182,114 @@ def range_frame(spark: SparkSession, d: str) -> DataFrame:
 def prefer_direct(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("direct"))
     return joins.first_row(o, ["o_custkey"], [F.desc("direct"), F.col("o_orderkey")])
+
+
+@query("select event_type, user_id from events where value < 40 intersect all select event_type, user_id from events where value > 20")
+def multiset_intersection(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.filter("value < 40").select("event_type", "user_id").intersectAll(e.filter("value > 20").select("event_type", "user_id"))
+
+
+@query("select r_name, n_name, r_regionkey = n_regionkey as own from region cross join nation")
+def all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A cross join of two tables of fixed size."""
+    return table(spark, d, "region").crossJoin(table(spark, d, "nation")).select("r_name", "n_name", (F.col("r_regionkey") == F.col("n_regionkey")).alias("own"))
+
+
+@query("select c_custkey, count(o_orderkey) as n from orders right join customer on c_custkey = o_custkey group by 1")
+def customers_and_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey").select("c_custkey", "o_orderkey")
+    return o.join(table(spark, d, "customer").select("c_custkey"), "c_custkey", "right").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("select l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::int as level, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def grouping_set_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return t.groupingSets([[flag, status], [flag], []], flag, status).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n")).select("l_returnflag", "l_linestatus", "level", "n")
+
+
+@query("select l_suppkey % 10 as k, round(exp(avg(ln(l_extendedprice))), 2) as middle from lineitem where l_extendedprice > 0 group by 1")
+def geometric_means(spark: SparkSession, d: str) -> DataFrame:
+    """A user-defined aggregate on the built-in ones' partial sums."""
+    t = table(spark, d, "lineitem").filter("l_extendedprice > 0")
+    return t.groupBy((F.col("l_suppkey") % 10).alias("k")).agg(F.round(aggregates.geometric_mean("l_extendedprice"), 2).alias("middle"))
+
+
+@query("select p_partkey, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> ''))) as word from part")
+def words_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Delimited lists to rows: split, normalised, without repeats."""
+    return scalars.exploded(table(spark, d, "part"), "p_name", " ", "word").select("p_partkey", "word")
+
+
+@query("select s_suppkey, i::int as place, substr(s_name, i::int, 1) as letter from supplier, range(1, 100) r(i) where i <= length(s_name)")
+def letters_by_udtf(spark: SparkSession, d: str) -> DataFrame:
+    """A user-defined table function, joined laterally."""
+
+    class Letters:
+        def eval(self, text: str):  # noqa: ANN201
+            for i, c in enumerate(text or "", 1):
+                yield i, c
+
+    spark.udtf.register("letters_of", F.udtf(Letters, returnType="place int, letter string"))
+    table(spark, d, "supplier").select("s_suppkey", "s_name").createOrReplaceTempView("suppliers_for_letters")
+    return spark.sql("select s_suppkey, place, letter from suppliers_for_letters, lateral letters_of(s_name)")
+
+
+@query("select l_returnflag, true as near from lineitem group by 1")
+def approximate_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch's median has a true rank within a hundredth of the middle."""
+    t = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    m = t.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 1000).alias("m"))
+    share = F.avg((F.col("l_extendedprice") <= F.col("m")).cast("double"))
+    return t.join(m, "l_returnflag").groupBy("l_returnflag").agg((F.abs(share - 0.5) < 0.01).alias("near"))
+
+
+@query("select (year(o_orderdate) // 10 * 10)::int as decade, count(*) as n from orders group by 1")
+def decades(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(scalars.decade(F.year("o_orderdate")).alias("decade")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    select c_nationkey, round(count(distinct c_mktsegment) * 10 + ln(1 + count(*)) * 30 + (count(*) < 10)::int * 20, 4) as score from customer group by 1
+""")
+def exploration_scores(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_mktsegment").alias("m"))
+    plain = scalars.exploration_score(F.col("n"), F.lit(1.0), F.lit(1.0), F.col("n"))
+    return g.select("c_nationkey", F.round(F.col("m") * 10 + plain, 4).alias("score"))
+
+
+@query("""
+    select p_partkey, round((p_size = 1)::int * 40 + (p_size % 2 = 0)::int * 35 + ln(1 + p_size) * 10, 4) as score from part
+""")
+def discovery_priorities(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.round(scalars.discovery_priority(s == 1, s % 2 == 1, s), 4).alias("score"))
+
+
+@query("select event_type, round(avg(case when isnan(v) then null else v end), 4) as mean from (select event_type, case when event_id % 7 = 0 then 'nan'::double else value::double end as v from events) group by 1")
+def nan_safe_means(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value").cast("double")))
+    return e.groupBy("event_type").agg(F.round(F.avg(nulls.nan_to_null(F.col("v"))), 4).alias("mean"))
+
+
+@query("select vec_id, round((embedding[1]::double + embedding[3]::double) / 2, 5) + 0.0::double as mean from embeddings where embedding is not null and len(embedding) >= 3")
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the token vectors that the mask keeps; here of three tokens of one component each."""
+    e = table(spark, d, "embeddings").filter("embedding is not null and size(embedding) >= 3")
+    tokens = F.array(*[F.array(F.col("embedding")[i].cast("double")) for i in range(3)])
+    return e.select("vec_id", (F.round(scalars.mean_pool(tokens, F.array(F.lit(1), F.lit(0), F.lit(1)))[0], 5) + F.lit(0.0)).alias("mean"))
+
+
+@query("""
+    select p_partkey, case when n between 40 and 1000 then '' when n < 40 then 'too_short' else 'too_long' end || case when p_size > 30 then case when n between 40 and 1000 then '' else ';' end || 'low_complexity' else '' end as reasons from (select p_partkey, p_size, p_size * 2 as n from part)
+""")
+def fragment_gates(spark: SparkSession, d: str) -> DataFrame:
+    s = F.repeat(F.lit("AC"), F.col("p_size"))
+    gates = sequences.quality_gates(s, F.col("p_size") / 100.0, F.lit(0.1))
+    return table(spark, d, "part").select("p_partkey", gates["reasons"].alias("reasons"))
+
+
+@query("select p_partkey, case when strpos(p_name, 'r') > 0 then substr(p_name, greatest(strpos(p_name, 'r') - 3, 1)::int, (strpos(p_name, 'r') + 3 - greatest(strpos(p_name, 'r') - 3, 1) + 1)::int) end as context from part")
+def first_motif_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.get(sequences.motif_contexts(F.col("p_name"), "r", 3), F.lit(0)).alias("context"))

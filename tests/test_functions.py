@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomwell.functions import nulls, schemas, texts
@@ -132,3 +133,15 @@ def test_rules(spark):
     df = spark.createDataFrame([(1, 0, 0.5, None), (2, 3, 1.5, 7), (3, 0, 0.1, 4)], "orf_id int, top_signal int, signal_prob double, cleavage_pos int")
     got = {r["rule"]: r["n"] for r in lifecycle.violations(df, schemas.SIGNAL_RULES).collect()}
     assert got == {"signal in 0 to 5": 0, "probability": 1, "no signal, no cleavage": 1}
+
+
+def test_gates_and_indices(spark):
+    from loomwell.functions import sequences as S
+
+    df = spark.createDataFrame([("A" * 50, 0.1, 0.1), ("AB" * 30, 0.5, 0.1), ("ACD", None, 0.9)], "c string, low double, dis double")
+    g = S.quality_gates(F.col("c"), F.col("low"), F.col("dis"))
+    assert [tuple(r) for r in df.select(g["passes"], g["reasons"]).collect()] == [(True, ""), (False, "invalid_residues;low_complexity"), (False, "too_short;low_complexity;disorder")]
+    one = spark.createDataFrame([("AACAA",)], "c string")
+    r = one.select(S.instability_index(F.col("c"), {"AA": 2.0, "AC": 5.0}).alias("i"), S.masked_share(F.lit("aaCC")).alias("m"), S.motif_contexts(F.col("c"), "A", 1).alias("x"), S.random_sequence(F.lit(9), F.lit("k")).alias("r"), S.resampled(F.col("c"), F.lit("k")).alias("s")).first()
+    assert r["i"] == pytest.approx(10 / 5 * 9.0) and r["m"] == 0.5 and r["x"] == ["AA", "AAC", "CAA", "AA"]
+    assert len(r["r"]) == 9 and set(r["r"]) <= set(S.AMINO) and len(r["s"]) == 5 and set(r["s"]) <= set("AC")

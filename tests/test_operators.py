@@ -249,3 +249,40 @@ def test_axes_and_merges(spark):
     four = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [10.0]), (3, [12.0])], "k int, v array<double>")
     m = projection.ward_merges(four, "k", "v").orderBy("step").collect()
     assert [(r["a"], r["b"], r["size"]) for r in m] == [(0, 1, 2), (2, 3, 2), (4, 5, 4)] and m[0]["distance"] == pytest.approx(1.0)
+
+
+def test_tail_probabilities():
+    from loomwell.functions import probability as P
+
+    for x in (0.1, 1.0, 3.0, 40.0):
+        assert P.upper_gamma(1.0, x) == pytest.approx(math.exp(-x), rel=1e-12)
+        assert P.upper_gamma(0.5, x) == pytest.approx(math.erfc(math.sqrt(x)), rel=1e-10)
+        assert P.upper_gamma(2.0, x) == pytest.approx(math.exp(-x) * (1 + x), rel=1e-12)
+    for x in (0.01, 0.3, 0.7, 0.999):
+        assert P.beta_share(x, 1, 3) == pytest.approx(1 - (1 - x) ** 3, rel=1e-12)
+        assert P.beta_share(x, 0.5, 0.5) == pytest.approx(2 / math.pi * math.asin(math.sqrt(x)), rel=1e-10)
+        assert P.beta_share(x, 4, 2) == pytest.approx(1 - P.beta_share(1 - x, 2, 4), rel=1e-12)
+
+
+def test_running_total_over_bands(spark):
+    rng = random.Random(2)
+    data = [(rng.choice([None, *range(400)]), i, rng.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(data, "a int, b int, v long").repartition(7)
+    got = {(r["a"], r["b"]): r["t"] for r in windows.running_total(df, ["a", "b"], "v", "t").collect()}
+    total = 0
+    for a, b, v in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        total += v
+        assert got[a, b] == total
+    assert windows.running_total(df.limit(0), ["a"], "v", "t").count() == 0
+
+
+def test_moments_of_large_means(spark):
+    df = spark.createDataFrame([(i % 3, 1e9 + i % 7) for i in range(2100)], "g int, v double")
+    parts = df.groupBy("g").agg(*aggregates.moments("v"))
+    r = aggregates.merged_moments(parts).first()
+    assert r["n"] == 2100 and r["m2"] == pytest.approx(2100 * 4.0, rel=1e-9)
+
+
+def test_lineage_of_a_circle(spark):
+    with pytest.raises(ValueError, match="circle"):
+        joins.lineage(spark.createDataFrame([("a", "b"), ("b", "a")], "n string, p string"), "n", "p", depth=5)
