@@ -17,28 +17,31 @@ from loomwell.llm.shingle_join import one_of_each_class
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language is rejected; models are learned from labelled documents that are not held out."""
+    """Without the documents whose language is rejected; models are learned from labelled documents that are not held out.
+
+    Texts that are null, empty or without a letter have no language and go. Without labelled documents no language is known and all go.
+    """
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     return language.identify(docs, model).filter(~F.col("lang_rejected")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal texts."""
+    """One document of each group with equal texts. Null counts as empty, and of all empty texts one stays; of rows without an id the one that stays may repeat."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, Jaccard 0.75)."""
+    """One document of each class of near duplicates (five-word shingles, Jaccard 0.75). Texts without words are classes of their own and stay."""
     return one_of_each_class(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one holds; n_chars follows."""
+    """All documents, without the passages that an earlier one holds; n_chars follows. Null texts become empty."""
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece's place in sequences of at most 1024 tokens."""
+    """Every piece's place in sequences of at most 1024 tokens; a null or empty text is the end token alone."""
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
