@@ -1,6 +1,7 @@
 """Passages that two documents share are cut whole."""
 
 import random
+import re
 
 from loomwell.llm import chunk_dedup
 
@@ -36,7 +37,11 @@ def test_extension_keeps_characters():
 
 
 def brute(texts, least):
-    """First-owner rule by dictionaries: matched chunks, extended against the whole text of the first owner, up to REACH bytes."""
+    return [x[:2] for x in brute_kept(texts, least)]
+
+
+def brute_kept(texts, least):
+    """Bytes, bytes removed, and what is left of each text. First-owner rule by dictionaries: matched chunks, extended against the whole text of the first owner, up to REACH bytes."""
     raw = [t.encode() for t in texts]
     ends = chunk_dedup.chunks(raw)
     first = {}
@@ -62,10 +67,10 @@ def brute(texts, least):
             while end < min(len(t), b + chunk_dedup.REACH) and at + end - a < len(s) and t[end] == s[at + end - a]:
                 end += 1
             gone[begin:end] = b"x" * (end - begin)
-        n = 0
-        for run in "".join(chr(x) for x in gone).split("\0"):
-            n += len(run) if len(run) >= least else 0
-        out.append((len(t), n))
+        for m in re.finditer(rb"x+", bytes(gone)):
+            if len(m[0]) < least:
+                gone[m.start() : m.end()] = bytes(len(m[0]))
+        out.append((len(t), sum(map(bool, gone)), bytes(b for b, g in zip(t, gone) if not g)))
     return out
 
 
