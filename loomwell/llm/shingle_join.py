@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.components import components
-from loomwell.llm.scratch import forget, reread, saved, shared_path, shuffles_dropped
+from loomwell.llm.scratch import drop_saved, forget, reread, saved, shared_path, shuffles_dropped
 from loomwell.llm.suffix_dedup import Rolling, mix
 
 WORDS = 5
@@ -316,6 +316,11 @@ class Prefixes:
             lists = self.often.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
             self.long = saved(lists.select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "long-lists")
 
+    def drop(self) -> None:
+        """Gives up what was sent and saved; no pairs can be made after that."""
+        self.sent.destroy()
+        drop_saved(*(x for x in (self.often, self.long) if x))
+
     def entries(self, often_too: bool):
         sent, shift, t, buckets = self.sent, self.shift, self.t, self.buckets
 
@@ -470,13 +475,16 @@ def bounded(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold.
+    """The pairs whose whole sets reach the threshold. pairs: a saved table, which is dropped.
 
     Sketches, which bound the intersection, are compared first, so whole sets meet for few pairs besides those that
     hold. The sets are made again from the texts of the nodes' smallest ids; which documents these are is sent as a filter of
     fixed size, and others that pass it are left out by the join.
     """
-    spark, pairs = df.sparkSession, bounded(pairs, nodes, t)
+    spark, near = df.sparkSession, bounded(pairs, nodes, t)
+    drop_saved(pairs)
+    pairs = near
+
     def bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(PIECE, bool)
         own[rows["spot"].to_numpy() % PIECE] = True
@@ -522,7 +530,8 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
         pairs = pairs.join(right, (F.col(side) == F.col(f"_{side}")) & F.col(f"rep_{side}").eqNullSafe(F.col(f"_rep_{side}"))).drop(f"_{side}", f"_rep_{side}")
     out = saved(pairs.mapInArrow(compare, PAIR).distinct(), "links")
     forget(spark, path)
-    sent.unpersist()
+    drop_saved(near)
+    sent.destroy()
     return out
 
 
@@ -554,6 +563,7 @@ def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
+    prefixes.drop()
     named = nodes.select("node", "rep").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     by_node = named.select("node", "class").join(least, "class").select("node", "component_id")
