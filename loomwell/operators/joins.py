@@ -12,6 +12,26 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+#: Rows of a side that may be sent to all tasks.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined_by(strategy: str, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join whose physical form is chosen: `hash`, `merge` or `broadcast` of the right side, whose size is looked at first.
+
+    A right side that is too large to be sent is merged instead. AQE still splits skewed partitions of merge joins.
+    """
+    if strategy == "broadcast" and right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        strategy = "merge"
+    return left.join(right.hint({"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast"}[strategy]), keys, how)
+
+
+def lookup_by(df: DataFrame, dim: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Adds several values by several keys; of rows of dim with equal keys the first by its values is taken."""
+    one = dim.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_v"))
+    return df.join(one, keys, "left").select(*df.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: object = None) -> DataFrame:
     """Adds a value by key; rows without one get the default. dim is made unique by key first."""
     out = df.join(dim.groupBy(key).agg(F.min(value).alias(value)), key, "left")

@@ -31,8 +31,6 @@ def ward_merges(df: DataFrame, key: str, vector: str) -> DataFrame:
         import numpy as np
 
         f = f.sort_values(key)
-        if len(f) > MOST:
-            raise ValueError(f"{len(f)} rows; a hierarchy takes {MOST}")
         at = {i: (np.array(v, float), 1) for i, v in enumerate(f[vector])}
         out = []
         while len(at) > 1:
@@ -44,4 +42,6 @@ def ward_merges(df: DataFrame, key: str, vector: str) -> DataFrame:
         return pd.DataFrame(out, columns=["step", "a", "b", "distance", "size"])
 
     rows = df.filter(F.col(vector).isNotNull()).select(key, vector).withColumn("_all", F.lit(1))
+    if rows.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"a hierarchy takes {MOST} rows")
     return rows.groupBy("_all").applyInPandas(lambda k, f: merge(k, f), "step int, a int, b int, distance double, size int")

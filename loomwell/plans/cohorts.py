@@ -270,3 +270,20 @@ def identity_or_mapped(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("A"), "p_partkey").alias("acc"), F.when(F.col("p_partkey") % 3 == 0, "uniprot").otherwise("refseq").alias("kind"))
     m = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("A"), "p_partkey").alias("acc"), F.concat(F.lit("U"), "p_partkey").alias("uniprot"))
     return joins.identity_or(p, m, "kind", "uniprot", "acc", "uniprot").select("p_partkey", "uniprot")
+
+
+@query("select n_name, count(*) as n from customer join nation on n_nationkey = c_nationkey group by 1")
+def chosen_joins(spark: SparkSession, d: str) -> DataFrame:
+    """One join in its three physical forms; a row that any of them lacks would lower its count."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    parts = [joins.joined_by(s, c, n, ["k"]).select("c_custkey", "n_name") for s in ("hash", "merge", "broadcast")]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return all_.groupBy("c_custkey", "n_name").agg(F.count(F.lit(1)).alias("m")).filter("m = 3").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select l_orderkey, l_linenumber, p_brand, p_size from lineitem left join (select p_partkey, p_brand, p_size from part where p_size > 10) on p_partkey = l_partkey and p_size = l_quantity::int")
+def lookup_by_two_keys(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("q"), "p_brand", "p_size")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    return joins.lookup_by(li, p, ["l_partkey", "q"], ["p_brand", "p_size"]).select("l_orderkey", "l_linenumber", "p_brand", "p_size")

@@ -48,6 +48,11 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def rebuilt(spark, path: str) -> DataFrame:
+    """One row from a ledger: batches, n_rows, and the last batch; what a lost total is made of again."""
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("batches"), F.sum("n_rows").alias("n_rows"), F.max("batch").alias("last_batch"))
+
+
 def ledger(df: DataFrame, path: str, checkpoint: str, key: str) -> None:
     """A ledger of batches: batch, rows and keys of each micro-batch, written once a batch even if it is run again."""
     def write(batch: DataFrame, number: int) -> None:

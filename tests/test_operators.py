@@ -286,3 +286,21 @@ def test_moments_of_large_means(spark):
 def test_lineage_of_a_circle(spark):
     with pytest.raises(ValueError, match="circle"):
         joins.lineage(spark.createDataFrame([("a", "b"), ("b", "a")], "n string, p string"), "n", "p", depth=5)
+
+
+def test_batch_report_and_ledger(spark, tmp_path):
+    from loomwell.streaming import events
+
+    df = spark.createDataFrame([("a", True, 3), ("a", False, 4), ("b", True, 5)], "batch string, hit boolean, size int")
+    assert rows(lifecycle.batch_report(df, "batch", F.col("hit"), F.col("size"))) == [("a", 1, 1, 7), ("b", 1, 0, 5)]
+    spark.createDataFrame([(0, 5, 2), (1, 7, 3)], "batch long, n_rows long, n_keys long").write.partitionBy("batch").parquet(f"{tmp_path}/ledger")
+    r = events.rebuilt(spark, f"{tmp_path}/ledger").first()
+    assert (r["batches"], r["n_rows"], r["last_batch"]) == (2, 12, 1)
+
+
+def test_broadcast_only_what_is_small(spark, monkeypatch):
+    a, b = spark.range(50).withColumnRenamed("id", "k"), spark.range(20).withColumnRenamed("id", "k")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(joins.joined_by("broadcast", a, b, ["k"]))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    assert "SortMergeJoin" in plan(joins.joined_by("broadcast", a, b, ["k"]))

@@ -90,3 +90,57 @@ def test_vectors(spark):
 def test_graph_text(spark):
     x = sinks.graph_xml(spark.createDataFrame([("a", "A & b")], "id string, l string"), spark.createDataFrame([("a", "a")], "s string, t string"))
     assert 'label="A &amp; b"' in x and 'source="a"' in x
+
+
+def test_zipped_and_globbed_tables(spark, tmp_path):
+    with gzip.open(tmp_path / "w.tsv.gz", "wt") as f:
+        f.write("a\tb\tc\td\n1\t2\t3\t4\n")
+    got = records.zipped_table(spark, f"{tmp_path}/w.tsv.gz", {0: "first", 2: "third"}, 4)
+    assert got.columns == ["first", "third"] and sorted(tuple(r) for r in got.collect()) == [("1", "3"), ("a", "c")]
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text(f"x,y\n{k},{k * k}\n")
+    assert sorted(tuple(r) for r in records.glob_union(spark, f"{tmp_path}/part*.csv", "x int, y int").collect()) == [(0, 0), (1, 1), (2, 4)]
+
+
+def test_rows_by_keys(spark):
+    t = spark.createDataFrame([(i, i * 2) for i in range(9)], "k int, v int")
+    assert sorted(r["v"] for r in records.by_keys(t, spark.createDataFrame([(1,), (1,), (7,), (40,)], "k int"), "k").collect()) == [2, 14]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a;b"), (2, None)], "i int, s string")
+    sinks.to_csv(df, f"{tmp_path}/c", ";")
+    sinks.to_csv(df, f"{tmp_path}/c", ";", append=True)
+    got = spark.read.csv(f"{tmp_path}/c", header=True, sep=";", schema="i int, s string")
+    assert sorted((r["i"], r["s"]) for r in got.fillna("", ["s"]).collect()) == [(1, "a;b"), (1, "a;b"), (2, ""), (2, "")]
+
+
+def test_attributes(spark):
+    r = spark.createDataFrame([('<a run="S2"/><b run="S1" x="9"/><a run="S2"/>',)], "x string").select(records.xml_values(F.col("x"), "run").alias("v")).first()
+    assert r["v"] == ["S1", "S2"]
+
+
+def test_upserts_come_in_batches(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def send(rows):
+        import json
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            json.dump(rows, f)
+
+    sinks.upsert_batches(spark.range(10).coalesce(1), send, 4)
+    import json
+
+    sizes = sorted(len(json.loads(p.read_text())) for p in tmp_path.iterdir())
+    assert sizes == [2, 4, 4]
+
+
+def test_database_needs_an_address(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.delenv("LOOMWELL_DB_URL", raising=False)
+    with pytest.raises(KeyError, match="LOOMWELL_DB_URL"):
+        records.jdbc_table(spark, "t")
