@@ -221,6 +221,7 @@ def chunk_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of df.
 
     Null texts count as empty. Rows that repeat an id and a text are one document. A null id is ordered by a hash of its
-    text. Chunks shorter than 32 bytes, at the ends of texts, are no anchors.
+    text. Chunks shorter than 32 bytes, at the ends of texts, are no anchors. Ids are long, or text that holds whole numbers; another id is
+    an error, as Spark's cast has it.
     """
     return without_spans(keyed(df, doc_id, text), least_run).withColumnRenamed("id", doc_id)

@@ -540,7 +540,8 @@ def shingle_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
 
     A node is a distinct set. Links are enough for the classes and all hold; pairs inside a class may be left out. Null and
     empty texts have no shingle and are a class of their own. component_id is the smallest id of the class; a null id is never it,
-    and a row is its own class id if its class has no other. Rows that repeat an id count one by one.
+    and a row is its own class id if its class has no other. Rows that repeat an id count one by one. Ids are long, or text that holds whole numbers; another id is
+    an error, as Spark's cast has it.
     """
     sets = saved(set_table(df, doc_id, text, threshold), "shingles")
     totals = sets.agg(F.sum(F.octet_length("low") / 8).alias("kept"), F.sum("n").alias("n")).first()

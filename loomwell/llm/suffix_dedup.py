@@ -301,7 +301,8 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot:
 
     Each byte covered by a 200-byte string that starts at two places or more goes, in all of them. Null texts count as
     empty; texts under 200 bytes lose nothing. Rows that repeat an id and a text count as places of their own and lose the
-    same bytes.
+    same bytes. Ids are long, or text that holds whole numbers; another id is
+    an error, as Spark's cast has it.
     """
     docs = keyed(df, doc_id, text)
     table = saved(run_table(docs), "runs")

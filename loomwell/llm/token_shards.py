@@ -204,7 +204,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
     """Encodes all whole texts, appends end_id to each, and writes shards into the folder; gives the saved manifest.
 
     Null texts count as empty and hold the end id alone. Ids are ordered as long; a null id comes first; rows that repeat an
-    id are all kept, in any order among them. An empty table gives an empty manifest. The folder must be reachable from
+    id are all kept, in any order among them; an id that is no whole number is an error. An empty table gives an empty manifest. The folder must be reachable from
     all executors under the same URI.
     """
     spark = df.sparkSession
