@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomwell.llm import byte_tokens, packing, pieces, token_shards
 from loomwell.llm.chunk_table import ChunkTable
