@@ -12,7 +12,7 @@ from loomwell.llm.mixing import score_texts
 from loomwell.llm.neighbours import nearest
 from loomwell.llm.packing import pack_documents
 from loomwell.llm.pieces import encode_pieces
-from loomwell.llm.shingle_join import shingle_join
+from loomwell.llm.shingle_join import with_links
 from loomwell.llm.suffix_dedup import suffix_dedup
 from loomwell.llm.token_shards import shards_round_trip
 
@@ -59,7 +59,7 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
+    return with_links(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Answers are derived from similar sets: a first round joins each set with its nei
 the pairs that hold form classes. In the second round, over all prefixes, pairs inside one class are skipped, as
 their class is known from the first set's answers; only pairs between classes are compared, on whole sets. So a
 large group of near copies costs about its size, and no link between classes is lost.
+
+`with_links` also gives each document's number of links. All links are inside a class then, so whole sets of a class are
+compared with one another, block by block, and only their numbers leave a task: no list or sketch decides there.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ HOT, SLOTS = 32, 1 << 23
 COUNTED, JOINED = 4_000_000, 250_000
 #: Sets of a list that meet in one task; longer lists are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Shingles, and sets, of a class that are a block when links are counted, and shingles that a task counts links of at once, about.
+CLASS_ENTRIES, CLASS_SETS, CLASS_JOINED = 1 << 19, 512, 2_000_000
+#: Cells of a matrix of sets and shingles.
+CELLS = 1 << 22
 #: Rounds in which lists of frequent shingles join neighbours only.
 JOIN_ROUNDS = 2
 #: Bits of the filter of document ids whose sets are made again for comparison (8 MB), and of a piece of it.
@@ -474,23 +481,20 @@ def bounded(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
     return saved(pairs.mapInArrow(run, "a long, b long, rep_a long, rep_b long"), "near-pairs")
 
 
-def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold. pairs: a saved table, which is dropped.
+def whole_sets(reps: DataFrame, df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """node, rep, set (all hashes) of the rows of df whose id is one of reps, and the path where they are kept.
 
-    Sketches, which bound the intersection, are compared first, so whole sets meet for few pairs besides those that
-    hold. The sets are made again from the texts of the nodes' smallest ids; which documents these are is sent as a filter of
-    fixed size, and others that pass it are left out by the join.
+    The sets are made again from the texts; which documents these are is sent as a filter of fixed size, and others that pass
+    it are for a join to leave out.
     """
-    spark, near = df.sparkSession, bounded(pairs, nodes, t)
-    drop_saved(pairs)
-    pairs = near
+    spark = df.sparkSession
 
     def bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(PIECE, bool)
         own[rows["spot"].to_numpy() % PIECE] = True
         return pd.DataFrame([(key[0], np.packbits(own).tobytes())], columns=["piece", "bits"])
 
-    spots = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct()
+    spots = reps.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER)).alias("spot")).distinct()
     wanted = np.zeros(FILTER // 8, np.uint8)
     for r in spots.withColumn("piece", F.floor(F.col("spot") / PIECE)).groupBy("piece").applyInPandas(bits, "piece long, bits binary").collect():
         wanted[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -506,6 +510,25 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
                 raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.record_batch([pa.array([node_of(xxhash.xxh3_128_digest(x)) for x in raw], pa.int64()), some.column(1), pa.array(raw, pa.binary())], names=["node", "rep", "set"])
 
+    id_ = df[doc_id].cast("long")
+    rows = df.select(F.pmod(F.xxhash64(id_), F.lit(FILTER)).alias("spot"), id_.alias("rep"), text_or_empty(df, text).alias("t"))
+    made, path = rows.mapInArrow(sets, "node long, rep long, set binary"), shared_path(spark, "sets")
+    with shuffles_dropped(spark):
+        made.write.option("compression", "none").parquet(path)
+    sent.destroy()
+    return reread(made, path), path
+
+
+def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold. pairs: a saved table, which is dropped.
+
+    Sketches, which bound the intersection, are compared first, so whole sets meet for few pairs besides those that
+    hold. The sets are those of the nodes' smallest ids.
+    """
+    spark, near = df.sparkSession, bounded(pairs, nodes, t)
+    drop_saved(pairs)
+    pairs = near
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "x", "y"))
@@ -519,19 +542,13 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, doc_id: str, tex
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    id_ = df[doc_id].cast("long")
-    rows = df.select(F.pmod(F.xxhash64(id_), F.lit(FILTER)).alias("spot"), id_.alias("rep"), text_or_empty(df, text).alias("t"))
-    made, path = rows.mapInArrow(sets, "node long, rep long, set binary"), shared_path(spark, "sets")
-    with shuffles_dropped(spark):
-        made.write.option("compression", "none").parquet(path)
-    made = reread(made, path)
+    made, path = whole_sets(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")), df, doc_id, text)
     for side, name in (("a", "x"), ("b", "y")):
         right = made.select(F.col("node").alias(f"_{side}"), F.col("rep").alias(f"_rep_{side}"), F.col("set").alias(name))
         pairs = pairs.join(right, (F.col(side) == F.col(f"_{side}")) & F.col(f"rep_{side}").eqNullSafe(F.col(f"_rep_{side}"))).drop(f"_{side}", f"_rep_{side}")
     out = saved(pairs.mapInArrow(compare, PAIR).distinct(), "links")
     forget(spark, path)
     drop_saved(near)
-    sent.destroy()
     return out
 
 
@@ -577,3 +594,67 @@ def one_of_each_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = shingle_join(df, doc_id, text, threshold)[0]
     go = out.filter(~F.col("doc_id").cast("long").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("go_id"), F.col("th").alias("go_th")).distinct()
     return df.join(go, df[doc_id].eqNullSafe(go["go_id"]) & (F.xxhash64(text_or_empty(df, text)) == go["go_th"]), "left_anti")
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones (places in sets)."""
+    codes, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    column = np.cumsum(count > 1) - 1  # most shingles of unlike sets are in one only
+    owner, used = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), count[codes] > 1
+    owner, codes = owner[used], column[codes[used]]
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    out, wide = np.zeros((len(left), len(right)), np.int64), max(1, CELLS // len(sets))
+    for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, wide):
+        a, b = np.searchsorted(codes, (low, low + wide))
+        m = np.zeros((len(sets), min(wide, int(codes[-1]) + 1 - low)), np.float32)
+        m[owner[a:b], codes[a:b] - low] = 1
+        out += (m[left] @ m[right].T).astype(np.int64)
+    return out
+
+
+def counted(rows: pd.DataFrame, t: int) -> pd.DataFrame:
+    """node, links: documents that each node links with, for the pairs of blocks in rows."""
+    rows = rows.drop_duplicates(["job", "side", "node"]).sort_values("job", kind="stable")  # rows that repeat an id and a text made a set each
+    nodes, links = [], []
+    for _, own in rows.groupby("job", sort=False):
+        sets, side = [np.frombuffer(x, np.uint64) for x in own["set"]], own["side"].to_numpy()
+        node, copies, n = own["node"].to_numpy(), own["copies"].to_numpy(), np.array([len(x) for x in sets], np.int64)
+        one = bool((side < 0).all())
+        left, right = (np.arange(len(sets)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        both = common(sets, left, right)
+        holds = 100 * both >= t * (n[left][:, None] + n[right] - both)
+        if one:
+            np.fill_diagonal(holds, False)
+        else:
+            nodes.append(node[right]), links.append(copies[left] @ holds)
+        nodes.append(node[left]), links.append(holds @ copies[right])
+    return pd.DataFrame({"node": np.concatenate(nodes), "links": np.concatenate(links)})
+
+
+def with_links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
+    """shingle_join's rows with n_links: how many other rows of df each one links with, copies of its own text among them.
+
+    Every link is inside a class, so the sets of a class are compared all with all; a large class is dealt out as pairs of blocks. Only
+    numbers are kept: a class of g near copies costs g * g comparisons, but g rows a block.
+    """
+    docs = shingle_join(df, doc_id, text, threshold)[0]
+    nodes = docs.filter("node is not null").groupBy("node").agg(F.min("component_id").alias("class"), F.min(F.col("doc_id").cast("long")).alias("rep"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    nodes = saved(nodes.fillna(-(2**63), ["class"]), "class-nodes")  # without any id all are one group, which leaves out nothing
+    blocks = F.greatest(F.ceil(F.sum("n") / CLASS_ENTRIES), F.ceil(F.count(F.lit(1)) / CLASS_SETS)).cast("int")
+    crowded = nodes.groupBy("class").agg(F.count(F.lit(1)).alias("many"), blocks.alias("blocks")).filter("many > 1").drop("many")
+    near = saved(nodes.join(crowded, "class").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowded-nodes")
+    entries = near.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    made, path = whole_sets(near.select("rep"), df, doc_id, text)
+    made = made.withColumnsRenamed({"node": "_node", "rep": "_rep"})
+    rows = near.join(made, (F.col("node") == F.col("_node")) & F.col("rep").eqNullSafe(F.col("_rep")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    rows = rows.select(F.xxhash64("class", F.least("own", "other"), F.greatest("own", "other")).alias("job"), side.alias("side"), "node", "copies", "set")
+    bucket = F.pmod("job", F.lit(max(32, -(-entries // CLASS_JOINED)))).alias("bucket")
+    links = rows.select(bucket, "*").groupBy("bucket").applyInPandas(lambda rows: counted(rows, threshold), "node long, links long")
+    links = saved(links.groupBy("node").agg(F.sum("links").alias("links")), "link-numbers")
+    forget(df.sparkSession, path)
+    drop_saved(near)
+    numbers = nodes.join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return docs.join(numbers, "node", "left").select(*docs.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -138,6 +138,37 @@ def brute_join(rows, t=75):
     return sorted(((d, len(sets[i]), name[find(i)] if name[find(i)] is not None else d) for i, (d, _) in enumerate(rows)), key=str)
 
 
+def brute_links(rows, t=75):
+    """id and number of other rows whose sets link, of each row."""
+    small, sets = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), []
+    for _, x in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate(small))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= t * len(a | b):
+                links[i] += 1
+                links[j] += 1
+    return sorted(((d, n) for (d, _), n in zip(rows, links)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+@pytest.mark.parametrize("sets", [512, 5])
+def test_link_numbers(spark, twice, monkeypatch, sets):
+    """Each link counts, those inside a class too, where near copies of one text link with some of the others only."""
+    monkeypatch.setattr(shingle_join, "CLASS_SETS", sets)
+    rng, base = random.Random(7), [f"b{k}" for k in range(60)]
+    rows = [(r["doc_id"], r["text"]) for r in twice.collect()]
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 3)):
+            w[at] = f"e{i}x{at}"
+        rows.append((10_000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["n_links"]) for r in shingle_join.with_links(df).collect()), key=key) == sorted(brute_links(rows), key=key)
+
+
 def test_shingle_join(twice):
     rows = [(r["doc_id"], r["text"]) for r in twice.collect()]
     out, links = shingle_join.shingle_join(twice)
