@@ -38,8 +38,8 @@ PASSES = 2
 MOST_TOP = 500_000
 #: Most frequent cases whose costs are sent to all tasks (others are joined), and cases and words that a task holds before it hands them on.
 MOST_CASES, MOST_HELD = 1 << 21, 1_000_000
-#: Slots of the table in which a task looks for frequent cases first.
-FRONT = 1 << 22
+#: Slots of the tables in which a task looks for frequent cases, and words, first.
+FRONT, FRONT_WORDS = 1 << 22, 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -69,10 +69,10 @@ class Contexts:
         blank = (self.data == 0) | (self.data == 32) | ((self.data > 8) & (self.data < 14))
         after = np.maximum.accumulate(np.where(blank, np.arange(n), 0)) + 1
         self.word = after[self.at - 1]  # where the word that a byte continues or ends begins
-        wide = self.data.astype(np.uint64)
-        self.code = np.zeros(len(self.at), np.uint64)  # the last four bytes, the nearest lowest
+        wide, code = self.data.astype(np.uint32), np.zeros(n, np.uint32)
         for k in range(PAD):
-            self.code |= wide[self.at - 1 - k] << np.uint64(8 * k)
+            code[1 + k :] |= wide[: max(0, n - 1 - k)] << np.uint32(8 * k)
+        self.code = code[self.at]  # the last four bytes, the nearest lowest
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and its text."""
@@ -182,33 +182,54 @@ def most_frequent(words: DataFrame, most: int = MOST_TOP, value: str = "c") -> t
 
 
 class Frequent:
-    """Costs of frequent cases, by their keys in order; most are found in a table with one slot a key, which each worker makes anew."""
+    """Values of frequent keys, in order; most are found in a table with one slot a key, which each worker makes anew.
 
-    def __init__(self, keys: np.ndarray, costs: np.ndarray):
-        self.keys, self.bits, self.front = keys, costs, None
+    A key that lost its slot there to another has one in a second table, and those that lost both are searched for.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slots: int, kind: type):
+        self.keys, self.values, self.slots, self.kind, self.tables = keys, values, slots, kind, None
 
-    def costs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cost of each key, 0 where it is none of the frequent ones, and whether it is one."""
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 where it is none of the frequent ones, and whether it is one."""
         if not len(self.keys):
             return np.zeros(len(keys)), np.zeros(len(keys), bool)
-        if self.front is None:
-            self.front, self.value = np.zeros(FRONT, np.uint64), np.zeros(FRONT, np.float32)
-            spot = self.spot(self.keys)
-            self.front[spot], self.value[spot] = self.keys, self.bits
-        spot = self.spot(keys)
-        there = self.front[spot] == keys
-        out = np.where(there, self.value[spot], np.float32(0)).astype(np.float64)
+        if self.tables is None:
+            self.make()
+        (shift, slots, front, values), second = self.tables
+        spot = self.spot(keys, shift, slots)
+        there = front[spot] == keys
+        out = np.where(there, values[spot], self.kind(0)).astype(np.float64)
         rest = np.flatnonzero(~there)
-        at = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
-        same = self.keys[at] == keys[rest]
-        out[rest[same]], there[rest[same]] = self.bits[at[same]], True
+        own, (shift, slots, front, values) = keys[rest], second
+        spot = self.spot(own, shift, slots)
+        hit = front[spot] == own
+        out[rest[hit]], there[rest[hit]] = values[spot[hit]], True
+        rest = rest[~hit]
+        if len(self.lost):
+            own = keys[rest]
+            at = np.minimum(np.searchsorted(self.lost, own), len(self.lost) - 1)
+            same = self.lost[at] == own
+            out[rest[same]], there[rest[same]] = self.lost_values[at[same]], True
         return out, there
 
-    def spot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(20)) & np.uint64(FRONT - 1)).astype(np.int64)
+    def make(self) -> None:
+        left, values, self.tables = self.keys, self.values, []
+        for shift, slots in ((20, self.slots), (42, self.slots // 2)):
+            front, own = np.zeros(slots, np.uint64), np.zeros(slots, self.kind)
+            spot = self.spot(left, shift, slots)
+            front[spot] = left
+            held = front[spot] == left
+            own[spot[held]] = values[held]
+            self.tables.append((shift, slots, front, own))
+            left, values = left[~held], values[~held]
+        self.lost, self.lost_values = left, values
+
+    def spot(self, keys: np.ndarray, shift: int, slots: int) -> np.ndarray:
+        return ((keys >> np.uint64(shift)) & np.uint64(slots - 1)).astype(np.int64)
 
     def __getstate__(self) -> dict:
-        return {"keys": self.keys, "bits": self.bits, "front": None}
+        return {"keys": self.keys, "values": self.values, "slots": self.slots, "kind": self.kind, "tables": None}
 
 
 def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,26 +261,25 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     unit, end_log = math.log10(total + distinct + 1), math.log10(ends + 1)
     top, top_counts = most_frequent(words)
     often, bits = most_frequent(costs, MOST_CASES, "cost")
-    sent = spark.sparkContext.broadcast((Frequent(often, bits), top, np.log10(top_counts + 1.0)))
+    sent = spark.sparkContext.broadcast((Frequent(often, bits, FRONT, np.float32), Frequent(top, np.log10(top_counts + 1.0), FRONT_WORDS, np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        frequent, tops, logs = sent.value
+        frequent, tops = sent.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 n = some.num_rows
                 c = Contexts(some.column(1).to_pylist())
                 key = keys_of(*cases_of(c))
-                cost, there = frequent.costs(key)
+                cost, there = frequent.of(key)
                 score = -np.add.reduceat(cost, c.first) * math.log10(2)
                 seldom = np.flatnonzero(~there)
                 breaks = np.searchsorted(seldom, c.first[1:])
                 h, doc = c.words()
-                at = np.minimum(np.searchsorted(tops, h), max(0, len(tops) - 1))
-                hit = tops[at] == h if len(tops) else np.zeros(len(h), bool)
-                base = np.bincount(doc[hit], logs[at[hit]], n) if len(tops) else np.zeros(n)
+                logs, hit = tops.of(h)
+                base = np.bincount(doc[hit], logs[hit], n)
                 there = np.bincount(doc[hit], minlength=n)
                 rare, of = h[~hit], doc[~hit]
                 split = np.searchsorted(of, np.arange(1, n))

@@ -193,6 +193,19 @@ def brute_base(rows):
     return sorted((str(d), o, len(x) + 1, sum(c[w] > 0 for w in x) + (ends > 0), n, round(sum(math.log10(c[w] + 1) - unit for w in x) + math.log10(ends + 1) - unit, 6)) for (d, _), x, o in zip(rows, tokens, out_))
 
 
+def test_frequent_values():
+    """Keys that lose their slots in both tables are found too, and no other key is; words' values are not rounded."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(1, 2**63, 5000).astype(np.uint64))
+    values = rng.random(len(keys))
+    few = mixing.Frequent(keys, values, 1 << 10, np.float64)
+    asked = np.concatenate([keys[::-1], rng.integers(1, 2**63, 5000).astype(np.uint64)])
+    got, there = few.of(asked)
+    assert len(few.lost) > 1000 and there.tolist() == np.isin(asked, keys).tolist()
+    assert got.tolist() == [dict(zip(keys.tolist(), values.tolist())).get(k, 0.0) for k in asked[:50].tolist()] + np.where(there, values[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)], 0)[50:].tolist()
+    assert len(mixing.Frequent(keys[:0], values[:0], 1 << 10, np.float64).of(keys)[0]) == len(keys)
+
+
 def test_base_scores(twice):
     rows = [(r["doc_id"], r["text"]) for r in twice.collect()]
     got = mixing.score_texts(twice).collect()
