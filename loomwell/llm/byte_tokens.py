@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from loomwell.llm.chunk_table import ChunkTable
+from loomwell.llm.workers import kept
 
 SLICE_BYTES = 4 << 20
 #: Chunks in one call of the library.
@@ -113,6 +113,6 @@ class ByteCoder:
         return [self._whole(t) if i in whole else out[edges[i] : edges[i + 1]] for i, t in enumerate(texts)]
 
 
-@lru_cache(2)
+@kept
 def coder(path: str) -> ByteCoder:
     return ByteCoder(path)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.columns import slices
 from loomwell.llm.scratch import drop_saved, saved
 from loomwell.llm.spans import KEYS, SLICE_BYTES, cut_found, keyed
+from loomwell.llm.workers import lean
 
 LEAST, MOST, ZERO_BITS = 32, 160, 5
 #: Bytes of an extended match that are cut out at least.
@@ -106,7 +107,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 columns = [some.column(0).take(at), some.column(1).take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())]
                 yield pa.record_batch(columns, names=[*KEYS, "a", "b", "d1", "d2"])
 
-    return docs.select(*KEYS, "t").mapInArrow(run, "key1 long, key2 int, a int, b int, d1 long, d2 long")
+    return docs.select(*KEYS, "t").mapInArrow(lean(run), "key1 long, key2 int, a int, b int, d1 long, d2 long")
 
 
 def matched_chunks(table: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def beside(docs: DataFrame, edges: DataFrame) -> DataFrame:
                     yield pa.record_batch([some.column(0).take(at), some.column(1).take(at), *rest], names=["f1", "f2", "pos", "after", "piece"])
 
     named = docs.select(F.col("key1").alias("f1"), F.col("key2").alias("f2"), "t").join(asked, ["f1", "f2"])
-    return named.mapInArrow(run, "f1 long, f2 int, pos int, after boolean, piece binary").dropDuplicates(["f1", "f2", "pos", "after"])
+    return named.mapInArrow(lean(run), "f1 long, f2 int, pos int, after boolean, piece binary").dropDuplicates(["f1", "f2", "pos", "after"])
 
 
 def agree(x: bytes, y: bytes) -> int:

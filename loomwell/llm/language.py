@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices
+from loomwell.llm.workers import lean
 
 ORDER = 4
 #: Labelled documents that a language's model is fitted on, about; each is read whole. Chosen by a hash of id and text.
@@ -179,7 +180,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                     codes, n = np.unique(grams([t for t, x in zip(texts, names) if x == name])[0], return_counts=True)
                     yield pa.record_batch([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    learn = picked.filter("not aside").select("lang", "t").mapInArrow(count, "lang string, code long, n long")
+    learn = picked.filter("not aside").select("lang", "t").mapInArrow(lean(count), "lang string, code long, n long")
     found = learn.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["lang", "code"])
     names, models = [], []
     for name, own in found.groupby("lang"):
@@ -196,7 +197,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                 of = [sent.value.languages.index(x) for x in f["lang"]]
                 yield pd.DataFrame({"lang": f["lang"].to_numpy(), "h": h[np.arange(len(f)), of] - SHORT / np.sqrt(n)})
 
-    aside = picked.filter("aside").select("lang", "t").mapInPandas(calibrate, "lang string, h double").toPandas()
+    aside = picked.filter("aside").select("lang", "t").mapInPandas(lean(calibrate), "lang string, h double").toPandas()
     high = aside.groupby("lang")["h"].quantile(0.999)
     model.bounds = np.array([high.get(x, np.inf) for x in names])
     return model
@@ -218,7 +219,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
                 yield pa.record_batch([*some.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*some.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
+    return df.mapInArrow(lean(run), f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

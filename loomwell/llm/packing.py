@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from loomwell.llm import byte_tokens
 from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.scratch import saved
+from loomwell.llm.workers import lean
 
 #: Items that are packed together; also what a task of the packing holds at once.
 SHARD_ITEMS = 8192
@@ -233,7 +234,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
 
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     rows = df.select(df[doc_id].alias("id"), text_or_empty(df, text).alias("t"))
-    return rows.mapInArrow(run, f"id {name}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lean(run, uses_kept=True), f"id {name}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("id", doc_id)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

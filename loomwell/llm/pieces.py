@@ -11,13 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomwell.llm.chunk_table import ChunkTable
 from loomwell.llm.columns import slices, text_or_empty
+from loomwell.llm.workers import kept, lean
 
 MARK = "▁"
 CHUNK = re.compile("[ ]+[^ \\n]*|\\n[^ \\n]*")
@@ -68,7 +68,7 @@ class PieceCoder:
         return [(",".join([x[0] for x in chunks]), "".join([x[1] for x in chunks])[1:]) for chunks in found]
 
 
-@lru_cache(2)
+@kept
 def coder(model_path: str) -> PieceCoder:
     return PieceCoder(model_path)
 
@@ -93,4 +93,4 @@ def encode_pieces(df: DataFrame, model_path: str, doc_id: str = "doc_id", text:
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
     types = f"id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep
-    return df.select(df[doc_id].alias("id"), text_or_empty(df, text).alias("t")).mapInArrow(run, types).withColumnRenamed("id", doc_id)
+    return df.select(df[doc_id].alias("id"), text_or_empty(df, text).alias("t")).mapInArrow(lean(run, uses_kept=True), types).withColumnRenamed("id", doc_id)

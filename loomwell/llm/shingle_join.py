@@ -29,6 +29,7 @@ from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.components import components
 from loomwell.llm.scratch import drop_saved, forget, reread, saved, shared_path, shuffles_dropped
 from loomwell.llm.suffix_dedup import Rolling, mix
+from loomwell.llm.workers import lean
 
 WORDS = 5
 SLICE_BYTES = 1 << 20
@@ -170,7 +171,7 @@ def set_table(df: DataFrame, doc_id: str, text: str, t: int) -> DataFrame:
 
     t_ = text_or_empty(df, text)
     rows = df.select(df[doc_id].alias("id"), t_.alias("t"), F.xxhash64(t_).alias("th"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, node long, low binary, sketch binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, th long, n long, node long, low binary, sketch binary")
 
 
 def distinct_nodes(batches: Iterator[pa.RecordBatch], more: str = "n") -> Iterator[tuple[int, int, np.ndarray, int]]:
@@ -478,7 +479,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, t: int) -> DataFrame:
             keep = pa.array(most >= needed(n, m, t))
             yield pa.record_batch([get(c).filter(keep) for c in columns], names=columns)
 
-    return saved(pairs.mapInArrow(run, "a long, b long, rep_a long, rep_b long"), "near-pairs")
+    return saved(pairs.mapInArrow(lean(run), "a long, b long, rep_a long, rep_b long"), "near-pairs")
 
 
 def whole_sets(reps: DataFrame, df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
@@ -512,7 +513,7 @@ def whole_sets(reps: DataFrame, df: DataFrame, doc_id: str, text: str) -> tuple[
 
     id_ = df[doc_id].cast("long")
     rows = df.select(F.pmod(F.xxhash64(id_), F.lit(FILTER)).alias("spot"), id_.alias("rep"), text_or_empty(df, text).alias("t"))
-    made, path = rows.mapInArrow(sets, "node long, rep long, set binary"), shared_path(spark, "sets")
+    made, path = rows.mapInArrow(lean(sets), "node long, rep long, set binary"), shared_path(spark, "sets")
     with shuffles_dropped(spark):
         made.write.option("compression", "none").parquet(path)
     sent.destroy()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.columns import slices, text_or_empty
+from loomwell.llm.workers import lean
 
 KEYS = ["key1", "key2"]
 SLICE_BYTES = 1 << 20
@@ -74,7 +75,7 @@ def cut_found(docs: DataFrame, lists: DataFrame, columns: list[str], found: Call
     first = [c for c in ("rest", "id") if c in docs.columns]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in first)
     both = docs.join(lists, KEYS, "left")
-    return both.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(lean(run), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def aligned(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from loomwell.llm import byte_tokens
 from loomwell.llm.columns import slices, text_or_empty
 from loomwell.llm.scratch import saved, shared_path
+from loomwell.llm.workers import lean
 
 BLOCK_BYTES = 64 << 10
 #: A shard is closed at this size of its data blocks.
@@ -239,7 +240,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     rows = df.select(df[doc_id].cast("long").alias("id"), text_or_empty(df, text).alias("t"))
-    return saved(rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(run, MANIFEST), "shard-manifest")
+    return saved(rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(lean(run, uses_kept=True), MANIFEST), "shard-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
