@@ -76,10 +76,12 @@ class Cases:
         (codes, words), n = cases_of(contexts), np.repeat(in_training, contexts.sizes)
         keys = keys_of(codes, words)
         spot = (keys >> np.uint64(44)).astype(np.int64)
-        new = np.flatnonzero(self.keys[spot] == 0)
+        there = self.keys[spot]
+        new = np.flatnonzero(there == 0)
         # of several new cases of one slot the last one is held, in all arrays alike
         self.keys[spot[new]], self.codes[spot[new]], self.words[spot[new]] = keys[new], codes[new], words[new]
-        hit = self.keys[spot] == keys
+        there[new] = self.keys[spot[new]]
+        hit = there == keys
         self.counts += np.bincount(spot[hit & n], minlength=FRONT)
         rest = np.flatnonzero(~hit)
         if len(rest):

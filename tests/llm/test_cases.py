@@ -134,3 +134,26 @@ def test_order_of():
         keys = rng.integers(0, 2**63, n).astype(np.uint64) & ~np.uint64(0xFFF) | rng.integers(0, 3, n).astype(np.uint64)
         keys = np.concatenate([keys, keys[: n // 2], keys[: n // 3] ^ np.uint64(1)])
         assert (keys[order_of(keys)] == np.sort(keys)).all()
+
+
+def test_mixed_in_parts():
+    """Hashes are those of the formula at every length, and little is held besides them."""
+    import tracemalloc
+
+    from loomwell.llm.suffix_dedup import MIXED, mix
+
+    def one(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    for n in (0, 1, MIXED - 1, MIXED, MIXED + 1, 2 * MIXED + 3):
+        x = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+        before = x.copy()
+        assert mix(x).tolist() == [one(v) for v in before.tolist()] and (x == before).all()
+    x = np.arange(1 << 20, dtype=np.uint64)
+    tracemalloc.start()
+    out = mix(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.2 * out.nbytes
