@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text into words before it merges, and always before a blank that follows a character other than a blank. So
 texts are cut there, all texts of a slice at once; each distinct chunk is encoded once a worker by the tokenizers library, and ids are
-joined back by position. Texts that hold one of the tokenizer's added tokens, and all texts of a tokenizer that cuts
+joined back by position. Of chunks that begin with one blank at most and go on with plain letters, digits and marks it is certain where the
+tokenizer cuts, so their words go straight to the library's model. Texts that hold one of the tokenizer's added tokens, and all texts of a tokenizer that cuts
 otherwise, are encoded whole by the library.
 """
 
@@ -12,14 +13,56 @@ import json
 import os
 
 import numpy as np
-import pyarrow as pa
 
 from loomwell.llm.chunk_table import ChunkTable
+from loomwell.llm.id_table import LONGEST, PADDING, IdTable, keys_of, ragged
 from loomwell.llm.workers import kept
 
 SLICE_BYTES = 4 << 20
 #: Chunks in one call of the library.
 GROUP = 16
+LETTER, DIGIT, MARK, BLANK = 1, 2, 3, 4
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each ASCII character, 0 for those that are not plain, as the apostrophe, which begins endings such as 's."""
+    out = np.zeros(256, np.uint8)
+    for c in map(chr, range(33, 127)):
+        out[ord(c)] = LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK
+    out[ord("'")] = 0
+    return out
+
+
+KINDS = _kinds()
+
+
+def _byte_names() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+BYTE_NAMES = _byte_names()
+
+
+def words_of(b: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each chunk, of which b has the bytes and heads tells the first ones, is plain, and where words of plain chunks begin.
+
+    Plain are an ASCII blank or none and then ASCII letters, digits and marks and letters of U+00C0 to U+027F and U+0400 to U+047F. A word is a run
+    of one kind, with the space before it; another blank is a word of its own.
+    """
+    kind = KINDS[b]
+    two = np.flatnonzero(((b >= 0xC3) & (b <= 0xC9)) | (b == 0xD0) | (b == 0xD1))
+    two = two[(b[two] != 0xC3) | ((b[two + 1] != 0x97) & (b[two + 1] != 0xB7))]
+    kind[two] = kind[two + 1] = LETTER
+    first = b[heads]
+    kind[heads[(first == 32) | ((first >= 9) & (first <= 13))]] = BLANK
+    plain = np.minimum.reduceat(kind, heads) > 0
+    spaces = heads[(first == 32) & (np.append(heads[1:], len(b)) - heads > 1)]
+    kind[spaces] = kind[spaces + 1]
+    new = np.append(True, kind[1:] != kind[:-1])
+    new[heads] = True
+    return plain, np.flatnonzero(new & np.repeat(plain, np.diff(heads, append=len(b))))
 
 
 def chunk_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -59,7 +102,7 @@ class ByteCoder:
         self.added = [t.content for t in added.values()]
         fences = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.fence = fences[0] if fences else None
-        self.table = ChunkTable(self._chunks)
+        self.table, self.longer = IdTable(), ChunkTable(self._chunks, most=200_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,25 +134,61 @@ class ByteCoder:
                     out.append(raw[a:b])
         return out
 
+    def _new(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some chunks one after another, and how many each has."""
+        b, heads = data[ragged(starts, sizes)], np.cumsum(sizes) - sizes
+        plain, begins = words_of(b, heads)
+        of = np.searchsorted(heads, begins, "right") - 1
+        upto = np.minimum(np.append(begins[1:], len(b)), (heads + sizes)[of])
+        names, tokens = b.tobytes().decode("latin-1").translate(BYTE_NAMES), self.library.model.tokenize
+        known: dict[str, list[int]] = {}
+        flat: list[int] = []
+        n = []
+        for i, j in zip(begins.tolist(), upto.tolist()):
+            word = names[i:j]
+            if (ids := known.get(word)) is None:
+                ids = known[word] = [t.id for t in tokens(word)]
+            flat += ids
+            n.append(len(ids))
+        counts = np.bincount(of, n, len(starts)).astype(np.int64)
+        odd = np.flatnonzero(~plain)
+        found = self._chunks([data[i : i + k].tobytes() for i, k in zip(starts[odd].tolist(), sizes[odd].tolist())])
+        counts[odd] = [len(x) // 4 for x in found]
+        order = np.concatenate([np.flatnonzero(plain), odd])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([np.array(flat, "<u4"), np.frombuffer(b"".join(found), "<u4")])[ragged(at, counts)], counts
+
+    def _ids(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and how many each has."""
+        data, sizes = np.frombuffer(joined, np.uint8), ends - starts
+        at, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= LONGEST)
+        own, n = starts[short], sizes[short]
+        at[short], counts[short] = self.table.places(*keys_of(joined, own, n), lambda new: self._new(data, own[new], n[new]))
+        long = np.flatnonzero(sizes > LONGEST)
+        if len(long):
+            chunks = [joined[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            wanted = list(dict.fromkeys(chunks))
+            found = dict(zip(wanted, self.longer.values(wanted)))
+            of = [found[c] for c in chunks]
+            counts[long] = [len(x) // 4 for x in of]
+            at[long] = self.table.add(np.frombuffer(b"".join(of), "<u4"), keep=False) + np.cumsum(counts[long]) - counts[long]
+        return self.table.ids[ragged(at, counts)], counts
+
     def texts(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if not self.by_chunk or any(x in t for x in self.added)}
         raw = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
-        data = np.frombuffer(joined := b"".join(raw), np.uint8)
-        ends = np.cumsum([len(x) for x in raw]) if raw else np.zeros(0, np.int64)
-        begins = ends - [len(x) for x in raw] if raw else ends
-        if len(data):
-            starts = chunk_starts(data, begins[begins < len(data)])
-            offsets = np.append(starts, len(data)).astype(np.int64)
-            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-            found = self.table.values(chunks.dictionary.to_pylist())
-            sizes = np.array([len(x) for x in found], np.int64) // 4
-            ids, at = np.frombuffer(b"".join(found), "<u4"), chunks.indices.to_numpy()
-            n = sizes[at]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-            edges = 4 * upto[np.searchsorted(starts, np.append(begins, len(data)))]
-        else:
-            out, edges = b"", np.zeros(len(texts) + 1, np.int64)
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        begins, n = ends - [len(x) for x in raw], int(ends[-1]) if raw else 0
+        out, edges = b"", np.zeros(len(texts) + 1, np.int64)
+        if n:
+            joined = b"".join([*raw, bytes(PADDING)])
+            starts = chunk_starts(np.frombuffer(joined, np.uint8)[:n], begins[begins < n])
+            upto, most = np.append(starts[1:], n), self.table.most
+            parts, counts = zip(*(self._ids(joined, starts[i : i + most], upto[i : i + most]) for i in range(0, len(starts), most)))
+            out = b"".join(x.tobytes() for x in parts)
+            edges = 4 * np.concatenate([[0], np.cumsum(np.concatenate(counts))])[np.searchsorted(starts, np.append(begins, n))]
         return [self._whole(t) if i in whole else out[edges[i] : edges[i + 1]] for i, t in enumerate(texts)]
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from loomwell.llm import byte_tokens, packing, pieces, token_shards
 from loomwell.llm.chunk_table import ChunkTable
+from loomwell.llm.id_table import IdTable
 from loomwell.llm.queries import tokenizer
 from loomwell.llm.scratch import shared_path
 
@@ -42,6 +43,45 @@ def test_byte_ids_equal_the_library(texts):
         assert np.frombuffer(raw, "<u4").tolist() == want, t
 
 
+class Counted:
+    """The library, with the number of strings it was given."""
+
+    def __init__(self, library):
+        self.library, self.strings = library, 0
+
+    def encode_batch_fast(self, strings, **how):
+        self.strings += len(strings)
+        return self.library.encode_batch_fast(strings, **how)
+
+    @property
+    def model(self):
+        return self.library.model
+
+
+def test_plain_words_need_no_strings_in_the_library():
+    rng = random.Random(3)
+    plain, any_kind = "abcdeßÖéñяж12.,;*", "ab'é×÷Ωяſ12.,(ª日\x1c"
+    texts = [" ".join("".join(rng.choices(plain, k=rng.randint(2, 6))) for _ in range(500)) + rng.choice([".", " ", "\n"]) for _ in range(40)]
+    c = byte_tokens.ByteCoder(tokenizer("byte_bpe_50k.json"))
+    c.library = Counted(c.library)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in c.texts(texts)] == library(texts)
+    assert c.library.strings == 0  # 20,000 words; 16 went in a string before
+    texts = ["".join(rng.choice(["", " ", " ", "\n", "\t", "\x0b", "  "]) + "".join(rng.choices(any_kind, k=rng.randint(1, 5))) for _ in range(500)) for _ in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.texts(texts)] == library(texts)
+
+
+def test_byte_ids_when_the_table_is_cleared(texts):
+    """Slots for few chunks, so that calls are many, slots taken and chunks met again or forgotten."""
+    every = odd_texts() + [t or "" for t in texts] + [f" {i:b} {i} {i % 7}" for i in range(2000)]
+    c = byte_tokens.ByteCoder(tokenizer("byte_bpe_50k.json"))
+    c.table = IdTable(slots=256)
+    for i in range(0, len(every), 700):
+        for t, raw, want in zip(every[i:], c.texts(every[i : i + 700]), library(every[i : i + 700])):
+            assert np.frombuffer(raw, "<u4").tolist() == want, t
+        assert c.table.held <= 128 and len(np.flatnonzero(c.table.high)) == c.table.held
+
+
 def test_table_bounds():
     t = ChunkTable(lambda x: [c.upper() for c in x], most=6, longest=3)
     for _ in range(3):
