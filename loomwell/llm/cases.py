@@ -29,8 +29,10 @@ from loomwell.llm.suffix_dedup import mix
 CLIP, CONTEXTS, GATES, GRID = 8.0, 5, 8 * 16, 33
 #: Cases whose bits make one online step, and the weight of the weights at hand in the first one.
 STEP_CASES, PRIOR = 8192, 50.0
-#: Slots of a task's table of cases met often.
-FRONT = 1 << 20
+#: Of 0.1, 1.1 and so on.
+LOGS = np.log(np.arange(1 << 15) + 0.1)
+#: Slots of a task's table of cases met often, and how many others it gathers before it merges them.
+FRONT, GATHERED = 1 << 20, 1 << 18
 #: A word's value is the hash of the word so far, without its low 8 bits, and the byte there.
 COLUMNS = {"codes": np.uint32, "words": np.uint64, "counts": np.uint32}
 TABLE = "block long, codes binary, words binary, counts binary"
@@ -38,13 +40,30 @@ TABLE = "block long, codes binary, words binary, counts binary"
 
 def keys_of(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """One hash for each case, never 0."""
-    return mix(mix(codes.astype(np.uint64)) ^ words) | np.uint64(1)
+    keys = codes.astype(np.uint64)
+    keys *= np.uint64(0x9E3779B97F4A7C15)
+    keys ^= words
+    keys = mix(keys)
+    keys |= np.uint64(1)
+    return keys
 
 
 def cases_of(contexts) -> tuple[np.ndarray, np.ndarray]:
     """The last four bytes, and the word so far with the byte, at each scored byte."""
-    word = mix(contexts.rolling.of(np.minimum(contexts.word, contexts.at - 3), contexts.at) + np.uint64(5))
-    return contexts.code.astype(np.uint32), word & ~np.uint64(255) | contexts.byte.astype(np.uint64)
+    data, sums = contexts.data, contexts.rolling.sums
+    n, scored = len(data), contexts.scored[4:]
+    blank = (data == 0) | (data == 32) | ((data > 8) & (data < 14))
+    places = np.arange(n)
+    begin = np.maximum.accumulate(np.where(blank, places, 0))[3:-1] + 1  # where the word that a byte continues or ends begins
+    np.minimum(begin, places[1:-3], out=begin)
+    word = sums[4:n] - sums[begin]
+    word *= contexts.rolling.inverse[begin]
+    word += (places[4:] - begin).view(np.uint64)
+    word = mix(word[scored])
+    word &= ~np.uint64(255)
+    word |= data[4:][scored]
+    codes = np.ndarray(n - 4, ">u4", data, strides=(1,))[scored].astype(np.uint32)  # the nearest byte lowest
+    return codes, word
 
 
 def byte_of(words: np.ndarray) -> np.ndarray:
@@ -52,13 +71,13 @@ def byte_of(words: np.ndarray) -> np.ndarray:
 
 
 def merged_cases(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One row a case, in order of their hashes: codes, words, and the counts added up."""
-    codes, words, n = (np.concatenate(x) for x in zip(*parts))
-    keys = keys_of(codes, words)
+    """One row a case, in order of their hashes: hashes, codes, words, and the counts added up."""
+    keys, codes, words, n = (np.concatenate(x) for x in zip(*parts))
     order = order_of(keys)
     keys = keys[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return codes[order[head]], words[order[head]], np.add.reduceat(n[order], head) if len(head) else n
+    at = order[head]
+    return keys[head], codes[at], words[at], np.add.reduceat(n[order], head) if len(head) else n
 
 
 class Cases:
@@ -66,38 +85,60 @@ class Cases:
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-        self.keys = np.zeros(FRONT, np.uint64)
+        self.gathered: list[tuple[np.ndarray, ...]] = []
+        self.met: list[np.ndarray] = []
+        self.size = self.waiting = self.met_size = 0
+        self.keys = None
 
     def add(self, contexts, in_training: np.ndarray) -> None:
         """in_training: for each text, whether its bytes count; the others' cases are held with the count 0."""
-        if not self.keys.any():
-            self.counts, self.codes, self.words = np.zeros(FRONT, np.int64), np.zeros(FRONT, np.uint32), np.zeros(FRONT, np.uint64)
+        if self.keys is None:
+            self.keys, self.counts, self.codes, self.words = np.zeros(FRONT, np.uint64), np.zeros(FRONT, np.int64), np.zeros(FRONT, np.uint32), np.zeros(FRONT, np.uint64)
         (codes, words), n = cases_of(contexts), np.repeat(in_training, contexts.sizes)
         keys = keys_of(codes, words)
-        spot = (keys >> np.uint64(44)).astype(np.int64)
+        spot = (keys >> np.uint64(44)).view(np.int64)
         there = self.keys[spot]
-        new = np.flatnonzero(there == 0)
-        # of several new cases of one slot the last one is held, in all arrays alike
-        self.keys[spot[new]], self.codes[spot[new]], self.words[spot[new]] = keys[new], codes[new], words[new]
-        there[new] = self.keys[spot[new]]
         hit = there == keys
-        self.counts += np.bincount(spot[hit & n], minlength=FRONT)
+        new = np.flatnonzero(there == 0)
+        if len(new):
+            # of several new cases of one slot the last one is held, in all arrays alike
+            own = spot[new]
+            self.keys[own], self.codes[own], self.words[own] = keys[new], codes[new], words[new]
+            hit[new] = self.keys[own] == keys[new]
+        self.met.append(spot[hit & n])
+        self.met_size += len(self.met[-1])
+        if self.met_size >= FRONT:
+            self.count()
         rest = np.flatnonzero(~hit)
-        if len(rest):
-            self.held.append(merged_cases([(codes[rest], words[rest], n[rest].astype(np.int64))]))
+        self.gathered.append((keys[rest], codes[rest], words[rest], n[rest].astype(np.int64)))
+        self.waiting += len(rest)
+        if self.waiting >= GATHERED:
+            self.merge()
+
+    def count(self) -> None:
+        """Adds up those met in the table."""
+        if self.met:
+            self.counts += np.bincount(np.concatenate(self.met), minlength=FRONT)
+        self.met, self.met_size = [], 0
+
+    def merge(self) -> None:
+        if self.waiting:
+            self.held.append(merged_cases(self.gathered))
             self.size += len(self.held[-1][0])
+        self.gathered, self.waiting = [], 0
         if len(self.held) >= 8:
             self.held = [merged_cases(self.held)]
             self.size = len(self.held[0][0])
 
     def rows(self, blocks: int) -> Iterator[tuple[int, list[bytes]]]:
         """The cases by block of their last three bytes; nothing is held after that."""
-        used = np.flatnonzero(self.keys)
-        if len(used):
-            self.held.append((self.codes[used], self.words[used], self.counts[used]))
+        self.count()
+        self.merge()
+        if self.keys is not None:
+            used = np.flatnonzero(self.keys)
+            self.held.append((self.keys[used], self.codes[used], self.words[used], self.counts[used]))
         if self.held:
-            yield from split(merged_cases(self.held), lambda x: spread(x[0] & np.uint32(0xFFFFFF), blocks))
+            yield from split(merged_cases(self.held)[1:], blocks)
         self.__init__()
 
 
@@ -105,14 +146,15 @@ def spread(x: np.ndarray, blocks: int) -> np.ndarray:
     return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % blocks
 
 
-def split(columns: tuple[np.ndarray, ...], block_of) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows by block, in order of their last bytes, each column's part as bytes."""
-    block = block_of(columns)
-    order = np.lexsort((columns[0], block))
-    ids, at = np.unique(block[order], return_index=True)
+def split(columns: tuple[np.ndarray, ...], blocks: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Rows by block of their last three bytes, in order of their last four, each column's part as bytes."""
+    block = spread(columns[0] & np.uint32(0xFFFFFF), blocks)
+    order = order_of((block.astype(np.uint64) << np.uint64(32) | columns[0]) << np.uint64(32 - blocks.bit_length()))
+    block = block[order]
+    at = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() if len(block) else []
     columns = [x[order] for x in columns]
-    for i, a, b in zip(ids.tolist(), at, [*at[1:], len(order)]):
-        yield i, [np.ascontiguousarray(x[a:b]).astype(t).tobytes() for x, t in zip(columns, COLUMNS.values())]
+    for a, b in zip(at, [*at[1:], len(order)]):
+        yield int(block[a]), [np.ascontiguousarray(x[a:b]).astype(t).tobytes() for x, t in zip(columns, COLUMNS.values())]
 
 
 def read(row) -> tuple[np.ndarray, ...]:
@@ -145,8 +187,8 @@ def case_table(counted: DataFrame) -> DataFrame:
     """Every distinct case with its count, a row a block. counted: block and COLUMNS."""
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        merged = merged_cases([read(r) for r in rows.itertuples()])
-        return pd.DataFrame([(key[0], *c) for _, c in split(merged, lambda x: np.zeros(len(x[0]), np.int64))], columns=["block", *COLUMNS])
+        merged = merged_cases([(keys_of(codes, words), codes, words, n) for codes, words, n in map(read, rows.itertuples())])
+        return pd.DataFrame([(key[0], *c) for _, c in split(merged[1:], 1)], columns=["block", *COLUMNS])
 
     return saved(counted.groupBy("block").applyInPandas(whole, TABLE), "cases")
 
@@ -171,6 +213,21 @@ def near_table(cases: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return k, [path_counts(k & np.uint64(0xFFFF), n).astype(np.float32), path_counts(k, n).astype(np.float32)]
 
 
+def logs(counts: np.ndarray) -> np.ndarray:
+    """The logarithm of each count, a whole number, and a tenth; rows of small counts are looked up."""
+    out = np.empty(counts.shape)
+    for own, c in zip(out, counts):
+        if len(c) and c.max() < len(LOGS):
+            LOGS.take(c.astype(np.int64), out=own, mode="clip")
+        else:
+            np.log(c + 0.1, out=own)
+    return out
+
+
+def steps(n: int) -> Iterator[slice]:
+    return (slice(a, a + STEP_CASES) for a in range(0, n, STEP_CASES))
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -185,24 +242,29 @@ class Model:
     refined: np.ndarray = field(default_factory=lambda: np.tile(squash(np.linspace(-CLIP, CLIP, GRID)), (256, 1)))
 
     def inputs(self, codes: np.ndarray, byte: np.ndarray, paths: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each bit of the bytes: predictions with a constant, gate, known bits, bit. left_out: one occurrence is not counted."""
+        """For each bit of the bytes: predictions with a constant (a row each), gate, known bits, bit. left_out: one occurrence is not counted."""
         at = np.searchsorted(self.pairs, pairs_of(codes, byte, 2))
-        all_paths = [self.near[0][:, at], self.near[1][:, at], *paths.reshape(3, 9, -1)]
+        all_paths = [*(c.take(at, axis=1) for c in self.near), *paths.reshape(3, 9, -1)]
+
+        def counted(k: int) -> np.ndarray:
+            c = np.array([c[k] for c in all_paths], float)
+            return np.maximum(c - 1, 0, out=c) if left_out else c
+
+        same = counted(0)
         for k in range(8):
-            bit, node = byte >> np.uint8(7 - k) & np.uint8(1), (1 << k) + (byte.astype(np.int64) >> (8 - k))
-            x, sure = np.empty((len(byte), CONTEXTS + 1)), []
-            for f, c in enumerate(all_paths):
-                seen, same = c[k].astype(float), c[k + 1].astype(float)
-                if left_out:
-                    seen, same = np.maximum(seen - 1, 0), np.maximum(same - 1, 0)
-                ratio = np.clip(np.log((same + 0.1) / (seen - same + 0.1)), -CLIP, CLIP)
-                x[:, f] = np.where(seen > 0, np.where(bit == 1, ratio, -ratio), 0)
-                sure.append((seen > 0).astype(np.int64) + (seen > 3) + (seen > 40))
-            x[:, CONTEXTS] = 0.3
-            yield x, k * 16 + sure[3] * 4 + sure[4], node, bit.astype(np.int64)
+            bit, node = (byte >> np.uint8(7 - k) & np.uint8(1)).astype(np.int64), (1 << k) + (byte.astype(np.int64) >> (8 - k))
+            seen, same = same, counted(k + 1)
+            x = np.full((CONTEXTS + 1, len(byte)), 0.3)
+            ratio = x[:CONTEXTS]
+            np.subtract(logs(same), logs(seen - same), out=ratio)
+            np.clip(ratio, -CLIP, CLIP, out=ratio)
+            ratio *= 2.0 * bit - 1
+            ratio *= seen > 0
+            sure = [(c > 0).view(np.int8) + (c > 3) + (c > 40) for c in seen[3:]]
+            yield x, k * 16 + sure[0].astype(np.int64) * 4 + sure[1], node, bit
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", self.weights[gate], x)
+        return np.einsum("ji,ji->i", np.ascontiguousarray(self.weights.T).take(gate, axis=1), x)
 
     def learned(self, blocks: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """From the weights at hand an online pass over each block: the blocks' curvatures, added up, and these times the weights learned."""
@@ -210,20 +272,19 @@ class Model:
         for codes, byte, n, paths in blocks:
             here = np.zeros((GATES, 6, 6))
             self.weights = start.copy()
-            for a in range(0, len(n), STEP_CASES):
-                s = slice(a, a + STEP_CASES)
+            for s in steps(len(n)):
                 slope = np.zeros((GATES, 6))
                 for x, gate, _, bit in self.inputs(codes[s], byte[s], paths[:, s], True):
                     p = squash(self.mixed(x, gate))
                     error = bit - p
                     curve = n[s] * np.maximum(p * (1 - p), error * error)
-                    for i in range(6):
-                        slope[:, i] += np.bincount(gate, n[s] * error * x[:, i], GATES)
-                        for j in range(i + 1):
-                            c = np.bincount(gate, curve * x[:, i] * x[:, j], GATES)
-                            here[:, i, j] += c
-                            if i != j:
-                                here[:, j, i] += c
+                    order = np.argsort(gate.astype(np.uint8), kind="stable")
+                    ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
+                    x, pull, curve = x.take(order, axis=1), (n[s] * error)[order], curve[order]
+                    for g in np.unique(gate).tolist():
+                        own = slice(ends[g - 1] if g else 0, ends[g])
+                        slope[g] += x[:, own] @ pull[own]
+                        here[g] += (x[:, own] * curve[own]) @ x[:, own].T
                 self.weights = self.weights + np.linalg.solve(here + PRIOR * np.eye(6), slope[..., None])[..., 0]
             curves += here
             pulls += np.einsum("gij,gj->gi", here, self.weights)
@@ -237,22 +298,25 @@ class Model:
         """How often each known bits and mixed probability were seen, and how often a 1 followed."""
         out = np.zeros((2, 256 * GRID))
         for codes, byte, n, paths in blocks:
-            for x, gate, node, bit in self.inputs(codes, byte, paths, True):
-                at = node * GRID + np.rint((np.clip(self.mixed(x, gate), -CLIP, CLIP) + CLIP) * 2).astype(np.int64)
-                out[0] += np.bincount(at, n, 256 * GRID)
-                out[1] += np.bincount(at, n * bit, 256 * GRID)
+            for s in steps(len(n)):
+                for x, gate, node, bit in self.inputs(codes[s], byte[s], paths[:, s], True):
+                    at = node * GRID + np.rint((np.clip(self.mixed(x, gate), -CLIP, CLIP) + CLIP) * 2).astype(np.int64)
+                    out[0] += np.bincount(at, n[s], 256 * GRID)
+                    out[1] += np.bincount(at, n[s] * bit, 256 * GRID)
         return out[0].reshape(256, GRID), out[1].reshape(256, GRID)
 
     def cost(self, codes: np.ndarray, byte: np.ndarray, paths: np.ndarray) -> np.ndarray:
         """Bits of each case's byte."""
-        out = np.zeros(len(byte))
-        for x, gate, node, bit in self.inputs(codes, byte, paths, False):
-            mixed = self.mixed(x, gate)
-            place = (np.clip(mixed, -CLIP, CLIP - 1e-6) + CLIP) * 2
-            low = place.astype(np.int64)
-            refined = (1 - place + low) * self.refined[node, low] + (place - low) * self.refined[node, low + 1]
-            p = np.clip((squash(mixed) + refined) / 2, 1e-7, 1 - 1e-7)
-            out -= np.log2(np.where(bit == 1, p, 1 - p))
+        out, refined = np.zeros(len(byte)), self.refined.ravel()
+        for s in steps(len(byte)):
+            for x, gate, node, bit in self.inputs(codes[s], byte[s], paths[:, s], False):
+                mixed = self.mixed(x, gate)
+                place = (np.clip(mixed, -CLIP, CLIP - 1e-6) + CLIP) * 2
+                low = place.astype(np.int64)
+                at, high = node * GRID + low, place - low
+                own = (1 - high) * refined[at] + high * refined[at + 1]
+                p = np.clip((squash(mixed) + own) / 2, 1e-7, 1 - 1e-7)
+                out[s] -= np.log2(np.where(bit == 1, p, 1 - p))
         return out
 
 

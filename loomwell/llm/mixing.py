@@ -30,7 +30,8 @@ from loomwell.llm.scratch import drop_saved, forget, reread, saved, shared_path,
 from loomwell.llm.shingle_join import word_bounds
 from loomwell.llm.suffix_dedup import Rolling
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are worked on at once: few enough that all arrays of a slice stay in the processor's cache.
+SLICE_BYTES = 1 << 16
 PAD = 4
 #: Families of counts: words, and cases.
 WORDS, CASES = 0, 1
@@ -38,46 +39,37 @@ PASSES = 2
 MOST_TOP = 500_000
 #: Most frequent cases whose costs are sent to all tasks (others are joined), and cases and words that a task holds before it hands them on.
 MOST_CASES, MOST_HELD = 1 << 21, 1_000_000
-#: Slots of the tables in which a task looks for frequent cases, and words, first.
-FRONT, FRONT_WORDS = 1 << 22, 1 << 20
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Slots of the tables of frequent cases, and words, and of the one before each, that holds the most frequent of them and stays in cache.
+FRONT, FRONT_WORDS, NEAR = 1 << 22, 1 << 20, 1 << 15
+#: Words that a task gathers before it counts them.
+GATHERED = 1 << 18
 
 
-def lay_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts, each between PAD zero bytes and its end; begins and ends (the end byte included) of each."""
-    raw = [t.encode().translate(LOWER) for t in texts]
-    data = np.frombuffer(b"".join(bytes(PAD) + r + b"\0" for r in raw), np.uint8)
-    sizes = np.array([len(r) + PAD + 1 for r in raw], np.int64)
+def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts in lower case, each between PAD zero bytes and its end; begins and ends (the end byte included) of each."""
+    data = np.frombuffer(bytes(PAD) + bytes(PAD + 1).join(texts) + b"\0", np.uint8)
+    data = data + ((data >= 65) & (data <= 90)).view(np.uint8) * np.uint8(32)
+    sizes = np.array([len(x) + PAD + 1 for x in texts], np.int64)
     ends = np.cumsum(sizes)
     return data, ends - sizes + PAD, ends
 
 
 class Contexts:
-    """Hash of each context at each scored byte of some texts."""
+    """Some texts laid out, and the hash of any part of them."""
 
-    def __init__(self, texts: list[str]):
-        self.data, begins, ends = lay_out(texts)
-        n = len(self.data)
-        scored = np.ones(n, bool)
+    def __init__(self, texts: list[bytes]):
+        self.data, self.begins, ends = lay_out(texts)
+        self.sizes = ends - self.begins
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.scored = np.ones(len(self.data), bool)
         for k in range(1, PAD + 1):
-            scored[begins - k] = False
-        self.at = np.flatnonzero(scored)
-        self.first = np.searchsorted(self.at, begins)
-        self.sizes = ends - begins
-        self.byte = self.data[self.at]
+            self.scored[self.begins - k] = False
         self.rolling = Rolling(self.data)
-        blank = (self.data == 0) | (self.data == 32) | ((self.data > 8) & (self.data < 14))
-        after = np.maximum.accumulate(np.where(blank, np.arange(n), 0)) + 1
-        self.word = after[self.at - 1]  # where the word that a byte continues or ends begins
-        wide, code = self.data.astype(np.uint32), np.zeros(n, np.uint32)
-        for k in range(PAD):
-            code[1 + k :] |= wide[: max(0, n - 1 - k)] << np.uint32(8 * k)
-        self.code = code[self.at]  # the last four bytes, the nearest lowest
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and its text."""
         starts, ends = word_bounds(np.where(self.data == 0, np.uint8(32), self.data)) if not self.zeros() else self._words_with_zeros()
-        doc = np.searchsorted(self.at[self.first], starts, side="right") - 1
+        doc = np.searchsorted(self.begins, starts, side="right") - 1
         return self.rolling.of(starts, ends), doc
 
     def zeros(self) -> bool:
@@ -85,11 +77,9 @@ class Contexts:
 
     def _words_with_zeros(self) -> tuple[np.ndarray, np.ndarray]:
         """As a zero byte inside a text is a character of a word, only the zeros around texts are taken for blanks."""
-        data = np.full(len(self.data), 32, np.uint8)
-        inside = np.ones(len(self.at), bool)
-        inside[self.first + self.sizes - 1] = False
-        data[self.at[inside]] = np.where(self.byte[inside] == 0, np.uint8(1), self.byte[inside])
-        return word_bounds(data)
+        inside = self.scored.copy()
+        inside[self.begins + self.sizes - 1] = False
+        return word_bounds(np.where(inside, np.where(self.data == 0, np.uint8(1), self.data), np.uint8(32)))
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +96,19 @@ class Counts:
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.size = 0
+        self.gathered: list[np.ndarray] = []
+        self.size = self.waiting = 0
 
     def add(self, keys: np.ndarray) -> None:
-        keys, n = np.unique(keys, return_counts=True)
+        self.gathered.append(keys)
+        self.waiting += len(keys)
+        if self.waiting >= GATHERED:
+            self.count()
+
+    def count(self) -> None:
+        keys, n = np.unique(np.concatenate(self.gathered), return_counts=True)
         self.keys.append(keys), self.counts.append(n)
+        self.gathered, self.waiting = [], 0
         self.size += len(keys)
         if len(self.keys) >= 8:
             keys, n = summed(self.keys, self.counts)
@@ -118,6 +116,8 @@ class Counts:
 
     def rows(self, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
         """Block, words (u64) and counts (u32); nothing is held after that."""
+        if self.waiting:
+            self.count()
         if self.keys:
             keys, n = summed(self.keys, self.counts)
             block = (keys >> np.uint64(32)).astype(np.int64) % ranges
@@ -144,7 +144,7 @@ def count_table(rows: DataFrame, blocks: int, ranges: int) -> DataFrame:
 
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
-                c, training = Contexts(some.column(0).to_pylist()), ~np.array(some.column(1).to_pylist(), bool)
+                c, training = Contexts(some.column(0).cast(pa.binary()).to_pylist()), ~np.array(some.column(1).to_pylist(), bool)
                 h, doc = c.words()
                 words.add(h[training[doc]])
                 cases.add(c, training)
@@ -167,24 +167,26 @@ def word_counts(counts: DataFrame) -> DataFrame:
 
 
 def most_frequent(words: DataFrame, most: int = MOST_TOP, value: str = "c") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts (or another column) of at most so many rows of h and c: all from some power of two on."""
-    powers = words.filter("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    """Hashes and counts (or another column) of at most so many rows of h and c: all from some power of two on, those of the highest power last."""
+    power = F.floor(F.log2("c")).cast("byte").alias("p")
+    powers = words.filter("c > 0").groupBy(power).agg(F.count(F.lit(1)).alias("n")).collect()
     least, total = 0, 0
     for p, n in sorted(((r["p"], r["n"]) for r in powers), reverse=True):
         if total + n > most:
             least = p + 1
             break
         total += n
-    top = words.filter(F.col("c") >= 1 << least).select("h", value).toArrow()
+    top = words.filter(F.col("c") >= 1 << least).select("h", value, power).toArrow()
     h, c = top["h"].to_numpy().view(np.uint64), top[value].to_numpy()
-    order = np.argsort(h)
+    order = np.lexsort((h, top["p"].to_numpy()))
     return h[order], c[order]
 
 
 class Frequent:
-    """Values of frequent keys, in order; most are found in a table with one slot a key, which each worker makes anew.
+    """Values of frequent keys, the more frequent last; most are found in tables with one slot a key, which each worker makes anew.
 
-    A key that lost its slot there to another has one in a second table, and those that lost both are searched for.
+    The first table is small, and the most frequent keys have its slots. A key that lost its slot there to another has one in the
+    next table, or the one after that, and those that lost all are searched for.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, slots: int, kind: type):
@@ -196,16 +198,13 @@ class Frequent:
             return np.zeros(len(keys)), np.zeros(len(keys), bool)
         if self.tables is None:
             self.make()
-        (shift, slots, front, values), second = self.tables
-        spot = self.spot(keys, shift, slots)
-        there = front[spot] == keys
-        out = np.where(there, values[spot], self.kind(0)).astype(np.float64)
+        front, *others = self.tables
+        out, there = self.look(keys, *front)
         rest = np.flatnonzero(~there)
-        own, (shift, slots, front, values) = keys[rest], second
-        spot = self.spot(own, shift, slots)
-        hit = front[spot] == own
-        out[rest[hit]], there[rest[hit]] = values[spot[hit]], True
-        rest = rest[~hit]
+        for table in others:
+            found, hit = self.look(keys[rest], *table)
+            out[rest], there[rest] = found, hit
+            rest = rest[~hit]
         if len(self.lost):
             own = keys[rest]
             at = np.minimum(np.searchsorted(self.lost, own), len(self.lost) - 1)
@@ -213,20 +212,26 @@ class Frequent:
             out[rest[same]], there[rest[same]] = self.lost_values[at[same]], True
         return out, there
 
+    def look(self, keys: np.ndarray, shift: int, front: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spot = self.spot(keys, shift, len(front))
+        there = front[spot] == keys
+        return values[spot].astype(np.float64) * there, there
+
     def make(self) -> None:
         left, values, self.tables = self.keys, self.values, []
-        for shift, slots in ((20, self.slots), (42, self.slots // 2)):
-            front, own = np.zeros(slots, np.uint64), np.zeros(slots, self.kind)
+        for shift, slots in ((4, min(NEAR, self.slots)), (20, self.slots), (42, self.slots // 2)):
+            front, own = np.zeros(slots, np.uint64), np.zeros(slots)
             spot = self.spot(left, shift, slots)
             front[spot] = left
             held = front[spot] == left
             own[spot[held]] = values[held]
-            self.tables.append((shift, slots, front, own))
+            self.tables.append((shift, front, own.astype(self.kind)))
             left, values = left[~held], values[~held]
-        self.lost, self.lost_values = left, values
+        order = np.argsort(left)
+        self.lost, self.lost_values = left[order], values[order]
 
     def spot(self, keys: np.ndarray, shift: int, slots: int) -> np.ndarray:
-        return ((keys >> np.uint64(shift)) & np.uint64(slots - 1)).astype(np.int64)
+        return ((keys >> np.uint64(shift)) & np.uint64(slots - 1)).view(np.int64)
 
     def __getstate__(self) -> dict:
         return {"keys": self.keys, "values": self.values, "slots": self.slots, "kind": self.kind, "tables": None}
@@ -271,7 +276,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             for some in slices(batch, "t", SLICE_BYTES):
                 n = some.num_rows
-                c = Contexts(some.column(1).to_pylist())
+                c = Contexts(some.column(1).cast(pa.binary()).to_pylist())
                 key = keys_of(*cases_of(c))
                 cost, there = frequent.of(key)
                 score = -np.add.reduceat(cost, c.first) * math.log10(2)

@@ -157,3 +157,49 @@ def test_mixed_in_parts():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 1.2 * out.nbytes
+
+
+def test_slices_stay_in_cache():
+    """What is held besides a slice's texts is a few MB, however many texts a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomwell.llm.columns import slices
+
+    batch = pa.record_batch([pa.array([t for _, t in ROWS[:-1]] * 100)], names=["t"])
+    cases.cases_of(mixing.Contexts([b"tables of powers are made once"]))
+    tracemalloc.start()
+    for some in slices(batch, "t", mixing.SLICE_BYTES):
+        cases.keys_of(*cases.cases_of(mixing.Contexts(some.column(0).cast(pa.binary()).to_pylist())))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 1 << 20 and most < 6 << 20
+
+
+def test_split_and_logs():
+    """Rows come by block and code, in the order they had; logarithms of looked-up and of other counts are the same."""
+    rng = np.random.default_rng(4)
+    for n, blocks in ((0, 32), (1, 32), (5000, 1), (5000, 32), (70_000, 6000)):
+        codes = rng.choice(rng.integers(0, 2**32, 300, dtype=np.uint32), n)
+        words, counts = rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(n)
+        block = cases.spread(codes & np.uint32(0xFFFFFF), blocks)
+        want = np.lexsort((codes, block))
+        got = list(cases.split((codes, words, counts), blocks))
+        assert [i for i, _ in got] == np.unique(block).tolist()
+        assert np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x[2], np.uint32) for _, x in got)]).tolist() == counts[want].tolist()
+    counts = np.array([[0, 1, len(cases.LOGS) - 1], [0, 3, len(cases.LOGS)], [7, 2**24, 2**40]], float)
+    assert np.allclose(cases.logs(counts), np.log(counts + 0.1), rtol=1e-15)
+
+
+def test_most_frequent_have_the_first_slots():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(1, 2**64, 200_000, dtype=np.uint64))
+    rng.shuffle(keys)
+    values = np.arange(len(keys)) / 8
+    found = mixing.Frequent(keys, values, 1 << 17, np.float64)
+    got, there = found.of(keys)
+    assert there.all() and (got == values).all()
+    _, front, _ = found.tables[0]
+    assert len(front) == mixing.NEAR and np.isin(keys[-1000:], front).mean() > 0.9
+    assert not found.of(keys ^ np.uint64(1))[1].any()
