@@ -304,3 +304,14 @@ def test_broadcast_only_what_is_small(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(joins.joined_by("broadcast", a, b, ["k"]))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
     assert "SortMergeJoin" in plan(joins.joined_by("broadcast", a, b, ["k"]))
+
+
+def test_range_join_of_equal_values(spark, tmp_path):
+    """Repeated values give all their pairs, and these take little room."""
+    x = spark.range(4000).select("id", (F.col("id") % 2).cast("double").alias("x")).unionByName(spark.createDataFrame([(-1, None), (-2, -0.0), (-3, 9.0)], "id long, x double"))
+    y = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") % 3 - 1.0).alias("low"), (F.col("id") % 3 + 0.5).alias("high")).unionByName(spark.createDataFrame([(-1, None, 1.0)], "k long, low double, high double"))
+    out = joins.range_join(x, y, "x", "low", "high", 1.5).select("id", "k")
+    want = x.join(y, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("id", "k")
+    assert out.count() == want.count() == 4_001_000 and out.distinct().count() == 4_001_000 and out.exceptAll(want).isEmpty()
+    out.write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * 4_001_000
