@@ -315,3 +315,15 @@ def test_range_join_of_equal_values(spark, tmp_path):
     assert out.count() == want.count() == 4_001_000 and out.distinct().count() == 4_001_000 and out.exceptAll(want).isEmpty()
     out.write.parquet(str(tmp_path / "pairs"))
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * 4_001_000
+
+
+def test_range_join_holds_few_rows_at_once(spark):
+    """What writes pairs out is a stage of generated code apart from the join, on short lists: it keeps the rows of one pair of lists, not all matches of a row."""
+    x = spark.range(5000).select("id", F.lit(1.0).alias("x"))
+    y = spark.range(70).select(F.col("id").alias("k"), F.lit(0.5).alias("low"), F.lit(1.5).alias("high"))
+    lists = joins.by_value(x, ["x"], "_p")
+    assert lists.agg(F.max(F.size("_p"))).first()[0] <= 64 and lists.agg(F.sum(F.size("_p"))).first()[0] == 5000
+    out = joins.range_join(x, y, "x", "low", "high", 1.0).select("id", "k")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert plan.count("Generate") == 2 and "Coalesce" in plan.split("Generate")[2]
+    assert out.count() == out.distinct().count() == 350_000
