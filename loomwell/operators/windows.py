@@ -48,8 +48,8 @@ def retention(df: DataFrame, order: str, n: str) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Merged half-open intervals: those that overlap, touch, or are at most `gap` apart."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
+    """Merged half-open intervals: those that overlap, touch, or are at most `gap` apart. Nulls come last, so one without a start joins the last interval of its key."""
+    w = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
     d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

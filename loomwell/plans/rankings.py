@@ -37,7 +37,7 @@ _INTERVALS = "select l_suppkey as k, (l_orderkey % 99991) as s, (l_orderkey % 99
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "lineitem")
-    return i.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 99991).alias("s"), (F.col("l_orderkey") % 99991 + F.col("l_quantity").cast("long")).alias("e"))
+    return i.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 99991).alias("s"), (F.col("l_orderkey") % 99991 + F.rint("l_quantity").cast("long")).alias("e"))
 
 
 @query(f"""
