@@ -56,13 +56,16 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0)
     return d.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def complement(df: DataFrame, lengths: DataFrame, keys: list[str], start: str, end: str, length: str) -> DataFrame:
-    """Gaps of the merged intervals inside [0, length); a key without intervals is one gap."""
-    merged = islands(df, keys, start, end)
-    marks = merged.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    edge = lengths.select(*keys, length, F.lit(None).cast("long").alias("_s"), F.lit(0).cast("long").alias("_e"))
-    rows = edge.unionByName(marks.join(lengths.select(*keys, length), keys).select(*keys, length, F.col("_s").cast("long"), F.col("_e").cast("long")))
-    w = Window.partitionBy(*keys).orderBy(F.col("_s").asc_nulls_first())
+def complement(df: DataFrame, lengths: DataFrame, keys: list[str], start: str, end: str, length: str, default: int | None = None) -> DataFrame:
+    """Gaps of the merged intervals inside [0, length); a key without intervals is one gap.
+
+    A key that lengths lacks is left out; with a default it has that length, and its gaps begin after its first interval.
+    """
+    known = lengths.groupBy(*keys).agg(F.max(length).alias(length))
+    marks = islands(df, keys, start, end).select(*keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")).join(known, keys, "left")
+    marks = marks.select(*keys, F.coalesce(length, F.lit(default)).alias(length), F.lit(1).alias("_place"), "_s", "_e").filter(F.col(length).isNotNull())
+    rows = known.select(*keys, length, F.lit(0).alias("_place"), F.lit(None).cast("long").alias("_s"), F.lit(0).cast("long").alias("_e")).unionByName(marks)
+    w = Window.partitionBy(*keys).orderBy("_place", F.col("_s").asc_nulls_last(), F.col("_e").asc_nulls_last())
     gaps = rows.select(*keys, F.greatest(F.lit(0), F.col("_e")).alias(start), F.least(F.coalesce(F.lead("_s").over(w), F.col(length)), F.col(length)).cast("long").alias(end))
     return gaps.filter(F.col(start) < F.col(end))
 

@@ -57,7 +57,7 @@ def q22_merged_intervals(spark: SparkSession, d: str) -> DataFrame:
 """)
 def q22_gaps(spark: SparkSession, d: str) -> DataFrame:
     lengths = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(100100).cast("long").alias("n"))
-    return windows.complement(_intervals(spark, d), lengths, ["k"], "s", "e", "n")
+    return windows.complement(_intervals(spark, d), lengths, ["k"], "s", "e", "n", default=100100)
 
 
 @query("""

@@ -338,6 +338,6 @@ def test_interval_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
     db = pytest.importorskip("duckdb").connect()
     for t in ("lineitem", "supplier"):
         db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
-    for q in ("q22_merged_intervals",):
+    for q in ("q22_merged_intervals", "q22_gaps"):
         got = sorted(map(repr, map(tuple, catalogue.QUERIES[q](spark, str(tmp_path)).select("k", "s", "e").collect())))
         assert got == sorted(map(repr, db.execute(catalogue.ORACLE_SQL[q]).fetchall()))
